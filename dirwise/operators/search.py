@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dirwise.functions.names import outcode  # noqa: F401
 from dirwise.functions.values import any_of, filled, present, text, trim_all
 from dirwise.operators.ranking import latest
 
@@ -51,6 +50,10 @@ def _term_match(query: str, word: Column) -> list[Column]:
     return [word == s for s in stems[:-1]] + [word.startswith(stems[-1])] if terms else []
 
 
+def _matcher(query: str, i: int):
+    return lambda w: _term_match(query, w)[i]
+
+
 def search(df: DataFrame, query: str, key: str = "id", columns=INDEX_COLUMNS, limit: int | None = 50) -> DataFrame:
     """(key, score) of rows holding every query word, the last one as a prefix; best first.
 
@@ -62,8 +65,8 @@ def search(df: DataFrame, query: str, key: str = "id", columns=INDEX_COLUMNS, li
     stems = F.transform(F.concat(*[words(c) for c in columns]), stem)
     rows = df.select(key, stems.alias("_w"))
     n = len(query_terms(query))
-    counts = [F.size(F.filter("_w", lambda w, i=i: _term_match(query, w)[i])) for i in range(n)]
-    hits = rows.select(key, *[c.alias(f"_c{i}") for i, c in enumerate(counts)])
+    counts = [F.size(F.filter("_w", _matcher(query, i))).alias(f"_c{i}") for i in range(n)]
+    hits = rows.select(key, *counts)
     score = sum((F.col(f"_c{i}") for i in range(1, n)), F.col("_c0"))
     every = F.lit(True)
     for i in range(n):

@@ -6,7 +6,6 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from dirwise.functions.values import present  # noqa: F401
 from dirwise.operators import aggregates as agg
 from dirwise.operators import filters as flt
 from dirwise.operators import ranking, records, search
@@ -336,7 +335,17 @@ def rank_allocation(spark, sf):
     return ranking.allocate_ranks(schools(spark, sf), jitter=True)
 
 
-@query("win02_rank_sync")
+@query("win02_rank_sync", """
+WITH u AS (SELECT *, CASE WHEN contains(lower(schoolType), 'grammar') THEN 1 WHEN schoolType = 'Independent' AND (ageRange LIKE '%18%' OR ageRange LIKE '%16%' OR pupilCount >= 200) THEN 2
+   WHEN schoolType = 'Comprehensive' AND (ofstedRating = 'Outstanding' OR coalesce(gcseAttainment8 >= 55, false) OR coalesce(gcseProgress8 >= 0.5, false)) THEN 3 END AS tier FROM school
+   WHERE NOT coalesce(least(gcse_rank_england, a_level_rank_england, national_rank_england) <= 100, false)),
+o AS (SELECT *, row_number() OVER (ORDER BY tier, CASE tier WHEN 1 THEN coalesce(gcseAttainment8, 70) WHEN 2 THEN CASE WHEN lower(ofstedRating) LIKE '%excellent%' THEN 3 WHEN ofstedRating = 'Outstanding' THEN 2 ELSE 1 END
+   ELSE coalesce(gcseAttainment8, CASE WHEN ofstedRating = 'Outstanding' THEN 65 ELSE 55 END) END DESC, CASE tier WHEN 1 THEN 0 ELSE pupilCount END DESC, name, id) + 100 AS r FROM u WHERE tier IS NOT NULL)
+SELECT s.id, CASE WHEN top THEN s.gcse_rank_england WHEN r IS NOT NULL THEN r WHEN high THEN NULL ELSE s.gcse_rank_england END AS gcse_rank_england,
+ CASE WHEN top THEN s.a_level_rank_england WHEN r IS NOT NULL THEN r WHEN high THEN NULL ELSE s.a_level_rank_england END AS a_level_rank_england,
+ CASE WHEN top THEN s.national_rank_england WHEN r IS NOT NULL THEN r WHEN high THEN NULL ELSE s.national_rank_england END AS national_rank_england
+FROM (SELECT *, coalesce(least(gcse_rank_england, a_level_rank_england, national_rank_england) <= 100, false) AS top,
+  coalesce(greatest(gcse_rank_england, a_level_rank_england, national_rank_england) > 100, false) AS high FROM school) s LEFT JOIN (SELECT id, r FROM o WHERE r <= 500) n ON n.id = s.id""", uses=SCHOOL)
 def rank_sync(spark, sf):
     return ranking.sync_ranks(schools(spark, sf)).select("id", *ranking.RANKS)
 
