@@ -267,9 +267,9 @@ def consortium_code() -> Column:
     return out
 
 
-def body_code() -> Column:
+def body_code(columns: list[str]) -> Column:
     """Code of the governing body, by name, description and policy; local authority if nothing says otherwise."""
-    name, desc, policy, la = (F.lower(text(c)) for c in ("name", "description", "admissionsPolicy", "la"))
+    name, desc, policy, la = (F.lower(text(c)) if c in columns else F.lit("") for c in ("name", "description", "admissionsPolicy", "la"))
     kevi = contains_any(desc, ("birmingham",)) | contains_any(name, ("birmingham", "aston", "camp hill", "five ways", "handsworth"))
     rules = (
         ("HARRIS_FEDERATION", name.contains("harris ") | desc.contains("harris federation")),
@@ -313,7 +313,7 @@ def exam_code(consortium: Column) -> Column:
 
 def classify(df: DataFrame) -> DataFrame:
     """Rows with consortium, governing body, primary exam and whether there is a second stage."""
-    d = df.withColumns({"consortiumCode": consortium_code(), "bodyCode": body_code()})
+    d = df.withColumns({"consortiumCode": consortium_code(), "bodyCode": body_code(df.columns)})
     d = d.withColumn("examCode", exam_code(F.col("consortiumCode")))
     exam, two = F.lower(text("entranceExamType")), text("stage_two_format_and_subjects")
     second = (

@@ -176,12 +176,13 @@ def milestone_pattern(key: str) -> str:
 def milestones_seen(body: Column | str = "body") -> Column:
     """Map of the milestone dates a text gives, years completed by month."""
     b = text(body)
-    entries = []
-    for key in MILESTONE_MARKS:
-        v = trim_all(F.regexp_extract(b, milestone_pattern(key), 1))
-        full = F.when(v.rlike(r"\b202[4567]\b"), v).when(v.rlike(AUTUMN), F.concat(v, F.lit(" 2026"))).when(v.rlike(SPRING), F.concat(v, F.lit(" 2027"))).otherwise(v)
-        entries.append(F.struct(F.lit(key).alias("key"), full.alias("value")))
-    return F.map_from_entries(F.filter(F.array(*entries), lambda e: e["value"] != ""))
+    entries = [F.struct(F.lit(key).alias("key"), trim_all(F.regexp_extract(b, milestone_pattern(key), 1)).alias("value")) for key in MILESTONE_MARKS]
+    given = F.filter(F.array(*entries), lambda e: e["value"] != "")
+    return F.map_from_entries(F.transform(given, lambda e: F.struct(e["key"].alias("key"), _with_year(e["value"]).alias("value"))))
+
+
+def _with_year(v: Column) -> Column:
+    return F.when(v.rlike(r"\b202[4567]\b"), v).when(v.rlike(AUTUMN), F.concat(v, F.lit(" 2026"))).when(v.rlike(SPRING), F.concat(v, F.lit(" 2027"))).otherwise(v)
 
 
 def milestone_verdicts(df: DataFrame, key: str = "id") -> DataFrame:
