@@ -10,7 +10,10 @@ from dirwise.plans.fixtures import CTES, entities, table, view
 from dirwise.plans.q_directory import D_CURRENT_VOTES, SCHOOL, schools
 from dirwise.plans.registry import query
 
-NOW = F.lit("2026-09-15 00:00:00").cast("timestamp_ntz")
+
+
+def now():
+    return F.lit("2026-09-15 00:00:00").cast("timestamp_ntz")
 
 _DELTA = "SELECT id, 'new ' || k AS name, 'p' || k AS phone FROM entity WHERE k % 5 = 2 UNION ALL SELECT 'n' || k, 'added ' || k, NULL FROM entity WHERE k % 50 = 9"
 
@@ -99,7 +102,7 @@ def smart_merged(spark, sf):
 @query("er06_merged_directory", f"""WITH m AS ({_SMART}) SELECT e.id, coalesce(m.address, e.address) AS address, CASE WHEN m.id IS NOT NULL THEN m.urn ELSE e.urn END AS urn, CASE WHEN m.id IS NOT NULL THEN 98 ELSE confidence_score END AS confidence_score, CASE WHEN m.id IS NOT NULL THEN m.la ELSE e.la END AS la
  FROM entity e LEFT JOIN m USING (id) WHERE e.id NOT IN (SELECT sec FROM plan)""", uses=("entity", "plan"))
 def merged_directory(spark, sf):
-    out = merge.merge_records(_plan(spark, sf), view(spark, sf, "entity"), "m1", "admin", NOW)["entities"]
+    out = merge.merge_records(_plan(spark, sf), view(spark, sf, "entity"), "m1", "admin", now())["entities"]
     return out.select("id", "address", "urn", "confidence_score", "la")
 
 
@@ -139,7 +142,7 @@ def committed(spark, sf):
 def logged_changes(spark, sf):
     e = view(spark, sf, "entity").select("id", "k", "la", "name")
     after = changes.patch_many(e, e.filter("k % 7 = 3").select("id"), {"la": F.lit("Essex")})
-    return changes.log_changes(e, after, "EDIT", "b1", "admin", NOW).select("schoolId", "actionType")
+    return changes.log_changes(e, after, "EDIT", "b1", "admin", now()).select("schoolId", "actionType")
 
 
 @query("ups12_restored_states", """SELECT schoolId AS "schoolId", min(id) AS id, arg_min(previousState, id) AS "previousState" FROM audit WHERE batchId IN ('b3', 'b17') AND rolledBackAt IS NULL GROUP BY 1""", uses=("audit",))
@@ -151,7 +154,7 @@ def restored_states(spark, sf):
 SELECT e.id, CASE WHEN r.schoolId IS NULL THEN phone ELSE p END AS phone, CASE WHEN r.schoolId IS NULL THEN website ELSE w END AS website, CASE WHEN r.schoolId IS NULL THEN gender ELSE 'Mixed' END AS gender, la FROM entity e LEFT JOIN r ON r.schoolId = e.id""", uses=("entity", "audit"))
 def rolled_back(spark, sf):
     e = view(spark, sf, "entity").select("id", "phone", "website", "gender", "la")
-    return changes.roll_back(e, view(spark, sf, "audit"), ["b3", "b17"], NOW)[0]
+    return changes.roll_back(e, view(spark, sf, "audit"), ["b3", "b17"], now())[0]
 
 
 @query("ups13_version_rollback", """SELECT e.id, CASE WHEN a.id IS NULL THEN phone ELSE a.previousState ->> 'phone' END AS phone, CASE WHEN a.id IS NULL THEN e.gender ELSE 'Mixed' END AS gender, CASE WHEN a.id IS NULL THEN verification_status ELSE 'unverified' END AS verification_status
@@ -159,7 +162,7 @@ def rolled_back(spark, sf):
 def version_rollback(spark, sf):
     e = view(spark, sf, "entity").select("id", "phone", "gender", "verification_status")
     entity_id = "e" + str(77 * 11 % 1200).zfill(9)
-    return changes.roll_back_version(e, view(spark, sf, "audit"), 77, entity_id, "admin", NOW)[0]
+    return changes.roll_back_version(e, view(spark, sf, "audit"), 77, entity_id, "admin", now())[0]
 
 
 @query("ups14_history", """SELECT id, actionType AS "actionType", batchId AS "batchId" FROM audit WHERE schoolId = 'e000000011' ORDER BY id DESC""", uses=("audit",))
@@ -204,7 +207,7 @@ def rebuilt(spark, sf):
 @query("ups19_system_votes", """SELECT 'system_quality_auto' AS "userId", id AS "schoolId", unnest(['website', 'phone']) AS "fieldName", 1 AS vote FROM entity WHERE k % 8 = 1""", uses=("entity",))
 def system_votes(spark, sf):
     ch = view(spark, sf, "entity").filter("k % 8 = 1").withColumn("fields", F.array(F.lit("website"), F.lit("phone")))
-    return changes.votes_for(ch, "system_quality_auto", 1, NOW).select("userId", "schoolId", "fieldName", "vote")
+    return changes.votes_for(ch, "system_quality_auto", 1, now()).select("userId", "schoolId", "fieldName", "vote")
 
 
 @query("ups21_promoted_reports", """WITH r AS (SELECT schoolId, fieldName, arg_max(customValue, (reportedAt, event_id)) AS v FROM reports WHERE status = 'down' AND customValue <> '' AND fieldName IN ('phone', 'website') GROUP BY 1, 2)

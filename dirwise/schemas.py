@@ -1,15 +1,8 @@
-"""Declared schemas, so that no reader has to guess types."""
+"""Declared schemas, so that no reader has to guess types. All are DDL texts."""
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
-
-def _struct(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
-
-
-REGISTER = _struct(
+REGISTER = (
     "URN string, SCHNAME string, LANAME string, STREET string, LOCALITY string, ADDRESS3 string, TOWN string, POSTCODE string, "
     "SCHSTATUS string, ISSECONDARY string, SCHOOLTYPE string, MINORGROUP string, ADMPOL string, RELCHAR string, GENDER string, "
     "AGELOW string, AGEHIGH string")
@@ -20,23 +13,23 @@ REGISTER_POSITIONS = {
     "SCHOOLTYPE": 15, "AGELOW": 19, "AGEHIGH": 20, "GENDER": 21, "ADMPOL": 23,
 }
 
-VOTES = _struct("userId bigint, schoolId string, fieldName string, vote int, votedAt timestamp_ntz, event_id bigint")
+VOTES = ("userId bigint, schoolId string, fieldName string, vote int, votedAt timestamp_ntz, event_id bigint")
 
-REPORTS = _struct(
+REPORTS = (
     "userId bigint, schoolId string, fieldName string, status string, originalValue string, customValue string, reportedAt timestamp_ntz")
 
-AUDIT = _struct(
+AUDIT = (
     "id bigint, actionType string, batchId string, schoolId string, previousState string, newState string, appliedBy string, "
     "appliedAt timestamp_ntz, rolledBackAt timestamp_ntz")
 
-RULE = _struct(
+RULE = (
     "id string, name string, region string, examType string, examFormat string, dates map<string,string>, laList array<string>, "
     "schoolKeywords array<string>")
 
-RULE_MATRIX = T.StructType([
-    T.StructField("state_consortia", T.ArrayType(RULE)), T.StructField("independent_consortia", T.ArrayType(RULE))])
+RULE_MATRIX = "state_consortia array<struct<{0}>>, independent_consortia array<struct<{0}>>".format(
+    RULE.replace(" string", ":string").replace(" map", ":map").replace(" array", ":array"))
 
-COORDS = _struct("outcode string, lat double, lon double, easting double, northing double, district string, sampleSize bigint")
+COORDS = ("outcode string, lat double, lon double, easting double, northing double, district string, sampleSize bigint")
 
-REVIEWED_PAIRS = _struct(
+REVIEWED_PAIRS = (
     "pair_id string, school_a_id string, school_b_id string, decision string, reason string, reviewed_by string, reviewed_at timestamp_ntz")
