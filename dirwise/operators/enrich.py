@@ -218,7 +218,10 @@ def preview(df: DataFrame, register: DataFrame, state_rules: list[dict], indepen
     """Every row a proposal would change, with current and proposed values, changed fields and sources."""
     r = register.select(F.col("URN").alias("urn"), "ADMPOL", "MINORGROUP", "RELCHAR", F.col("SCHOOLTYPE").alias("SCHOOLTYPE_REG"), "AGELOW", "AGEHIGH")
     p = propose(df.join(r, "urn", "left"), state_rules, independent_rules).withColumn("changedFields", changed_fields())
-    return p.filter(F.size("changedFields") > 0).withColumn("sources", sources())
+    # chosen inside the row: a filter would be moved below and repeat the whole rule expression per use
+    row = F.array(F.struct(*p.columns))
+    rows = p.select(F.inline(F.filter(row, lambda r: F.size(r["changedFields"]) > 0)))
+    return rows.withColumn("sources", sources())
 
 
 def preview_statistics(rows: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dirwise.functions.values import any_of, filled, present, text, trim_all
+from dirwise.functions.values import any_of, bind, filled, present, text, trim_all
 from dirwise.operators.ranking import latest
 
 INDEX_COLUMNS = ("name", "la", "region", "address", "description")
@@ -28,7 +28,7 @@ def stem(w: Column) -> Column:
     It brings plural, past and -ing forms together; it is coarser than a full
     Porter stemmer and, as a built-in expression, needs no Python worker.
     """
-    return F.regexp_replace(w, rf"(?<=^.{{3,64}})({'|'.join(ENDINGS)})$", "")
+    return F.regexp_replace(w, rf"^(.{{3,64}}?)(?:{'|'.join(ENDINGS)})$", "$1")
 
 
 def token_table(df: DataFrame, key: str, columns) -> DataFrame:
@@ -62,16 +62,22 @@ def search(df: DataFrame, query: str, key: str = "id", columns=INDEX_COLUMNS, li
     """
     if not query_terms(query):
         return df.select(key, F.lit(0).cast("bigint").alias("score")).limit(0)
+    # a word that matches starts with the term's stem, so rows without these letters need no word splitting
+    letters = F.lower(F.concat_ws(" ", *columns))
+    maybe = F.lit(True)
+    for t in query_terms(query):
+        maybe = maybe & F.contains(letters, stem(F.lit(t)))
     stems = F.transform(F.concat(*[words(c) for c in columns]), stem)
-    rows = df.select(key, stems.alias("_w"))
     n = len(query_terms(query))
-    counts = [F.size(F.filter("_w", _matcher(query, i))).alias(f"_c{i}") for i in range(n)]
-    hits = rows.select(key, *counts)
-    score = sum((F.col(f"_c{i}") for i in range(1, n)), F.col("_c0"))
-    every = F.lit(True)
-    for i in range(n):
-        every = every & (F.col(f"_c{i}") > 0)
-    out = hits.filter(every).select(key, score.cast("bigint").alias("score"))
+
+    def counted(w: Column) -> Column:
+        return F.array(*[F.size(F.filter(w, _matcher(query, i))) for i in range(n)])
+
+    # chosen inside the row: a filter would be moved below and split the text once more per term
+    row = F.array(F.struct(F.col(key), bind(stems, counted).alias("c")))
+    hits = df.filter(maybe).select(F.inline(F.filter(row, lambda r: F.array_min(r["c"]) > 0)))
+    score = F.aggregate("c", F.lit(0).cast("bigint"), lambda a, x: a + x)
+    out = hits.select(key, score.alias("score"))
     return out.orderBy(F.desc("score"), key).limit(limit) if limit else out
 
 

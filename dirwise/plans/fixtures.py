@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dirwise.session import spread
+
 # k: row number of the entity; g: key it copies its identity from (every 17th
 # row repeats its neighbour, which plants duplicates at any scale).
 ENTITY = """
@@ -208,8 +210,13 @@ _NEEDS = {
 }
 
 
+# Tables whose rows cost a lot of work each.
+HEAVY = ("customer", "documents", "pages")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in HEAVY else df
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

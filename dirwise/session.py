@@ -57,3 +57,9 @@ def saved(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/dirwise-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread rows over all cores where the input has fewer pieces than that; large inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
