@@ -142,13 +142,14 @@ def key_check(df: DataFrame, key: str = "id", by: str = "schoolType") -> DataFra
 
 def same_row_counts(before: dict[str, DataFrame], after: dict[str, DataFrame]) -> DataFrame:
     """(table, before, after, same) for tables that were copied."""
-    out = None
-    for name, df in before.items():
-        a = df.agg(F.count("*").alias("before"))
-        b = after[name].agg(F.count("*").alias("after"))
-        row = a.join(F.broadcast(b)).select(F.lit(name).alias("table"), "before", "after", (F.col("before") == F.col("after")).alias("same"))
-        out = row if out is None else out.unionByName(row)
-    return out
+    rows = None
+    for side, tables in (("before", before), ("after", after)):
+        for name, df in tables.items():
+            one = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("table"), F.lit(side).alias("side"), "n")
+            rows = one if rows is None else rows.unionByName(one)
+    n = lambda side: F.max(F.when(F.col("side") == side, F.col("n")))
+    out = rows.groupBy("table").agg(n("before").alias("before"), n("after").alias("after"))
+    return out.withColumn("same", F.col("before") == F.col("after"))
 
 
 # ---- votes and reports -------------------------------------------------------------------------

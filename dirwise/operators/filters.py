@@ -277,6 +277,11 @@ def website_state(name: str) -> Column:
     return has_link() & states[name]
 
 
+def health_queue(df: DataFrame, limit: int = 50) -> DataFrame:
+    """Linked websites to check next: never tested first, then the longest untested."""
+    return df.filter(has_link()).orderBy((~website_state("unscanned")).cast("int"), F.col("verified_at").asc_nulls_first(), "id").limit(limit)
+
+
 # Marks of test data, names that only look like it, and ids and keys test runs leave behind.
 TEST_WORDS = r"(?i)\btest\b|\btests\b|testschool|test\.sch\.uk|proposal-rejection-test"
 NOT_TEST = ("testbourne", "testwood", "ingatestone", "countesthorpe", "whitestitch", "selection-tests", "kent-test")

@@ -192,10 +192,10 @@ def recommend(
     """
     ids = saved_ids.select(F.col(saved_ids.columns[0]).alias("id")).distinct()
     kept = df.join(ids, "id", "left_semi")
-    both = profile(kept).join(F.broadcast(selection_centroid(kept).withColumnRenamed("n", "placed")))
-    p = both.first()
-    if not anchors and p["placed"]:
-        anchors = [(p["easting"], p["northing"])]
+    p = profile(kept).first()
+    middle = selection_centroid(kept).first()
+    if not anchors and middle["n"]:
+        anchors = [(middle["easting"], middle["northing"])]
     pool = df.join(ids, "id", "left_anti")
     if removed is not None:
         pool = flt.without_ids(pool, removed)

@@ -405,3 +405,40 @@ def search_index(spark, sf):
 @query("txt02_contains_search", "SELECT id, name FROM school WHERE contains(lower(name), 'gear') OR contains(lower(la), 'gear') OR contains(lower(postcode), 'gear') ORDER BY id LIMIT 50", uses=SCHOOL)
 def contains_search(spark, sf):
     return search.contains_search(schools(spark, sf), "GEAR").select("id", "name")
+
+
+@query("agg20_location_index", """
+WITH e AS (SELECT trim(la) AS name, 'Borough' AS type, region AS subtitle, 1 AS priority, 3 AS claim, id FROM school WHERE trim(la) <> ''
+ UNION ALL SELECT upper(split_part(trim(postcode), ' ', 1)), 'Postcode Area', CASE WHEN la <> '' THEN la || ' (' || region || ')' ELSE region END, 3, 1, id FROM school WHERE trim(postcode) <> ''
+ UNION ALL SELECT * FROM (VALUES """ + ", ".join(f"('{n}', 'Area / Town', '{s}', 2, 2, '')" for n, s in search.KEY_AREAS) + """) v),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lower(name) ORDER BY claim DESC, id) AS rn FROM e) WHERE rn = 1)
+SELECT name, type, subtitle, priority FROM b""", uses=SCHOOL)
+def location_index(spark, sf):
+    return search.location_index(schools(spark, sf))
+
+
+@query("top06_health_queue", """SELECT id, website, verified_at FROM school WHERE trim(website) LIKE 'http%'
+ORDER BY CASE WHEN coalesce(verified_at, '') = '' AND NOT list_has_any(tags, ['web_health_audited', 'auto_verified']) THEN 0 ELSE 1 END, verified_at NULLS FIRST, id LIMIT 50""", uses=SCHOOL)
+def health_queue(spark, sf):
+    return flt.health_queue(schools(spark, sf)).select("id", "website", "verified_at")
+
+
+@query("scl26_format_keys", """SELECT id, concat(CASE WHEN primary_exam_type_id IS NOT NULL THEN 'T:' || primary_exam_type_id WHEN trim(entranceExamType) <> '' THEN 'TN:' || lower(trim(entranceExamType)) ELSE 'T:none' END, '|',
+ CASE WHEN exam_consortium_id IS NOT NULL THEN 'C:' || exam_consortium_id ELSE 'CN:' || CASE WHEN lower(trim(coalesce(exam_consortium, ''))) IN ('', 'none', 'null', 'na') THEN 'none' ELSE lower(trim(exam_consortium)) END END) AS format_key,
+ CASE WHEN lower(trim(coalesce(exam_consortium, ''))) NOT IN ('', 'none', 'null', 'na') THEN exam_consortium WHEN entranceExamType <> '' AND lower(entranceExamType) <> 'none' THEN entranceExamType ELSE '' END AS label FROM school""", uses=SCHOOL)
+def format_keys(spark, sf):
+    from dirwise.operators import scoring
+
+    return schools(spark, sf).select("id", scoring.format_key().alias("format_key"), scoring.format_label().alias("label"))
+
+
+@query("src02_point_lookup", "SELECT id, name, urn FROM school WHERE id = 'e000000042' LIMIT 1", uses=SCHOOL)
+def point_lookup(spark, sf):
+    return search.point_lookup(schools(spark, sf), "id", "e000000042").select("id", "name", "urn")
+
+
+@query("src09_open_register", "SELECT URN AS urn, SCHNAME AS name FROM register WHERE ISSECONDARY = '1' AND SCHSTATUS = 'Open'", uses=("register",))
+def open_register(spark, sf):
+    from dirwise.operators.link import open_secondary
+
+    return open_secondary(view(spark, sf, "register")).select(F.col("URN").alias("urn"), F.col("SCHNAME").alias("name"))

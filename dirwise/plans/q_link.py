@@ -213,7 +213,7 @@ def import_triage(spark, sf):
     return link.triage(spark.sql(BATCH), view(spark, sf, "entity")).select("rowNum", "state", "reason", "existingId")
 
 
-@query("agg20_copied_tables", """SELECT 'customer' AS "table", count(*) AS before, count(*) AS after, true AS same FROM customer UNION ALL SELECT 'events', count(*), count(*), true FROM events""")
+@query("agg18_copied_tables", """SELECT 'customer' AS "table", count(*) AS before, count(*) AS after, true AS same FROM customer UNION ALL SELECT 'events', count(*), count(*), true FROM events""")
 def copied_tables(spark, sf):
     from dirwise.session import saved
 
