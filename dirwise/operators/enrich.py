@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dirwise.functions.values import any_of, contains_any, filled, lenient_int, or_null, present, text, trim_all
+from dirwise.functions.values import contains_any, filled, lenient_int, or_null, present, text, trim_all
 from dirwise.operators.similarity import contained_names
 from dirwise.sources import seeds
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from dirwise.functions.names import in_london, join_address, name_key, org_type, postcode
 from dirwise.functions.values import filled, first_filled, or_null, text, trim_all
-from dirwise.operators.similarity import contained_names, dice_as_jaccard, similar_across
+from dirwise.operators.similarity import contained_names, similar_across
 from dirwise.session import saved
 
 # Name similarity asked for in each tier.
@@ -95,10 +95,10 @@ def link_list(ranked: DataFrame, entities: DataFrame) -> DataFrame:
 def _alike(forms: DataFrame, lookup: DataFrame, d: float, block: list[str]) -> DataFrame:
     """List entries with entities whose name reaches Dice ``d`` (within a block)."""
     right = lookup.filter("key <> ''")
-    pairs = similar_across(forms, right.withColumn("name", F.col("key")), "name", dice_as_jaccard(d), block)
+    pairs = similar_across(forms, right.withColumn("name", F.col("key")), "name", d, block)
     # one-letter names have no pairs of letters; they match only themselves
     short = forms.filter(F.length("form") == 1).select(*block, F.col("form").alias("name_a"), F.col("form").alias("name_b"), F.lit(1.0).alias("dice")).distinct()
-    pairs = pairs.filter(F.col("dice") >= d).select(*block, "name_a", "name_b", "dice").unionByName(short)
+    pairs = pairs.select(*block, "name_a", "name_b", "dice").unionByName(short)
     out = forms.select("entry", "alias", *block, F.col("form").alias("name_a")).join(pairs, [*block, "name_a"])
     return out.join(right.select(*block, F.col("key").alias("name_b"), "id"), [*block, "name_b"])
 

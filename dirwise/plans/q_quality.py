@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from dirwise.functions import markup, names
-from dirwise.operators import enrich, quality, records, verify
-from dirwise.operators import filters as flt
+from dirwise.functions import markup
+from dirwise.operators import enrich, quality, verify
 from dirwise.plans.fixtures import CTES, entities, table, view
 from dirwise.plans.q_directory import SCHOOL, schools
 from dirwise.plans.q_scalars import _LONG, d_admissions, d_better, d_roll, d_timeline
