@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dirwise.llm import bpe, lines, packing, simhash
+from dirwise.llm import bpe, lines, packing, pii, quality, simhash
 from dirwise.llm.common import reachable, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,6 +52,18 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+@query()
+def op6_line_field_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    field = quality.fit(docs, read_table(spark, sf_dir, "labels"))
+    return quality.scored(docs.select("doc_id", "text"), field).select("doc_id", quality.held_out().alias("held_out"), "score", "predicted")
+
+
+@query()
+def op8_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymised(read_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_entities")
+
+
 @query()
 def op7_packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
