@@ -44,7 +44,8 @@ def drops(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_c
     """id, row and the positions ``gone`` of the lines that each row loses."""
     keys = saved(line_keys(docs, id_col, text_col, min_chars))
     spans = keys.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("id").alias("named"), F.count("*").alias("all"))
-    shared = spans.where("first <> last or (named > 0 and named < all)").select("h1", "h2", "first")
+    # written, so that the join below has exchanges of its own, whose hot partitions adaptive execution can split
+    shared = saved(spans.where("first <> last or (named > 0 and named < all)").select("h1", "h2", "first"))
     lost = keys.join(shared, ["h1", "h2"]).where(F.col("id").isNull() | (F.col("id") != F.col("first")))
     return lost.groupBy("id", "row").agg(F.collect_set("pos").alias("gone"))
 

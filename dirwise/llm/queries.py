@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import functools
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dirwise.llm import bpe, lines, packing, pii, quality, simhash
+from dirwise.llm import bpe, curves, fingerprints, licenses, lines, packing, pii, quality, simhash, warc
 from dirwise.llm.common import reachable, read_table
+from dirwise.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,6 +34,34 @@ def query(sql: str | None = None):
     return register
 
 
+@query()
+def op1_scaled_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = fingerprints.compared(read_table(spark, sf_dir, "documents"))
+    near = lambda f, b: f(F.col("sketch"), F.col(b))
+    return both.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprints.as_text(F.col("sketch")).alias("fingerprint"), fingerprints.as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
+        near(fingerprints.containment, "edited_sketch").alias("near_edited"), near(fingerprints.containment, "next_sketch").alias("near_next"),
+    )
+
+
+@query(r"""
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+g AS (SELECT payload_digest, max(page_id) AS last_id FROM p GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND page_id < last_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id < last_id THEN last_id END AS refers_to
+FROM p JOIN g USING (payload_digest)""")
+def op2_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    warc.write(warc.chunk_table(read_table(spark, sf_dir, "pages")), path, compression="gzip")
+    back = warc.records(warc.read(spark, path))
+    return back.select(F.substring_index("record", "/", -1).cast("long").alias("page_id"), "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), F.col("refers_to").cast("long").alias("refers_to"))
+
+
+@query()
+def op3_curve_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curves.nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
 @query()
 def op4_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
@@ -69,6 +99,11 @@ def op7_packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+@query()
+def op10_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read_table(spark, sf_dir, "documents"))
+
+
 @query()
 def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode(read_table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
