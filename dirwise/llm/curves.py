@@ -120,7 +120,12 @@ def nearest(vectors: DataFrame, asks: Column, k: int = 5, id_col: str = "vec_id"
     sized = vectors.where(F.col(id_col).isNotNull() & sound(F.col(vector_col))).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), F.coalesce(asks, F.lit(False)).alias("asks"))
     common = sized.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), "n").first()
     length = common["n"] if common else 1
-    rows = saved(sized.where(F.size("v") == length).groupBy("id").agg(F.min("v").alias("v"), F.max("asks").alias("asks")))
+    single = saved(sized.where(F.size("v") == length).groupBy("id").agg(F.min("v").alias("v"), F.max("asks").alias("asks")))
+    # equal vectors are one place on every curve, named by their smallest id; of their ids the first k + 1 can be among the nearest
+    rows = saved(single.groupBy("v").agg(F.min("id").alias("id"), F.max("asks").alias("asks")))
+    place = Window.partitionBy("v").orderBy("id")
+    copies = single.withColumn("n", F.row_number().over(place)).where(F.col("n") <= k + 1).select("v", F.col("id").alias("copy")).join(rows.select("v", "id"), "v").select("id", "copy")
+    queries = single.where("asks").select("v", F.col("id").alias("query_id")).join(rows.select("v", F.col("id").alias("name")), "v").select("query_id", "name")
     total = rows.count()
     window = max(LEAST_WINDOW, math.ceil(share * total))
     block = min(max(BLOCK, window), MOST_BLOCK)
@@ -144,10 +149,14 @@ def nearest(vectors: DataFrame, asks: Column, k: int = 5, id_col: str = "vec_id"
         return pd.concat(out)
 
     found = looks.groupBy("curve", "block").cogroup(blocks.groupBy("curve", "block")).applyInPandas(compare, "query_id long, id long, near float")
-    once = found.groupBy("query_id", "id").agg(F.max("near").alias("near"))
+    own = rows.where("asks").select(F.col("id").alias("query_id"), "id", F.lit(9.0).cast("float").alias("near"))
+    once = found.union(own).groupBy("query_id", "id").agg(F.max("near").alias("near"))
     short = once.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("near"), "id"))).where(F.col("n") <= max(KEPT, 4 * k))
     pairs = short.join(rows.select("id", F.col("v").alias("b")), "id").join(rows.select(F.col("id").alias("query_id"), F.col("v").alias("a")), "query_id")
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, p: s + p)
-    scored = pairs.select("query_id", "id", (dot("a", "b") / (F.sqrt(dot("a", "a")) * F.sqrt(dot("b", "b")))).alias("score"))
-    best = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
-    return best.select("query_id", "rank", F.col("id").alias(id_col), "score")
+    scored = pairs.select(F.col("query_id").alias("name"), "id", (dot("a", "b") / (F.sqrt(dot("a", "a")) * F.sqrt(dot("b", "b")))).alias("score"))
+    nearest_first = [F.desc("score"), "copy"]
+    top = saved(scored.join(copies, "id").withColumn("n", F.row_number().over(Window.partitionBy("name").orderBy(*nearest_first))).where(F.col("n") <= k + 1).select("name", "copy", "score"))
+    others = queries.join(top, "name").where("copy <> query_id")
+    best = others.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*nearest_first))).where(F.col("rank") <= k)
+    return best.select("query_id", "rank", F.col("copy").alias(id_col), "score")

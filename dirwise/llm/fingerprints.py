@@ -35,14 +35,17 @@ def _retained(hashes: Column, bits: int) -> Column:
     return F.filter(hashes, lambda h: F.shiftrightunsigned(h, 64 - bits) == 0)
 
 
+def _least(hashes: Column) -> Column:
+    """The smallest hash alone; unsigned order is signed order with the first bit turned."""
+    return F.array(F.array_min(F.transform(hashes, lambda x: x.bitwiseXOR(F.lit(SMALLEST)))).bitwiseXOR(F.lit(SMALLEST)))
+
+
 def sketch(text: Column, words: int = WORDS, bits: int = FRACTION_BITS) -> Column:
     """Sorted array of the retained shingle hashes of a text."""
     found = F.filter(F.split(F.btrim(F.lower(text), F.lit(BLANKS)), "[ \t-\r]+"), lambda w: w != "")
     hashes = F.transform(found, lambda w: F.xxhash64(w))
     shingles = lambda h: F.transform(F.sequence(F.lit(0), F.greatest(F.size(h) - words, F.lit(0))), lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(words)]))
-    # unsigned order is signed order with the first bit turned
-    least = lambda s: F.array(F.array_min(F.transform(s, lambda x: x.bitwiseXOR(F.lit(SMALLEST)))).bitwiseXOR(F.lit(SMALLEST)))
-    chosen = lambda s: bind(_retained(s, bits), lambda r: F.when(F.size(r) > 0, F.array_sort(F.array_distinct(r))).otherwise(least(s)))
+    chosen = lambda s: bind(_retained(s, bits), lambda r: F.when(F.size(r) > 0, F.array_sort(F.array_distinct(r))).otherwise(_least(s)))
     return bind(hashes, lambda h: F.when(F.size(h) == 0, F.array().cast("array<bigint>")).otherwise(bind(shingles(h), chosen)))
 
 
@@ -50,7 +53,7 @@ def merged(a: Column, b: Column, bits: int = FRACTION_BITS) -> Column:
     """Sketch of both texts' shingles together."""
     both = F.array_sort(F.array_union(a, b))
     kept = _retained(both, bits)
-    return F.when(F.size(kept) > 0, kept).when(F.size(a) == 0, b).when(F.size(b) == 0, a).otherwise(F.slice(F.array_sort(F.transform(both, lambda x: x.bitwiseXOR(F.lit(SMALLEST)))), 1, 1))
+    return F.when(F.size(kept) > 0, kept).when(F.size(a) == 0, b).when(F.size(b) == 0, a).otherwise(_least(both))
 
 
 def containment(a: Column, b: Column) -> Column:
