@@ -37,6 +37,20 @@ def repaired_json(c: Column | str) -> Column:
     return out
 
 
+# Lines of a prompt that name the entity it was made for.
+OWN_LINES = r"(School Name|URN|Postcode|Website):([^\n]*)\n"
+
+
+def template_form(c: Column | str) -> Column:
+    """A prompt with the values of its entity's own lines blanked."""
+    return F.regexp_replace(text(c), OWN_LINES, "$1: {}\n")
+
+
+def own_values(c: Column | str) -> Column:
+    """What ``template_form`` blanks, in order."""
+    return F.regexp_extract_all(text(c), F.lit(OWN_LINES), 2)
+
+
 def template_hash(c: Column | str) -> Column:
-    """Short stable key of a long template, from its opening characters."""
-    return F.substring(F.sha2(F.substring(text(c), 1, 1000), 256), 1, 16)
+    """Key of a prompt's template: the digest of its whole form."""
+    return F.sha2(template_form(c), 256)

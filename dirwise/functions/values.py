@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Texts that count as "no value given".
@@ -97,3 +97,8 @@ def any_of(conds: list[Column]) -> Column:
 
 def contains_any(c: Column, words) -> Column:
     return any_of([c.contains(w) for w in words])
+
+
+def up_to(df: DataFrame, limit: int | None) -> DataFrame:
+    """The first rows of an ordered result; all of it without a limit."""
+    return df if limit is None else df.limit(limit)

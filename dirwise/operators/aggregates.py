@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dirwise.functions.values import filled, or_null, present, round_half_up, text
+from dirwise.functions.values import filled, or_null, present, round_half_up, text, up_to
 from dirwise.operators import filters as f
 
 
@@ -35,8 +35,8 @@ def group_counts(df: DataFrame, by: str) -> DataFrame:
     return df.groupBy(F.coalesce(or_null(by), F.lit("Unknown")).alias(by)).agg(F.count("*").alias("n"))
 
 
-def top_groups(df: DataFrame, by: str, limit: int = 10) -> DataFrame:
-    return df.filter(filled(by)).groupBy(by).agg(F.count("*").alias("n")).orderBy(F.desc("n"), by).limit(limit)
+def top_groups(df: DataFrame, by: str, limit: int | None = 10) -> DataFrame:
+    return up_to(df.filter(filled(by)).groupBy(by).agg(F.count("*").alias("n")).orderBy(F.desc("n"), by), limit)
 
 
 def coverage(df: DataFrame, conditions: dict[str, Column]) -> DataFrame:
@@ -100,10 +100,10 @@ def guardrail_counters(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("total"), count_if(f.tagged("stale_dates_pending_recrawl"), "stale"), count_if(f.tagged("has_anomalies"), "anomaly"))
 
 
-def flagged(df: DataFrame, limit: int = 100) -> DataFrame:
+def flagged(df: DataFrame, limit: int | None = 100) -> DataFrame:
     """First flagged rows of the guardrail report."""
     stale, odd = f.tagged("stale_dates_pending_recrawl"), f.tagged("has_anomalies")
-    return df.filter(stale | odd).select("id", "name", "schoolType", "region", stale.alias("isStale"), odd.alias("isAnomaly")).orderBy("id").limit(limit)
+    return up_to(df.filter(stale | odd).select("id", "name", "schoolType", "region", stale.alias("isStale"), odd.alias("isAnomaly")).orderBy("id"), limit)
 
 
 def rank_coverage(df: DataFrame, max_rank: int = 500) -> DataFrame:

@@ -9,26 +9,41 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dirwise.functions.payloads import template_hash
+from dirwise.functions.payloads import own_values, template_form, template_hash
 from dirwise.functions.sets import pair_key
 from dirwise.functions.values import or_null, text
 from dirwise.operators.ranking import latest
 
 
-def upsert(base: DataFrame, delta: DataFrame, key: str = "id") -> DataFrame:
-    """Whole rows of ``delta`` replace or join those of ``base``."""
-    return base.join(delta.select(key), key, "left_anti").unionByName(delta, allowMissingColumns=True)
+def one_per_key(delta: DataFrame, key: str, order: list[str] | None, first: bool = False) -> DataFrame:
+    """The last row per key by ``order`` (the first, if asked for). Rows that agree in it, or without an order, go by their values."""
+    rest = [c for c in delta.columns if c != key]
+    if not rest:
+        return delta.distinct()
+    rank = F.struct(*(order or []), *[c for c in rest if c not in (order or [])])
+    pick = F.min_by if first else F.max_by
+    return delta.groupBy(key).agg(pick(F.struct(*rest), rank).alias("_r")).select(*[F.col(key) if c == key else F.col(f"_r.{c}").alias(c) for c in delta.columns])
 
 
-def insert_new(base: DataFrame, delta: DataFrame, key: str = "id") -> DataFrame:
-    """Only rows with a key that is not there yet are added; one per key."""
-    fresh = delta.dropDuplicates([key]).join(base.select(key), key, "left_anti")
+def upsert(base: DataFrame, delta: DataFrame, key: str = "id", order: list[str] | None = None) -> DataFrame:
+    """Whole rows of ``delta`` replace or join those of ``base``; of rows with one key the last by ``order`` counts."""
+    last = one_per_key(delta, key, order)
+    return base.join(last.select(key), key, "left_anti").unionByName(last, allowMissingColumns=True)
+
+
+def insert_new(base: DataFrame, delta: DataFrame, key: str = "id", order: list[str] | None = None) -> DataFrame:
+    """Only rows with a key that is not there yet are added; the first per key by ``order``."""
+    fresh = one_per_key(delta, key, order, first=True).join(base.select(key), key, "left_anti")
     return base.unionByName(fresh, allowMissingColumns=True)
 
 
-def patch(base: DataFrame, delta: DataFrame, key: str = "id") -> DataFrame:
-    """Named columns of the rows whose key ``delta`` holds are set, to null as well; other keys are ignored."""
-    cols = [c for c in delta.columns if c != key]
+def patch(base: DataFrame, delta: DataFrame, key: str = "id", order: list[str] | None = None) -> DataFrame:
+    """Named columns of the rows whose key ``delta`` holds are set, to null as well; other keys are ignored.
+
+    Of several rows with one key the last by ``order`` counts; columns named only in ``order`` are not set.
+    """
+    delta = one_per_key(delta, key, order)
+    cols = [c for c in delta.columns if c != key and c in base.columns]
     d = delta.select(key, F.lit(True).alias("_hit"), *[F.col(c).alias(f"_n_{c}") for c in cols])
     out = base.join(d, key, "left")
     return out.select(*[F.when(F.col("_hit"), F.col(f"_n_{c}")).otherwise(F.col(c)).alias(c) if c in cols else F.col(c) for c in base.columns])
@@ -170,8 +185,8 @@ def minimal_diff(log: DataFrame) -> DataFrame:
     return log.withColumn("newState", F.when(~same, F.to_json(diff)))
 
 
-def prune(log: DataFrame, payload: str, drop: list[str], shorten: dict[str, int]) -> DataFrame:
-    """JSON payload without the named keys and with long texts cut to a length."""
+def prune(log: DataFrame, payload: str, drop: list[str], shorten: dict[str, int], key: str = "id") -> tuple[DataFrame, DataFrame]:
+    """(log whose JSON payload lacks the named keys and has long texts cut to a length, side table (key, payload) of the whole payloads that changed)."""
     m = F.map_filter(state_map(payload), lambda k, _: ~k.isin(*drop)) if drop else state_map(payload)
 
     def cut(k, v):
@@ -180,14 +195,27 @@ def prune(log: DataFrame, payload: str, drop: list[str], shorten: dict[str, int]
             out = F.when((k == key) & (F.length(v) > n), F.concat(F.substring(v, 1, n), F.lit("..."))).otherwise(out)
         return out
 
-    return log.withColumn(payload, F.when(F.col(payload).isNotNull(), F.to_json(F.transform_values(m, cut))))
+    gone = (F.size(F.map_filter(state_map(payload), lambda k, _: k.isin(*drop))) > 0) if drop else F.lit(False)
+    long = F.exists(F.map_entries(m), lambda e: F.coalesce(F.length(e["value"]) > F.try_element_at(F.create_map(*[F.lit(x) for kv in shorten.items() for x in kv]), e["key"]), F.lit(False))) if shorten else F.lit(False)
+    side = log.filter(F.col(payload).isNotNull() & (gone | long)).select(key, F.col(payload).alias("payload"))
+    return log.withColumn(payload, F.when(F.col(payload).isNotNull(), F.to_json(F.transform_values(m, cut)))), side
 
 
 def template_dictionary(rows: DataFrame, c: str) -> tuple[DataFrame, DataFrame]:
-    """(rows with the template's key instead of its text, one row per template with its first text and use count)."""
-    keyed = rows.withColumn("template", template_hash(c))
-    templates = keyed.groupBy("template").agg(F.min(c).alias("text"), F.count("*").alias("uses"))
-    return keyed.drop(c), templates
+    """(rows with the template's key and their own values instead of the text, one row per template with its form and use count).
+
+    ``restored_texts`` puts both together again.
+    """
+    keyed = rows.withColumns({"template": template_hash(c), "own": own_values(c), "_form": template_form(c)})
+    templates = keyed.groupBy("template").agg(F.min("_form").alias("text"), F.count("*").alias("uses"))
+    return keyed.drop(c, "_form"), templates
+
+
+def restored_texts(keyed: DataFrame, templates: DataFrame, c: str) -> DataFrame:
+    """The rows of ``template_dictionary`` with their texts; a blank before a line's value is taken as given."""
+    parts = F.split("text", r"(?<=(?:School Name|URN|Postcode|Website):) \{\}(?=\n)", -1)
+    filled_in = F.concat_ws("", F.transform(F.sequence(F.lit(0), F.size("_p") - 1), lambda i: F.concat(F.get("_p", i), F.coalesce(F.get("own", i), F.lit("")))))
+    return keyed.join(templates.select("template", parts.alias("_p")), "template").withColumn(c, filled_in).drop("_p", "own", "template")
 
 
 def relocate(rows: DataFrame, heavy: str, key: str, keep: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -207,9 +235,13 @@ def rebuild(rows: DataFrame, schema) -> DataFrame:
 # ---- accepted changes --------------------------------------------------------------------------
 
 
-def commit_changes(base: DataFrame, accepted: DataFrame, as_of: str) -> DataFrame:
+def commit_changes(base: DataFrame, accepted: DataFrame, as_of: str, order: list[str] | None = None) -> DataFrame:
     """Base rows with accepted proposals (id, schoolType, rawSchoolType, entranceExamType, entranceExamDates) laid over
-    them and marked verified; a null proposal keeps the stored value."""
+    them and marked verified; a null proposal keeps the stored value. Of several proposals for a row the last by ``order`` counts."""
+    nested = [c for c, t in accepted.dtypes if t.startswith("map")]
+    accepted = accepted.withColumns({c: F.array_sort(F.map_entries(c)) for c in nested})
+    accepted = one_per_key(accepted, "id", order)
+    accepted = accepted.withColumns({c: F.map_from_entries(c) for c in nested})
     fields = [c for c in ("schoolType", "rawSchoolType", "entranceExamType", "entranceExamDates") if c in accepted.columns and c in base.columns]
     a = accepted.select("id", F.lit(True).alias("_hit"), *[F.col(c).alias(f"_n_{c}") for c in fields])
     out = base.join(a, "id", "left")

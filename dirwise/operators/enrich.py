@@ -9,8 +9,6 @@ from dirwise.functions.values import contains_any, filled, lenient_int, or_null,
 from dirwise.operators.similarity import contained_names
 from dirwise.sources import seeds
 
-MAX_RULE_WORDS = 5000
-
 
 def plain(c: Column | str) -> Column:
     """Lower case, everything but letters and digits a single blank."""
@@ -24,11 +22,9 @@ def plain_word(w: str) -> str:
 def first_rule(rules: list[dict], name: Column, district: Column, selective: Column) -> Column:
     """Position of the first rule whose word the name contains, or, for a selective entity, whose district it lies in.
 
-    Rules come from an edited file and become one expression; past
-    MAX_RULE_WORDS words use ``first_rule_table``.
+    Rules come from an edited file and become one expression. For rules in a
+    table there is ``first_rule_table``.
     """
-    if sum(len(r["schoolKeywords"]) + len(r.get("laList") or []) for r in rules) > MAX_RULE_WORDS:
-        raise ValueError("too many rule words for one expression, use first_rule_table")
     out = F.when(F.lit(False), 0)
     for i, r in enumerate(rules):
         named = contains_any(name, [plain_word(k) for k in r["schoolKeywords"]])
@@ -37,11 +33,20 @@ def first_rule(rules: list[dict], name: Column, district: Column, selective: Col
     return out
 
 
-def first_rule_table(df: DataFrame, words: DataFrame, name: str, key: str = "id") -> DataFrame:
-    """(id, ordinal) of the first rule with a word inside the name, for rule tables of any size.
+def first_rule_table(df: DataFrame, words: DataFrame, name: str, key: str = "id", districts: DataFrame | None = None, district: str = "la", selective: Column | None = None) -> DataFrame:
+    """(id, ordinal) of the first rule with a word inside the name or, for a selective entity, a district inside its own; for rule tables of any size.
 
-    words: (ordinal, word). Names and words meet on three-letter pieces.
+    words: (ordinal, word); districts: (ordinal, word). Names and words meet on three-letter pieces.
     """
+    if districts is not None:
+        by_name = first_rule_table(df, words, name, key)
+        low = df.filter(F.coalesce(selective, F.lit(False))).select(key, F.lower(text(district)).alias("_p"))
+        # district names are few: each distinct one is compared with the rules' districts once
+        listed = districts.groupBy(F.lower("word").alias("_w")).agg(F.min("ordinal").alias("ordinal"))
+        names = low.select(F.col("_p").alias("name")).distinct()
+        met = contained_names(listed.select(F.col("_w").alias("name")), names, "name").join(listed.withColumnRenamed("_w", "inner_name"), "inner_name")
+        by_place = low.join(met.groupBy(F.col("outer_name").alias("_p")).agg(F.min("ordinal").alias("ordinal")), "_p").select(key, "ordinal")
+        return by_name.unionByName(by_place).groupBy(key).agg(F.min("ordinal").alias("ordinal"))
     w = words.groupBy("word").agg(F.min("ordinal").alias("ordinal"))
     names = df.select(plain(name).alias("name"))
     hit = contained_names(w.select(F.col("word").alias("name")), names, "name")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dirwise.functions.names import LONDON_DISTRICTS
-from dirwise.functions.values import any_of, contains_any, filled, present, text, trim_all
+from dirwise.functions.values import any_of, contains_any, filled, present, text, trim_all, up_to
 
 SEARCH_FIELDS = (
     "name", "postcode", "la", "address", "urn", "region", "entranceExamType", "admissionsPolicy", "description", "website",
@@ -183,11 +183,13 @@ SKIP_DAYS = 10
 
 
 def due(as_of: dt.datetime, skip_days: int | None = SKIP_DAYS, force: bool = False) -> Column:
-    """Not enriched yet and not verified within the last ``skip_days`` (0 to 100; 0 is off).
+    """Not enriched yet and not verified within the last ``skip_days`` (0 is off).
 
     With ``force`` enriched rows stay, and only a window given explicitly counts.
     """
-    days = max(0, min(100, skip_days if skip_days is not None else (0 if force else SKIP_DAYS)))
+    days = skip_days if skip_days is not None else (0 if force else SKIP_DAYS)
+    if days < 0:
+        raise ValueError("a window of days cannot be negative")
     cutoff = (as_of - dt.timedelta(days=days)).strftime("%Y-%m-%dT%H:%M:%S.%f")[:-3] + "Z"
     old = never_verified() | (F.col("verified_at") < cutoff) if days else F.lit(True)
     if force:
@@ -208,8 +210,8 @@ def queue_order() -> list[Column]:
     return [rank.asc(), F.col("verified_at").asc_nulls_first(), F.col("id").asc()]
 
 
-def work_queue(df: DataFrame, name: str, as_of: dt.datetime, limit: int = 50, skip_days: int | None = SKIP_DAYS, force=False) -> DataFrame:
-    return df.filter(category(name) & due(as_of, skip_days, force)).orderBy(*queue_order()).limit(limit)
+def work_queue(df: DataFrame, name: str, as_of: dt.datetime, limit: int | None = 50, skip_days: int | None = SKIP_DAYS, force=False) -> DataFrame:
+    return up_to(df.filter(category(name) & due(as_of, skip_days, force)).orderBy(*queue_order()), limit)
 
 
 # ---- preferences -------------------------------------------------------------------------------
@@ -277,9 +279,9 @@ def website_state(name: str) -> Column:
     return has_link() & states[name]
 
 
-def health_queue(df: DataFrame, limit: int = 50) -> DataFrame:
+def health_queue(df: DataFrame, limit: int | None = 50) -> DataFrame:
     """Linked websites to check next: never tested first, then the longest untested."""
-    return df.filter(has_link()).orderBy((~website_state("unscanned")).cast("int"), F.col("verified_at").asc_nulls_first(), "id").limit(limit)
+    return up_to(df.filter(has_link()).orderBy((~website_state("unscanned")).cast("int"), F.col("verified_at").asc_nulls_first(), "id"), limit)
 
 
 # Marks of test data, names that only look like it, and ids and keys test runs leave behind.

@@ -107,7 +107,9 @@ def apply_list_ranks(entities: DataFrame, ranked: DataFrame, links: DataFrame) -
     """Entities with the list's ranks, all other ranks cleared, and keyed newcomers added.
 
     ranked also holds gcseRank, aLevelRank, nationalRank, town, region, schoolType.
-    Where several entries found one entity, the last entry counts.
+    Where several entries found one entity, the last entry counts; of several
+    newcomers with one key the first. A newcomer whose id is there already is
+    no newcomer.
     """
     national = F.coalesce("nationalRank", F.when(F.col("gcseRank") != 0, F.col("gcseRank")), F.when(F.col("aLevelRank") != 0, F.col("aLevelRank")))
     rows = ranked.withColumn("_nat", national).join(links, "entry", "left")
@@ -116,8 +118,11 @@ def apply_list_ranks(entities: DataFrame, ranked: DataFrame, links: DataFrame) -
     out = entities.select(*cols).join(held, "id", "left").select(
         *cols, F.col("n.gcseRank").cast("int").alias("gcse_rank_england"), F.col("n.aLevelRank").cast("int").alias("a_level_rank_england"),
         F.col("n._nat").cast("int").alias("national_rank_england"))
-    fresh = rows.filter(F.col("id").isNull() & filled("urn")).select(
-        F.concat(F.lit("sch-gov-"), "urn").alias("id"), "name", "urn", "postcode", F.coalesce(or_null("region"), F.lit("Greater London / UK")).alias("region"),
+    new = rows.filter(F.col("id").isNull() & filled("urn")).drop("id").withColumn("id", F.concat(F.lit("sch-gov-"), "urn"))
+    firsts = new.groupBy("id").agg(F.min("entry").alias("entry"))
+    new = new.join(firsts, ["id", "entry"]).join(entities.select("id"), "id", "left_anti")
+    fresh = new.select(
+        "id", "name", "urn", "postcode", F.coalesce(or_null("region"), F.lit("Greater London / UK")).alias("region"),
         F.coalesce(or_null("town"), F.lit("London")).alias("la"), F.coalesce(or_null("schoolType"), F.lit("Grammar")).alias("schoolType"),
         F.col("gcseRank").cast("int").alias("gcse_rank_england"), F.col("aLevelRank").cast("int").alias("a_level_rank_england"),
         F.col("_nat").cast("int").alias("national_rank_england"), F.lit("official").alias("verification_status"))
@@ -187,7 +192,9 @@ def as_entities(register: DataFrame) -> DataFrame:
 
 def ingest_gap(entities: DataFrame, register: DataFrame) -> DataFrame:
     """New entities for the register rows that are missing; existing ids are left alone."""
-    fresh = as_entities(missing_rows(entities, register)).dropDuplicates(["id"])
+    new = as_entities(missing_rows(entities, register))
+    rest = [c for c in new.columns if c != "id"]
+    fresh = new.groupBy("id").agg(F.min(F.struct(*rest)).alias("_r")).select(*[F.col(c) if c == "id" else F.col(f"_r.{c}").alias(c) for c in new.columns])  # of equal keys the first by its values
     return fresh.join(entities.select("id"), "id", "left_anti")
 
 

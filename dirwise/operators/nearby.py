@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from dirwise.functions import geo, names
 from dirwise.functions.values import round_half_up
+from dirwise.session import saved
 
 EXACT, DISTRICT = "exact_unit", "district_centroid"
 
@@ -30,9 +31,10 @@ def locate(df: DataFrame, code: str, coords: DataFrame, districts: DataFrame) ->
     Adds easting, northing and precision; rows without any keep nulls.
     """
     first = coords.groupBy("outcode").agg(F.min_by(F.struct("easting", "northing"), "postcode").alias("_s"))
-    rows = df.withColumns({"_pc": names.postcode(code), "_oc": names.outcode(code)})
-    units = coords.select(F.col("postcode").alias("_pc"), F.struct("easting", "northing").alias("_u"))
-    areas = districts.select(F.col("outcode").alias("_oc"), F.struct("easting", "northing").alias("_d"))
+    rows = df.withColumns({"_pc": F.nullif(names.postcode(code), F.lit("")), "_oc": F.nullif(names.outcode(code), F.lit(""))})
+    # one position per postcode and district, the smallest; blank postcodes find none
+    units = coords.filter("postcode <> ''").groupBy(F.col("postcode").alias("_pc")).agg(F.min(F.struct("easting", "northing")).alias("_u"))
+    areas = districts.filter("outcode <> ''").groupBy(F.col("outcode").alias("_oc")).agg(F.min(F.struct("easting", "northing")).alias("_d"))
     samples = first.select(F.col("outcode").alias("_oc"), "_s")
     out = rows.join(units, "_pc", "left").join(areas, "_oc", "left").join(samples, "_oc", "left")
     pick = lambda f: F.coalesce(F.col(f"_u.{f}"), F.col(f"_d.{f}"), F.col(f"_s.{f}"))
@@ -40,17 +42,14 @@ def locate(df: DataFrame, code: str, coords: DataFrame, districts: DataFrame) ->
     return out.withColumns({"easting": pick("easting"), "northing": pick("northing"), "precision": precision}).drop("_pc", "_oc", "_u", "_d", "_s")
 
 
-MAX_ANCHORS = 1000
-
-
 def nearest_anchor(df: DataFrame, anchors: list[tuple[float, float]]) -> DataFrame:
     """Miles and kilometres from each row to the closest of a few given points.
 
     The points are the places one user typed, so they travel as a literal.
-    For tables of points use ``within``.
+    For tables of points use ``nearest_of``.
     """
-    if not 0 < len(anchors) <= MAX_ANCHORS:
-        raise ValueError(f"between 1 and {MAX_ANCHORS} anchors expected")
+    if not anchors:
+        raise ValueError("at least one anchor expected")
     points = F.array(*[F.struct(F.lit(float(e)).alias("e"), F.lit(float(n)).alias("n")) for e, n in anchors])
     metres = F.array_min(F.transform(points, lambda p: geo.grid_metres("easting", "northing", p["e"], p["n"])))
     out = df.withColumn("_m", metres)
@@ -90,6 +89,28 @@ def closest_within(left: DataFrame, right: DataFrame, miles: float, left_key: st
     return best.select(left_key, f"b.{right_key}", "b.distanceMiles")
 
 
+def nearest_of(left: DataFrame, right: DataFrame, miles: float = 4.0, left_key: str = "id", right_key: str = "anchor_id") -> DataFrame:
+    """The nearest row of a table of any size for each located left row.
+
+    Rings grow: rows that find nothing within a radius look within four times
+    that radius, so most rows meet near ones only. Rows without a position, or
+    without any right row, are left out.
+    """
+    open_rows = left.filter("easting is not null and northing is not null").select(left_key, "easting", "northing")
+    points = right.filter("easting is not null and northing is not null").select(right_key, "easting", "northing")
+    both = open_rows.select("easting", "northing").unionByName(points.select("easting", "northing"))
+    span = both.agg(F.max("easting") - F.min("easting") + F.max("northing") - F.min("northing")).first()[0]
+    widest = float(span or 0) / geo.METRES_PER_MILE
+    out = None
+    while True:
+        found = saved(closest_within(open_rows, points, miles, left_key, right_key))
+        out = found if out is None else out.unionByName(found)
+        if miles > widest:
+            return out
+        open_rows = open_rows.join(found.select(left_key), left_key, "left_anti")
+        miles *= 4
+
+
 def selection_centroid(df: DataFrame) -> DataFrame:
     """Rounded mean position of the located rows of a selection (one row)."""
     return df.filter("easting is not null and easting <> 0 and northing is not null and northing <> 0").agg(

@@ -126,9 +126,14 @@ def fetch_state(code: Column, redirect: Column, error: Column) -> Column:
         .when(code.isin(404, 410), "not_found").otherwise("active_with_warning"))
 
 
-def website_verdicts(df: DataFrame, fetched: DataFrame, as_of: str) -> DataFrame:
-    """Entities with what a table of fetch results (id, status, redirectUrl) says about their site."""
-    out = df.join(fetched.select("id", F.col("status").alias("_st"), F.col("redirectUrl").alias("_to")), "id", "left")
+def website_verdicts(df: DataFrame, fetched: DataFrame, as_of: str, newest: Column | None = None) -> DataFrame:
+    """Entities with what a table of fetch results (id, status, redirectUrl) says about their site.
+
+    Of several results for one entity the first counts, by ``newest`` (a number that is smallest for the newest) if given, then by status.
+    """
+    order = (F.lit(0) if newest is None else newest).alias("_o")
+    once = fetched.groupBy("id").agg(F.min(F.struct(order, F.col("status").alias("_st"), F.col("redirectUrl").alias("_to"))).alias("_f"))
+    out = df.join(once.select("id", "_f._st", "_f._to"), "id", "left")
     checked, st = F.col("_st").isNotNull() & filled("website"), F.col("_st")
     raw = trim_all(text("website"))
     up = (st == "redirect") & raw.startswith("http://") & text("_to").startswith("https://")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dirwise.functions.values import lenient_float, or_null, text
+from dirwise.functions.values import lenient_float, or_null, text, up_to
 from dirwise.session import saved
 
 
@@ -89,8 +89,8 @@ def sync_ranks(df: DataFrame, max_rank: int = 500, jitter: bool = False) -> Data
     return out.select(*[F.col(f"_k_{c}").cast("int").alias(c) if c in RANKS else F.col(c) for c in df.columns])
 
 
-def top_ranked(df: DataFrame, by: str, limit: int = 10) -> DataFrame:
-    return df.filter(F.col(by).isNotNull()).select("id", "name", "postcode", "schoolType", *RANKS).orderBy(by, "id").limit(limit)
+def top_ranked(df: DataFrame, by: str, limit: int | None = 10) -> DataFrame:
+    return up_to(df.filter(F.col(by).isNotNull()).select("id", "name", "postcode", "schoolType", *RANKS).orderBy(by, "id"), limit)
 
 
 def current_by_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

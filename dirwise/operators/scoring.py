@@ -269,7 +269,7 @@ def recommend(
     out = pool.select("id", score.cast("int").alias("matchScore"), "distanceMiles", reasons.alias("reasons"))
     if limit is None:
         return out
-    return out.orderBy(F.desc("matchScore"), "id").limit(max(1, min(100, limit)))
+    return out.orderBy(F.desc("matchScore"), "id").limit(limit)
 
 
 # ---- other scores ------------------------------------------------------------------------------

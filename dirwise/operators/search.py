@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dirwise.functions.values import any_of, bind, filled, present, text, trim_all
+from dirwise.functions.values import any_of, bind, filled, present, text, trim_all, up_to
 from dirwise.operators.ranking import latest
 
 INDEX_COLUMNS = ("name", "la", "region", "address", "description")
@@ -28,7 +28,7 @@ def stem(w: Column) -> Column:
     It brings plural, past and -ing forms together; it is coarser than a full
     Porter stemmer and, as a built-in expression, needs no Python worker.
     """
-    return F.regexp_replace(w, rf"^(.{{3,64}}?)(?:{'|'.join(ENDINGS)})$", "$1")
+    return F.regexp_replace(w, rf"^(.{{3,}}?)(?:{'|'.join(ENDINGS)})$", "$1")
 
 
 def token_table(df: DataFrame, key: str, columns) -> DataFrame:
@@ -40,7 +40,7 @@ def token_table(df: DataFrame, key: str, columns) -> DataFrame:
 def query_terms(query: str) -> list[str]:
     import re
 
-    return [w for w in re.split(r"[^\w]+", query.lower()) if w]
+    return [w for w in re.split(r"[\W_]+", query.lower()) if w]
 
 
 def _term_match(query: str, word: Column) -> list[Column]:
@@ -94,10 +94,10 @@ def search_index(index: DataFrame, query: str, key: str = "id", limit: int | Non
     return out.orderBy(F.desc("score"), key).limit(limit) if limit else out
 
 
-def contains_search(df: DataFrame, query: str, columns=("name", "la", "postcode"), limit: int = 50, key: str = "id") -> DataFrame:
+def contains_search(df: DataFrame, query: str, columns=("name", "la", "postcode"), limit: int | None = 50, key: str = "id") -> DataFrame:
     """Plain substring search, case ignored."""
     needle = query.lower()
-    return df.filter(any_of([F.lower(text(c)).contains(needle) for c in columns])).orderBy(key).limit(limit)
+    return up_to(df.filter(any_of([F.lower(text(c)).contains(needle) for c in columns])).orderBy(key), limit)
 
 
 # Well-known areas and where they lie.
@@ -142,13 +142,13 @@ def location_index(df: DataFrame, areas=KEY_AREAS) -> DataFrame:
     return best.select("b.*")
 
 
-def suggest(index: DataFrame, query: str, limit: int = 10) -> DataFrame:
+def suggest(index: DataFrame, query: str, limit: int | None = 10) -> DataFrame:
     """Names starting with the text before names or subtitles containing it."""
     q = query.strip().lower()
     name = F.lower("name")
     starts = name.startswith(q)
     hit = index.filter(starts | name.contains(q) | F.lower(text("subtitle")).contains(q)) if q else index.limit(0)
-    return hit.orderBy((~starts).cast("int"), "priority", F.length("name"), "name").limit(limit)
+    return up_to(hit.orderBy((~starts).cast("int"), "priority", F.length("name"), "name"), limit)
 
 
 def point_lookup(df: DataFrame, key: str, value) -> DataFrame:

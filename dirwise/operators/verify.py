@@ -232,9 +232,9 @@ def candidate_match(df: DataFrame) -> DataFrame:
     return d.withColumns({"isMatch": match, "confidenceScore": F.when(match, F.when(high, 92).otherwise(85)), "matchFactors": F.when(match, factors)}).drop("_b", "_k", "_a", "_r", "_x")
 
 
-def choose_candidate(matched: DataFrame, key: str = "id", rank: str = "candidate", best: int = 2) -> DataFrame:
-    """The first of the leading candidates that matches, per entity."""
-    ok = matched.filter(F.col("isMatch") & (F.col(rank) <= best))
+def choose_candidate(matched: DataFrame, key: str = "id", rank: str = "candidate", best: int | None = None) -> DataFrame:
+    """The first candidate that matches, per entity; only the ``best`` leading ones, if given."""
+    ok = matched.filter(F.col("isMatch") if best is None else F.col("isMatch") & (F.col(rank) <= best))
     return ok.groupBy(key).agg(F.min_by(F.struct(rank, "url", "confidenceScore"), rank).alias("c")).select(key, f"c.{rank}", F.col("c.url").alias("proposedWebsite"), "c.confidenceScore")
 
 

@@ -15,6 +15,7 @@ from dirwise.plans.registry import query
 def now():
     return F.lit("2026-09-15 00:00:00").cast("timestamp_ntz")
 
+# Every delta key comes twice; what counts is the row with the larger turn (for insertions: the smaller).
 _DELTA = "SELECT id, 'new ' || k AS name, 'p' || k AS phone FROM entity WHERE k % 5 = 2 UNION ALL SELECT 'n' || k, 'added ' || k, NULL FROM entity WHERE k % 50 = 9"
 
 
@@ -22,17 +23,19 @@ def _base_delta(spark, sf):
     e = view(spark, sf, "entity").select("id", "k", "name", "phone", "la")
     upd = e.filter("k % 5 = 2").select("id", F.concat(F.lit("new "), "k").alias("name"), F.concat(F.lit("p"), "k").alias("phone"))
     add = e.filter("k % 50 = 9").select(F.concat(F.lit("n"), "k").alias("id"), F.concat(F.lit("added "), "k").alias("name"), F.lit(None).cast("string").alias("phone"))
-    return e.select("id", "name", "phone", "la"), upd.unionByName(add)
+    delta = upd.unionByName(add)
+    twice = delta.withColumn("turn", F.lit(2)).unionByName(delta.select("id", F.concat(F.lit("zz old "), "name").alias("name"), F.lit("zz").alias("phone"), F.lit(1).alias("turn")))
+    return e.select("id", "name", "phone", "la"), twice
 
 
 @query("ups01_upserted", f"WITH d AS ({_DELTA}) SELECT id, name, phone, la FROM entity WHERE id NOT IN (SELECT id FROM d) UNION ALL SELECT id, name, phone, NULL FROM d", uses=("entity",))
 def upserted(spark, sf):
-    return changes.upsert(*_base_delta(spark, sf))
+    return changes.upsert(*_base_delta(spark, sf), order=["turn"]).drop("turn")
 
 
 @query("ups02_patched", f"WITH d AS ({_DELTA}) SELECT e.id, coalesce(d.name, e.name) AS name, CASE WHEN d.id IS NULL THEN e.phone ELSE d.phone END AS phone, la FROM entity e LEFT JOIN d USING (id)", uses=("entity",))
 def patched(spark, sf):
-    return changes.patch(*_base_delta(spark, sf))
+    return changes.patch(*_base_delta(spark, sf), order=["turn"])
 
 
 @query("ups03_patched_many", "SELECT id, CASE WHEN k % 7 = 3 THEN 'Essex' ELSE la END AS la, CASE WHEN k % 7 = 3 THEN true ELSE hot END AS hot FROM entity", uses=("entity",))
@@ -58,9 +61,9 @@ def last_reports(spark, sf):
     return changes.upsert_by_key(r.limit(0), r, ["userId", "schoolId", "fieldName"], ["reportedAt", "event_id"]).select("userId", "schoolId", "fieldName", "status", "customValue")
 
 
-@query("ups07_inserted", f"WITH d AS ({_DELTA}) SELECT id, name FROM entity UNION ALL SELECT id, name FROM d WHERE id NOT IN (SELECT id FROM entity)", uses=("entity",))
+@query("ups07_inserted", f"WITH d AS ({_DELTA}) SELECT id, name FROM entity UNION ALL SELECT id, 'zz old ' || name FROM d WHERE id NOT IN (SELECT id FROM entity)", uses=("entity",))
 def inserted(spark, sf):
-    return changes.insert_new(*_base_delta(spark, sf)).select("id", "name")
+    return changes.insert_new(*_base_delta(spark, sf), order=["turn"]).select("id", "name")
 
 
 # Merge plan: planted copies into the row they copy.
@@ -117,11 +120,11 @@ def repointed_votes(spark, sf):
 
 
 @query("jn17_repointed_lists", """
-WITH l AS (SELECT o_custkey % 300 AS "userId", o_orderkey AS ord, concat('e', lpad(cast(o_custkey AS STRING), 9, '0')) AS item FROM orders)
+WITH l AS (SELECT cast(floor(o_custkey / 8) AS BIGINT) AS "userId", o_orderkey AS ord, concat('e', lpad(cast(o_custkey AS STRING), 9, '0')) AS item FROM orders)
 SELECT "userId", string_agg(coalesce(prim, item), ',' ORDER BY ord) AS items FROM l LEFT JOIN plan ON sec = item GROUP BY 1""", uses=("entity", "plan"))
 def repointed_lists(spark, sf):
     item = F.concat(F.lit("e"), F.lpad(F.col("o_custkey").cast("string"), 9, "0"))
-    o = table(spark, sf, "orders").groupBy((F.col("o_custkey") % 300).alias("userId")).agg(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", item.alias("i")))), lambda s: s["i"]).alias("items"))
+    o = table(spark, sf, "orders").groupBy(F.floor(F.col("o_custkey") / 8).alias("userId")).agg(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", item.alias("i")))), lambda s: s["i"]).alias("items"))
     mapping = _plan(spark, sf).select(F.col("secondary").alias("old"), F.col("primary").alias("new"))
     return changes.remap_arrays(o, mapping, "userId", ["items"]).select("userId", F.array_join("items", ",").alias("items"))
 
@@ -134,8 +137,9 @@ def confidence_floor(spark, sf):
 @query("ups10_committed", """SELECT id, CASE WHEN k % 6 = 1 AND k % 4 <> 0 THEN 'Grammar' ELSE schoolType END AS "schoolType", CASE WHEN k % 6 = 1 THEN 'auto_verified' ELSE verification_status END AS verification_status, CASE WHEN k % 6 = 1 THEN 98 ELSE confidence_score END AS confidence_score FROM school""", uses=SCHOOL)
 def committed(spark, sf):
     s = schools(spark, sf)
-    acc = s.filter("k % 6 = 1").select("id", F.when(F.col("k") % 4 != 0, "Grammar").alias("schoolType"))
-    return changes.commit_changes(s, acc, "2026-09-15T00:00:00Z").select("id", "schoolType", "verification_status", "confidence_score")
+    acc = s.filter("k % 6 = 1").select("id", F.when(F.col("k") % 4 != 0, "Grammar").alias("schoolType"), F.lit(2).alias("turn"))
+    acc = acc.unionByName(acc.select("id", F.lit("Withdrawn").alias("schoolType"), F.lit(1).alias("turn")))
+    return changes.commit_changes(s, acc, "2026-09-15T00:00:00Z", order=["turn"]).select("id", "schoolType", "verification_status", "confidence_score")
 
 
 @query("ups11_logged_changes", """SELECT id AS "schoolId", 'EDIT' AS "actionType" FROM entity WHERE k % 7 = 3 AND la <> 'Essex'""", uses=("entity",))
@@ -179,16 +183,31 @@ def minimal_log(spark, sf):
     return out.select("id", F.when(F.col("newState").isNotNull(), F.to_json(F.map_from_entries(F.array_sort(F.map_entries(m))))).alias("newState"))
 
 
-@query("ups16_pruned_log", """SELECT id, previousState ->> 'phone' AS phone, previousState ->> 'website' AS website, NULL AS gender FROM audit""", uses=("audit",))
+@query("ups16_pruned_log", """SELECT id, left(previousState ->> 'phone', 1) || '...' AS phone, previousState ->> 'website' AS website, NULL AS gender FROM audit""", uses=("audit",))
 def pruned_log(spark, sf):
-    out = changes.prune(view(spark, sf, "audit"), "previousState", ["gender"], {"note": 3})
+    out, _ = changes.prune(view(spark, sf, "audit"), "previousState", ["gender"], {"phone": 1, "website": 2})
     g = lambda k: F.get_json_object("previousState", f"$.{k}").alias(k)
     return out.select("id", g("phone"), g("website"), g("gender"))
 
 
-@query("ups16_template_dictionary", "SELECT left(sha256(left(text, 1000)), 16) AS template, md5(min(text)) AS text, count(*) AS uses FROM documents GROUP BY 1")
+@query("ups16_pruned_payloads", """SELECT id, previousState AS payload FROM audit""", uses=("audit",))
+def pruned_payloads(spark, sf):
+    return changes.prune(view(spark, sf, "audit"), "previousState", ["gender"], {"phone": 1})[1]
+
+
+def _prompts(spark, sf):
+    """Every text under two lines of an entity of its own."""
+    return table(spark, sf, "documents").select("doc_id", F.concat(F.lit("School Name: s"), "doc_id", F.lit("\nURN:"), "doc_id", F.lit("\n"), "text").alias("prompt"))
+
+
+@query("ups16_template_dictionary", "SELECT sha256('School Name: {}' || chr(10) || 'URN: {}' || chr(10) || text) AS template, md5(min('School Name: {}' || chr(10) || 'URN: {}' || chr(10) || text)) AS text, count(*) AS uses FROM documents GROUP BY 1")
 def template_dictionary(spark, sf):
-    return changes.template_dictionary(table(spark, sf, "documents"), "text")[1].select("template", F.md5("text").alias("text"), "uses")
+    return changes.template_dictionary(_prompts(spark, sf), "prompt")[1].select("template", F.md5("text").alias("text"), "uses")
+
+
+@query("ups16_restored_texts", "SELECT doc_id, md5('School Name: s' || doc_id || chr(10) || 'URN:' || doc_id || chr(10) || text) AS prompt FROM documents")
+def restored_texts(spark, sf):
+    return changes.restored_texts(*changes.template_dictionary(_prompts(spark, sf), "prompt"), "prompt").select("doc_id", F.md5("prompt").alias("prompt"))
 
 
 @query("ups17_relocated", "SELECT count(*) AS rows_moved, sum(octet_length(encode(newState))) AS bytes_moved FROM audit", uses=("audit",))

@@ -52,6 +52,13 @@ def nearest(spark, sf):
 ANCHORS = "SELECT vec_id AS anchor_id, 500000 + (vec_id * 977) % 60000 AS easting, 150000 + (vec_id * 613) % 50000 AS northing FROM embeddings"
 
 
+@query("jn10_nearest_anchor", f"""WITH a AS ({ANCHORS}), p AS (SELECT l.id, a.anchor_id, l.easting AS e1, l.northing AS n1, a.easting AS e2, a.northing AS n2 FROM located l, a WHERE l.easting IS NOT NULL)
+SELECT id, arg_min(anchor_id, ({D_MILES}, anchor_id)) AS anchor_id, min({D_MILES}) AS "distanceMiles" FROM p GROUP BY 1""", uses=LOC)
+def nearest_anchor_rows(spark, sf):
+    table(spark, sf, "embeddings").createOrReplaceTempView("embeddings")
+    return nearby.nearest_of(located(spark, sf), spark.sql(ANCHORS), 0.25)
+
+
 @query("jn10_within_radius", f"""WITH a AS ({ANCHORS}), p AS (SELECT l.id, a.anchor_id, l.easting AS e1, l.northing AS n1, a.easting AS e2, a.northing AS n2 FROM located l JOIN a ON l.easting BETWEEN a.easting - 2000 AND a.easting + 2000)
 SELECT id, anchor_id, {D_MILES} AS "distanceMiles" FROM p WHERE {D_MILES} <= 1""", uses=LOC)
 def within_radius(spark, sf):

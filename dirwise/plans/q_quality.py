@@ -376,11 +376,13 @@ def proposal_sources(spark, sf):
 
 
 @query("jn06_first_rules", """
-WITH r(ordinal, word) AS (VALUES (0, 'small ring'), (1, 'bolt'), (2, 'nation 1'), (3, 'gear'), (3, 'zz')), e AS (SELECT id, trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')) AS nm FROM entity)
-SELECT id, min(ordinal) AS ordinal FROM e JOIN r ON contains(nm, word) GROUP BY 1""", uses=("entity",))
+WITH r(ordinal, word) AS (VALUES (0, 'small ring'), (1, 'bolt'), (2, 'nation 1'), (3, 'gear'), (3, 'zz')), p(ordinal, word) AS (VALUES (0, 'kent'), (1, 'sutton'), (2, 'essex'), (3, 'nowhere')),
+e AS (SELECT id, trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')) AS nm, lower(coalesce(la, '')) AS pl, k % 3 = 1 AS sel FROM entity)
+SELECT id, min(ordinal) AS ordinal FROM (SELECT id, ordinal FROM e JOIN r ON contains(nm, word) UNION ALL SELECT id, ordinal FROM e JOIN p ON sel AND contains(pl, word)) GROUP BY 1""", uses=("entity",))
 def first_rules(spark, sf):
     words = spark.createDataFrame([(0, "small ring"), (1, "bolt"), (2, "nation 1"), (3, "gear"), (3, "zz")], "ordinal int, word string")
-    return enrich.first_rule_table(view(spark, sf, "entity"), words, "name")
+    places = spark.createDataFrame([(0, "Kent"), (1, "Sutton"), (2, "Essex"), (3, "Nowhere")], "ordinal int, word string")
+    return enrich.first_rule_table(view(spark, sf, "entity"), words, "name", districts=places, selective=F.col("k") % 3 == 1)
 
 
 @query("dq18_refined_blanks", """SELECT id, CASE WHEN b THEN 'Comprehensive' ELSE schoolType END AS "schoolType", CASE WHEN b THEN 'Non-selective (Distance & Sibling Criteria - Local Authority CAF)' ELSE entranceExamType END AS "entranceExamType",

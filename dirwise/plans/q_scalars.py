@@ -483,7 +483,7 @@ def tag_edits(spark, sf):
     return entities(spark, sf).select("id", F.array_join(t, "|").alias("tags"))
 
 
-@query("scl35_text_hashes", "SELECT doc_id, left(sha256(left(text, 1000)), 16) AS template FROM documents")
+@query("scl35_text_hashes", "SELECT doc_id, sha256(text) AS template FROM documents")
 def text_hashes(spark, sf):
     return table(spark, sf, "documents").select("doc_id", payloads.template_hash("text").alias("template"))
 

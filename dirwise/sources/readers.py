@@ -11,7 +11,6 @@ from dirwise.functions.names import join_address, region_of, register_type
 from dirwise.functions.values import filled, lenient_float, or_null, round_half_up, text, trim_all
 from dirwise.operators.records import hydrate
 
-MAX_RULES = 1000
 
 
 def directory(spark: SparkSession, path: str, fmt: str = "parquet", schema=None) -> DataFrame:
@@ -66,9 +65,7 @@ def rules(spark: SparkSession, path: str) -> tuple[list[dict], list[dict]]:
         return [], []
 
     def one(c: str) -> list[dict]:
-        rows = m.select(F.posexplode(c).alias("pos", "r")).orderBy("pos").select("r.*").limit(MAX_RULES + 1).collect()
-        if len(rows) > MAX_RULES:
-            raise ValueError(f"{c} holds more than {MAX_RULES} rules; use enrich.first_rule_table")
+        rows = m.select(F.posexplode(c).alias("pos", "r")).orderBy("pos").select("r.*").collect()  # a file edited by hand
         return [r.asDict(recursive=True) for r in rows]
 
     return one("state_consortia"), one("independent_consortia")
