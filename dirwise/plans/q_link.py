@@ -213,13 +213,43 @@ FROM events LEFT JOIN entity e ON e.k = event_id % 3000
 """
 
 
-@query("er13_import_triage", None)
+# The batch read row by row, as it is stated: every step carries the names and keys accepted so far.
+TRIAGE = f"""RECURSIVE b AS (SELECT *, lower(trim(name)) AS nm, CASE WHEN trim(urn) NOT IN ('', 'N/A') THEN trim(urn) END AS ur, trim(name) <> '' AND trim(la) <> '' AS ok FROM ({BATCH})),
+kn AS (SELECT lower(trim(name)) AS nm, max(id) AS by_name FROM entity WHERE trim(name) <> '' GROUP BY 1), ku AS (SELECT trim(urn) AS ur, max(id) AS by_urn FROM entity WHERE trim(coalesce(urn, '')) NOT IN ('', 'N/A') GROUP BY 1),
+k AS (SELECT b.*, coalesce(by_name, by_urn) AS known FROM b LEFT JOIN kn USING (nm) LEFT JOIN ku USING (ur)),
+o AS (SELECT row_number() OVER (ORDER BY rowNum) AS n, rowNum, dense_rank() OVER (ORDER BY nm) AS nm, CASE WHEN ur IS NOT NULL THEN dense_rank() OVER (ORDER BY ur) END AS ur FROM k WHERE ok AND known IS NULL),
+step(n, rowNum, taken, names, urns) AS (
+  SELECT cast(0 AS BIGINT), cast(NULL AS BIGINT), false, cast([] AS BIGINT[]), cast([] AS BIGINT[])
+  UNION ALL SELECT n, rowNum, free, CASE WHEN free THEN list_append(names, nm) ELSE names END, CASE WHEN free AND ur IS NOT NULL THEN list_append(urns, ur) ELSE urns END
+  FROM (SELECT o.n, o.rowNum, o.nm, o.ur, step.names, step.urns, NOT (list_contains(step.names, o.nm) OR (o.ur IS NOT NULL AND list_contains(step.urns, o.ur))) AS free FROM step JOIN o ON o.n = step.n + 1)),
+a AS (SELECT rowNum FROM step WHERE taken),
+an AS (SELECT nm, min(rowNum) AS first_name FROM k JOIN a USING (rowNum) GROUP BY 1), au AS (SELECT ur, min(rowNum) AS first_urn FROM k JOIN a USING (rowNum) WHERE ur IS NOT NULL GROUP BY 1),
+t AS (SELECT k.rowNum, ok, known, a.rowNum IS NOT NULL AS acc, coalesce(first_name < k.rowNum, false) OR coalesce(first_urn < k.rowNum, false) AS again FROM k LEFT JOIN a USING (rowNum) LEFT JOIN an USING (nm) LEFT JOIN au USING (ur))
+"""
+
+
+@query("er13_import_triage", f"""WITH {TRIAGE} SELECT rowNum AS "rowNum", CASE WHEN NOT ok THEN 'invalid' WHEN acc THEN 'verified' ELSE 'duplicate' END AS state,
+ CASE WHEN NOT ok THEN 'Missing school name or local authority' WHEN acc THEN NULL WHEN again THEN 'Duplicate entry within bulk batch' ELSE 'Matches existing record in database (' || known || ')' END AS reason, CASE WHEN ok THEN known END AS "existingId" FROM t""", uses=("entity",))
 def import_triage(spark, sf):
     view(spark, sf, "entity").createOrReplaceTempView("entity")
     table(spark, sf, "events").createOrReplaceTempView("events")
     return link.triage(spark.sql(BATCH), view(spark, sf, "entity")).select("rowNum", "state", "reason", "existingId")
 
 
+@query("set04_imported_directory", f"""WITH {TRIAGE} SELECT id, trim(name) AS name, la, gender FROM entity
+ UNION ALL SELECT 'imp-' || k.rowNum, trim(name), trim(la), CASE WHEN trim(gender) = '' THEN 'Mixed' ELSE trim(gender) END FROM k JOIN a USING (rowNum)""", uses=("entity",))
+def imported_directory(spark, sf):
+    """Triage, cleaning and insertion as one path."""
+    e = view(spark, sf, "entity")
+    e.createOrReplaceTempView("entity")
+    table(spark, sf, "events").createOrReplaceTempView("events")
+    verified = link.triage(spark.sql(BATCH), e).filter("state = 'verified'")
+    fresh = link.cleaned_import(verified).withColumn("id", F.concat(F.lit("imp-"), "rowNum"))
+    from dirwise.operators import changes
+
+    return changes.insert_new(e.select("id", F.trim("name").alias("name"), "la", "gender"), fresh.select("id", "name", "la", "gender"))
+
+
 @query("agg18_copied_tables", """SELECT 'customer' AS "table", count(*) AS before, count(*) AS after, true AS same FROM customer UNION ALL SELECT 'events', count(*), count(*), true FROM events""")
 def copied_tables(spark, sf):
     from dirwise.session import saved

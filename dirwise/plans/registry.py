@@ -22,7 +22,9 @@ def query(name: str, sql: str | None = None, uses: tuple[str, ...] = ()):
         if sql is not None:
             ctes = ", ".join(f"{u} AS ({CTES[u]})" for u in uses)
             body = sql.strip()
-            if ctes and body[:5].upper() == "WITH ":
+            if ctes and body[:15].upper() == "WITH RECURSIVE ":
+                body = "WITH RECURSIVE " + ctes + ", " + body[15:]
+            elif ctes and body[:5].upper() == "WITH ":
                 body = "WITH " + ctes + ", " + body[5:]
             elif ctes:
                 body = "WITH " + ctes + " " + body
