@@ -192,15 +192,15 @@ def backfilled(spark, sf):
 
 
 @query("dq27_assembled_records", f"""
-WITH s AS (SELECT urn, name, address, la, gender, ofstedRating, website, phone FROM entity WHERE k % 3 = 0 AND coalesce(urn, '') <> ''),
-s1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY urn ORDER BY name, address) AS rn FROM s) WHERE rn = 1), c AS (SELECT * FROM ({CURATED}) WHERE ord % 2 = 0)
+WITH s AS (SELECT urn, name, address, la, gender, ofstedRating, website, phone FROM entity WHERE coalesce(urn, '') <> ''),
+s1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY urn ORDER BY name, address) AS rn FROM s) WHERE rn = 1), c AS (SELECT * FROM ({CURATED}))
 SELECT coalesce(s1.urn, r.URN, c.urn) AS urn, coalesce(nullif(s1.name, ''), c.name, r.SCHNAME) AS name, coalesce(nullif(s1.la, ''), r.LANAME, '') AS la,
  coalesce(nullif(s1.gender, ''), r.GENDER, 'Mixed') AS gender, coalesce(nullif(s1.ofstedRating, ''), nullif(c.ofsted, ''), '') AS "ofstedRating", coalesce(nullif(s1.website, ''), c.website, '') AS website, coalesce(r.SCHSTATUS, '') <> 'Closed' AS active
 FROM s1 FULL JOIN register r ON r.URN = s1.urn FULL JOIN c ON c.urn = coalesce(s1.urn, r.URN)""", uses=("entity", "register"))
 def assembled_records(spark, sf):
-    s = view(spark, sf, "entity").filter("k % 3 = 0 and coalesce(urn, '') <> ''")
+    s = view(spark, sf, "entity").filter("coalesce(urn, '') <> ''")
     s = s.groupBy("urn").agg(F.min(F.struct("name", "address", "la", "gender", "ofstedRating", "website", "phone")).alias("m")).select("urn", "m.*", F.lit("").alias("status"))
-    out = link.assemble(s, view(spark, sf, "register"), curated(spark, sf).filter("ord % 2 = 0"))
+    out = link.assemble(s, view(spark, sf, "register"), curated(spark, sf))
     return out.select("urn", "name", "la", "gender", "ofstedRating", "website", "active")
 
 

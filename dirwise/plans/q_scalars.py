@@ -280,10 +280,15 @@ def rolled_dates(spark, sf):
 _okb, _yb, _mb, _db = d_timeline("b")
 
 
+def with_previous(e, *cols):
+    """Every row beside the row numbered just before it."""
+    return e.join(e.select((F.col("k") + 1).alias("k"), *[F.col(c).alias(f"p_{c}") for c in cols]), "k")
+
+
 @query("scl16_same_meaning", f"""
-WITH nb AS (SELECT id, k, phone AS pa, lag(phone) OVER w AS pb, postcode AS ca, lag(postcode) OVER w AS cb, gender AS ga, lag(gender) OVER w AS gb,
-  d_resultsDate AS v, lag(d_resultsDate) OVER w AS b FROM entity WINDOW w AS (PARTITION BY cast(floor(k / 4) AS BIGINT) ORDER BY k)),
-x AS (SELECT *, {d_phone('pa')} AS na, {d_phone('pb')} AS nbp FROM nb WHERE k % 4 <> 0)
+WITH nb AS (SELECT e.id, e.k, e.phone AS pa, p.phone AS pb, e.postcode AS ca, p.postcode AS cb, e.gender AS ga, p.gender AS gb,
+  e.d_resultsDate AS v, p.d_resultsDate AS b FROM entity e JOIN entity p ON p.k = e.k - 1),
+x AS (SELECT *, {d_phone('pa')} AS na, {d_phone('pb')} AS nbp FROM nb)
 SELECT id,
  CASE WHEN coalesce(pa,'')='' OR coalesce(pb,'')='' THEN coalesce(pa,'')=coalesce(pb,'') ELSE lower(trim(pa))=lower(trim(pb)) OR (na<>'' AND nbp<>'' AND (na=nbp OR right(na,8)=right(nbp,8))) END AS phone_same,
  CASE WHEN coalesce(ca,'')='' OR coalesce(cb,'')='' THEN coalesce(ca,'')=coalesce(cb,'') ELSE lower(trim(ca))=lower(trim(cb)) OR {d_unit('ca', 3)} = {d_unit('cb', 3)} END AS postcode_same,
@@ -292,12 +297,7 @@ SELECT id,
    OR ({_ok} AND {_okb} AND ({_y})=({_yb}) AND ({_m})=({_mb}) AND ({_d})=({_db})) END AS date_same
 FROM x""", uses=("entity",))
 def same_meaning(spark, sf):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(F.floor(F.col("k") / 4)).orderBy("k")
-    e = view(spark, sf, "entity")
-    prev = {c: F.lag(c).over(w).alias(f"p_{c}") for c in ("phone", "postcode", "gender", "d_resultsDate")}
-    pairs = e.select("id", "k", *prev, *prev.values()).filter("k % 4 <> 0")
+    pairs = with_previous(view(spark, sf, "entity"), "phone", "postcode", "gender", "d_resultsDate")
     return pairs.select(
         "id", dates.same_meaning("phone", "phone", "p_phone").alias("phone_same"),
         dates.same_meaning("postcode", "postcode", "p_postcode").alias("postcode_same"),
@@ -306,16 +306,12 @@ def same_meaning(spark, sf):
 
 
 @query("scl17_name_similarity", f"""
-WITH nb AS (SELECT id, k, {d_name('name', 'alphanumeric')} AS a, lag({d_name('name', 'alphanumeric')}) OVER w AS b,
-   {d_name('name', 'dedup')} AS c, lag({d_name('name', 'dedup')}) OVER w AS d FROM entity WINDOW w AS (PARTITION BY cast(floor(k / 4) AS BIGINT) ORDER BY k))
-SELECT id, round({d_jaccard('a', 'b')}, 6) AS jaccard, round({d_dice('c', 'd')}, 6) AS dice FROM nb WHERE k % 4 <> 0""", uses=("entity",))
+WITH nb AS (SELECT id, k, {d_name('name', 'alphanumeric')} AS a, {d_name('name', 'dedup')} AS c FROM entity),
+x AS (SELECT nb.id, nb.a, p.a AS b, nb.c, p.c AS d FROM nb JOIN nb p ON p.k = nb.k - 1)
+SELECT id, round({d_jaccard('a', 'b')}, 6) AS jaccard, round({d_dice('c', 'd')}, 6) AS dice FROM x""", uses=("entity",))
 def name_similarity(spark, sf):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(F.floor(F.col("k") / 4)).orderBy("k")
     e = view(spark, sf, "entity").select("id", "k", names.name_key("name", "alphanumeric").alias("a"), names.name_key("name", "dedup").alias("c"))
-    pairs = e.select("id", "k", "a", "c", F.lag("a").over(w).alias("b"), F.lag("c").over(w).alias("d")).filter("k % 4 <> 0")
-    return pairs.select("id", F.round(sets.jaccard("a", "b"), 6).alias("jaccard"), F.round(sets.dice("c", "d"), 6).alias("dice"))
+    return with_previous(e, "a", "c").select("id", F.round(sets.jaccard("a", "p_a"), 6).alias("jaccard"), F.round(sets.dice("c", "p_c"), 6).alias("dice"))
 
 
 @query("scl19_distances", """
@@ -421,14 +417,10 @@ def d_better(o: str, n: str) -> str:
 
 
 @query("scl25_address_upgrades", f"""
-WITH nb AS (SELECT id, k, address AS new_a, lag(address) OVER w AS old_a FROM entity WINDOW w AS (PARTITION BY cast(floor(k / 4) AS BIGINT) ORDER BY k))
-SELECT id, {d_better('old_a', 'new_a')} AS better FROM nb WHERE k % 4 <> 0""", uses=("entity",))
+WITH nb AS (SELECT e.id, e.address AS new_a, p.address AS old_a FROM entity e JOIN entity p ON p.k = e.k - 1)
+SELECT id, {d_better('old_a', 'new_a')} AS better FROM nb""", uses=("entity",))
 def address_upgrades(spark, sf):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(F.floor(F.col("k") / 4)).orderBy("k")
-    e = view(spark, sf, "entity").select("id", "k", "address", F.lag("address").over(w).alias("old")).filter("k % 4 <> 0")
-    return e.select("id", names.better_address("old", "address").alias("better"))
+    return with_previous(view(spark, sf, "entity"), "address").select("id", names.better_address("p_address", "address").alias("better"))
 
 
 @query("scl28_text_lists", """
