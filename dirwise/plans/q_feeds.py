@@ -43,15 +43,33 @@ def change_feed(spark, sf):
     return feed.snapshot(spark).select("schoolId", "id", "newState")
 
 
-@query("str02_due_events", """
-WITH RECURSIVE e AS (SELECT DISTINCT concat('u', cast(user_id AS STRING)) AS id, date_trunc('minute', ts) AS t FROM events),
+DUE = """
+WITH RECURSIVE e AS (SELECT DISTINCT concat('u', cast(user_id AS STRING)) AS id, ts AS t FROM events),
 r(id, t) AS (SELECT id, min(t) FROM e GROUP BY 1 UNION ALL SELECT r.id, (SELECT min(e.t) FROM e WHERE e.id = r.id AND e.t >= r.t + INTERVAL 10 DAY) FROM r WHERE r.t IS NOT NULL)
-SELECT id, cast(t AS VARCHAR) AS seen_at FROM r WHERE t IS NOT NULL""")
-def due_events(spark, sf):
+SELECT id, epoch_us(t) AS seen_us FROM r WHERE t IS NOT NULL"""
+
+
+def _seen(spark, sf):
     from dirwise.plans.fixtures import table
 
-    e = table(spark, sf, "events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("id"), F.col("ts").cast("timestamp").alias("seen_at"))
-    return feeds.due_batch(e).select("id", F.date_format("seen_at", "yyyy-MM-dd HH:mm:ss").alias("seen_at"))
+    return table(spark, sf, "events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("id"), F.col("ts").cast("timestamp").alias("seen_at"))
+
+
+@query("str02_due_events", DUE)
+def due_events(spark, sf):
+    """The stream itself, over files in no order of time, each event twice; all come within one batch."""
+    path, out = _folder(spark, "seen-in"), _folder(spark, "seen-out")
+    e = _seen(spark, sf)
+    e.unionAll(e).repartition(6).write.parquet(path)
+    stream = spark.readStream.schema(e.schema).parquet(path)
+    q = feeds.due_feed(stream, late="0 seconds").writeStream.format("parquet").option("path", out).option("checkpointLocation", _folder(spark, "cp")).outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema("id string, seen_at timestamp").parquet(out).select("id", F.unix_micros("seen_at").alias("seen_us"))
+
+
+@query("str02_due_batch", DUE)
+def due_batch(spark, sf):
+    return feeds.due_batch(_seen(spark, sf)).select("id", F.unix_micros("seen_at").alias("seen_us"))
 
 
 @query("snk02_csv_export", """SELECT id AS "ID", urn AS "URN", name AS "School Name", address AS "Address", d_examDate AS "Exam Date" FROM school""", uses=SCHOOL)

@@ -1,7 +1,8 @@
 """Vote, freshness and change feeds as Structured Streaming jobs.
 
-Each feed gives what its batch operator gives over the same events, in
-whatever order and batches they come.
+The snapshot feeds give what their batch operators give over the same events,
+in whatever order and batches they come; the freshness feed does so for events
+that come within its lateness.
 """
 
 from __future__ import annotations
@@ -38,27 +39,45 @@ class SnapshotFeed:
     def start(self, stream: DataFrame, checkpoint: str) -> StreamingQuery:
         return stream.writeStream.foreachBatch(self.take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-    def _base(self, spark: SparkSession) -> tuple[int, DataFrame | None]:
-        """Number of the last compacted batch and the base, if there is one."""
+    def _read(self, spark: SparkSession, part: str) -> DataFrame | None:
         try:
-            bases = spark.read.parquet(f"{self.root}/bases")
+            return spark.read.parquet(f"{self.root}/{part}")
         except AnalysisException:
+            return None
+
+    def _base(self, spark: SparkSession) -> tuple[int, DataFrame | None]:
+        """Number of the last batch whose compaction was finished and its base, if there is one."""
+        done = self._read(spark, "done")
+        if done is None:
             return -1, None
-        upto = bases.agg(F.max("upto")).first()[0]
-        return upto, bases.filter(F.col("upto") == upto).drop("upto")
+        upto = done.agg(F.max("upto")).first()[0]
+        return upto, spark.read.parquet(f"{self.root}/bases/upto={upto}")
+
+    def _rows(self, spark: SparkSession, upto: int | None = None) -> DataFrame:
+        folded, base = self._base(spark)
+        new = self._read(spark, "batches")
+        if new is not None:
+            new = new.filter(F.col("batch") > folded)
+            new = (new if upto is None else new.filter(F.col("batch") <= upto)).drop("batch")
+        parts = [x for x in (base, new) if x is not None]
+        return latest(parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]), self.keys, self.order)
 
     def snapshot(self, spark: SparkSession) -> DataFrame:
-        upto, base = self._base(spark)
-        new = spark.read.parquet(f"{self.root}/batches").filter(F.col("batch") > upto).drop("batch")
-        return latest(new if base is None else base.unionByName(new), self.keys, self.order)
+        return self._rows(spark)
 
     def compact(self, spark: SparkSession, upto: int) -> None:
-        """Fold all batches up to ``upto`` into a new base."""
-        done, base = self._base(spark)
-        b = F.col("batch")
-        new = spark.read.parquet(f"{self.root}/batches").filter((b > done) & (b <= upto)).drop("batch")
-        rows = latest(new if base is None else base.unionByName(new), self.keys, self.order)
-        rows.write.mode("overwrite").parquet(f"{self.root}/bases/upto={upto}")
+        """Fold all batches up to ``upto`` into a new base.
+
+        A base counts once its mark is written, so a run that was cut off
+        changes nothing; what the base has replaced is deleted after that.
+        """
+        before, _ = self._base(spark)
+        self._rows(spark, upto).write.mode("overwrite").parquet(f"{self.root}/bases/upto={upto}")
+        spark.range(1).select(F.lit(upto).alias("upto")).write.mode("append").parquet(f"{self.root}/done")
+        path = spark._jvm.org.apache.hadoop.fs.Path
+        files = path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+        for old in [f"bases/upto={before}"] * (0 <= before != upto) + [f"batches/batch={i}" for i in range(before + 1, upto + 1)]:
+            files.delete(path(f"{self.root}/{old}"), True)
 
 
 VOTE_KEYS = ["userId", "schoolId", "fieldName"]
@@ -78,48 +97,73 @@ def change_feed(root: str) -> SnapshotFeed:
     return SnapshotFeed(root, ["schoolId"], ["id"])
 
 
-def _minutes(events: DataFrame) -> DataFrame:
-    """One event per entity and minute: what a window of days can tell apart, and a bound on any entity's events."""
-    return events.select("id", F.date_trunc("minute", "seen_at").alias("seen_at"))
+def _let_through(times, last: int | None, gap: int) -> tuple[list[int], int | None]:
+    """The times, in order, that lie at least ``gap`` after the last one let through."""
+    out = []
+    for t in times:
+        if last is None or t - last >= gap:
+            out.append(t)
+            last = t
+    return out, last
 
 
 def _emit_due(days: int):
-    gap = pd.Timedelta(days=days)
+    gap = days * 86_400_000_000
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = pd.Timestamp(state.get[0], unit="us") if state.exists else None
-        times = sorted({t for b in batches for t in b["seen_at"]})
-        out = []
-        for t in times:
-            if last is None or t - last >= gap:
-                out.append(t)
-                last = t
-        if last is not None:
-            state.update((last.value // 1000,))
-        yield pd.DataFrame({"id": [key[0]] * len(out), "seen_at": pd.Series(out, dtype="datetime64[ns]")})
+        last, waiting = (state.get[0], set(state.get[1])) if state.exists else (None, set())
+        for b in batches:
+            waiting.update(b["seen_at"].astype("datetime64[us]").astype("int64").tolist())
+        mark = state.getCurrentWatermarkMs()
+        ready = sorted(t for t in waiting if t // 1000 <= mark)
+        waiting.difference_update(ready)
+        out, last = _let_through(ready, last, gap)
+        if waiting:
+            state.update((last, sorted(waiting)))
+            state.setTimeoutTimestamp(max(min(waiting) // 1000 - 1, mark + 1))
+        elif last is not None and (last + gap) // 1000 > mark:
+            state.update((last, []))
+            state.setTimeoutTimestamp(max((last + gap) // 1000, mark + 1))
+        elif state.exists:
+            state.remove()  # the window is over: the next event is let through whatever came before
+        yield pd.DataFrame({"id": [key[0]] * len(out), "seen_at": pd.Series(out, dtype="int64").astype("datetime64[us]")})
 
     return step
 
 
 def due_feed(events: DataFrame, days: int = 10, late: str = "1 day") -> DataFrame:
-    """Events (id, seen_at) of entities that were not let through within the last ``days``, to the minute.
+    """Events (id, seen_at) of entities that were not let through within the last ``days``.
 
-    The state holds one time per entity. Events older than the last one let
-    through are dropped.
+    Events wait in the state until the watermark has passed them and are then
+    taken in order of time, so any order of arrival within ``late`` gives what
+    ``due_batch`` gives; events that come later are dropped. An entity's state
+    holds its waiting events and one time, and goes when its window is over.
     """
-    once = _minutes(events).withWatermark("seen_at", late).dropDuplicatesWithinWatermark(["id", "seen_at"])
-    return once.groupBy("id").applyInPandasWithState(
-        _emit_due(days), "id string, seen_at timestamp", "last_us bigint", "append", GroupStateTimeout.NoTimeout)
+    return events.select("id", "seen_at").withWatermark("seen_at", late).groupBy("id").applyInPandasWithState(
+        _emit_due(days), "id string, seen_at timestamp", "last_us bigint, waiting array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def due_batch(events: DataFrame, days: int = 10) -> DataFrame:
-    """What due_feed gives over a bounded table."""
-    micros = days * 86_400_000_000
-
-    def keep(acc, t):
-        last = F.try_element_at(acc, F.lit(-1))
-        return F.when(last.isNull() | (F.unix_micros(t) - F.unix_micros(last) >= micros), F.concat(acc, F.array(t))).otherwise(acc)
+    """What due_feed gives over a bounded table.
 
-    times = _minutes(events).groupBy("id").agg(F.sort_array(F.collect_set("seen_at")).alias("t"))
-    kept = times.select("id", F.aggregate("t", F.array().cast("array<timestamp>"), keep).alias("k"))
-    return kept.select("id", F.explode("k").alias("seen_at"))
+    Each task reads its events sorted by entity and time and remembers one
+    time, however many events an entity has.
+    """
+    gap = days * 86_400_000_000
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        entity, last = None, None
+        for b in batches:
+            ids, times = b["id"].tolist(), b["us"].tolist()
+            keep = []
+            for i, t in zip(ids, times, strict=True):
+                if i != entity:
+                    entity, last = i, None
+                passed, last = _let_through([t], last, gap)
+                keep.append(bool(passed))
+            yield b[keep]
+
+    # of equal times one is enough, and the sort below finds them together
+    rows = events.filter("id is not null and seen_at is not null").select("id", F.unix_micros("seen_at").alias("us")).distinct()
+    ordered = rows.repartition("id").sortWithinPartitions("id", "us")
+    return ordered.mapInPandas(run, "id string, us bigint").select("id", F.timestamp_micros("us").alias("seen_at"))

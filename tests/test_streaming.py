@@ -35,17 +35,30 @@ def test_vote_feed_equals_batch(spark, tmp_path):
     assert len(conf) == 1 and conf[0]["score"] == 100
 
 
-def test_due_feed_equals_batch(spark, tmp_path):
-    r = random.Random(4)
-    t0 = dt.datetime(2026, 1, 1)
-    rows = sorted(((f"e{r.randint(0, 3)}", t0 + dt.timedelta(hours=r.randint(0, 24 * 60))) for _ in range(150)), key=lambda x: x[1])
+def run_due(spark, tmp_path, rows, late):
     schema = "id string, seen_at timestamp"
     write_pieces(spark, rows, schema, tmp_path / "in")
+    # a last event long after all others lets the watermark pass them
+    write_pieces(spark, [("end", dt.datetime(2028, 1, 1))], schema, tmp_path / "in")
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = feeds.due_feed(stream).writeStream.format("memory").queryName("due").option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start()
+    q = feeds.due_feed(stream, late=late).writeStream.format("memory").queryName("due").option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
-    key = lambda df: sorted((x["id"], x["seen_at"]) for x in df.collect())
-    assert key(spark.table("due")) == key(feeds.due_batch(spark.createDataFrame(rows, schema)))
+    return sorted((x["id"], x["seen_at"]) for x in spark.table("due").filter("id <> 'end'").collect())
+
+
+def test_due_feed_equals_batch_in_any_order(spark, tmp_path):
+    r = random.Random(4)
+    t0 = dt.datetime(2026, 1, 1)
+    rows = [(f"e{r.randint(0, 3)}", t0 + dt.timedelta(seconds=r.randint(0, 86400 * 60), microseconds=r.randint(0, 999_999))) for _ in range(150)]
+    rows += rows[:40]
+    batch = sorted((x["id"], x["seen_at"]) for x in feeds.due_batch(spark.createDataFrame(rows, "id string, seen_at timestamp")).collect())
+    assert run_due(spark, tmp_path, rows, "90 days") == batch
+
+
+def test_events_later_than_allowed_are_dropped(spark, tmp_path):
+    d = lambda m, n: dt.datetime(2026, m, n)
+    # one file each: the watermark has passed the last event long before it comes
+    assert run_due(spark, tmp_path, [("a", d(5, 1)), ("b", d(6, 1)), ("a", d(6, 2)), ("a", d(1, 1))], "1 day") == [("a", d(5, 1)), ("a", d(6, 2)), ("b", d(6, 1))]
 
 
 def test_due_batch(spark):
