@@ -109,6 +109,48 @@ def merged_directory(spark, sf):
     return out.select("id", "address", "urn", "confidence_score", "la")
 
 
+def _merged(spark, sf):
+    return merge.merge_records(_plan(spark, sf), view(spark, sf, "entity"), "m1", "admin", now())
+
+
+@query("er06_merge_log", f"""WITH m AS ({_SMART})
+SELECT e.id AS "schoolId", 'MERGE' AS "actionType", 'm1' AS "batchId", e.previous AS phone_before, m.phone AS phone_after FROM (SELECT id, phone AS previous FROM entity) e LEFT JOIN m USING (id) WHERE e.id IN (SELECT sec FROM plan) OR m.id IS NOT NULL""", uses=("entity", "plan"))
+def merge_log(spark, sf):
+    p = lambda c: F.get_json_object(c, "$.phone")
+    return _merged(spark, sf)["log"].select("schoolId", "actionType", "batchId", p("previousState").alias("phone_before"), p("newState").alias("phone_after"))
+
+
+@query("er06_merge_mapping", """SELECT sec AS old, prim AS new, least(prim, sec) || '___' || greatest(prim, sec) AS "pairKey" FROM plan""", uses=("entity", "plan"))
+def merge_mapping(spark, sf):
+    out = _merged(spark, sf)
+    return out["mapping"].join(out["reviewed"].select(F.col("idB").alias("old"), "pairKey"), "old").select("old", "new", "pairKey")
+
+
+# A chain of three: every row numbered 4 of 17 goes into number 3, which goes into number 2.
+CTES["chain"] = """SELECT a.id AS a_id, b.id AS b_id, c.id AS c_id, a.urn AS au, b.urn AS bu, c.urn AS cu, a.phone AS ap, b.phone AS bp, c.phone AS cp, a.address AS aa, b.address AS ba, c.address AS ca
+FROM entity a JOIN entity b ON b.k = a.k + 1 LEFT JOIN entity c ON c.k = a.k + 2 WHERE a.k % 17 = 2"""
+
+
+@query("er06_merged_chains", """WITH x AS (SELECT *, CASE WHEN c_id IS NULL THEN bu ELSE cu END AS lu, CASE WHEN c_id IS NULL THEN bp ELSE cp END AS lp FROM chain)
+SELECT a_id AS id, CASE WHEN coalesce(au, '') NOT IN ('', 'N/A') THEN au WHEN coalesce(bu, '') NOT IN ('', 'N/A') THEN bu ELSE coalesce(lu, '') END AS urn,
+  CASE WHEN coalesce(ap, '') <> '' THEN ap WHEN coalesce(bp, '') <> '' THEN bp ELSE lp END AS phone,
+  coalesce(CASE WHEN length(coalesce(ca, '')) >= greatest(length(coalesce(aa, '')), length(coalesce(ba, ''))) THEN nullif(ca, '') END, CASE WHEN length(coalesce(ba, '')) >= length(coalesce(aa, '')) THEN nullif(ba, '') END, aa) AS address FROM x""", uses=("entity", "chain"))
+def merged_chains(spark, sf):
+    e = view(spark, sf, "entity")
+    eid = lambda c: F.concat(F.lit("e"), F.lpad(c.cast("string"), 9, "0"))
+    links = e.filter("k % 17 in (3, 4)").select(eid(F.col("k") - 1).alias("primary"), F.col("id").alias("secondary"))
+    out = merge.merge_records(links, e.select("id", "urn", "phone", "address", "name", "verification_status", "confidence_score"), "m2", "admin", now())
+    return out["entities"].join(out["mapping"].select(F.col("new").alias("id")).distinct(), "id").select("id", "urn", "phone", "address")
+
+
+@query("er07_explicit_records", f"""WITH m AS ({_SMART}) SELECT m.id, CASE WHEN right(m.id, 1) = '2' THEN 'by hand' ELSE m.phone END AS phone, m.urn FROM m""", uses=("entity", "plan"))
+def explicit_records(spark, sf):
+    plan = _plan(spark, sf)
+    hand = plan.filter(F.col("primary").endswith("2")).select(F.col("primary").alias("id"), F.lit("by hand").alias("phone"))
+    out = merge.merge_records(plan, view(spark, sf, "entity"), "m3", "admin", now(), explicit=hand)
+    return out["entities"].join(plan.select(F.col("primary").alias("id")), "id").select("id", "phone", "urn")
+
+
 @query("ups08_repointed_votes", """
 WITH v AS (SELECT userId, schoolId, fieldName, max(event_id) AS event_id, arg_max(vote, event_id) AS vote FROM votes GROUP BY 1, 2, 3),
 m AS (SELECT userId, coalesce(prim, schoolId) AS s, fieldName, vote, event_id, prim IS NOT NULL AS moved FROM v LEFT JOIN plan ON sec = schoolId)
