@@ -35,8 +35,9 @@ def haversine(lat1, lon1, lat2, lon2, radius: float = EARTH_MILES) -> Column:
 
 def grid_metres(e1, n1, e2, n2) -> Column:
     """Unrounded straight-line distance on the grid."""
-    dx, dy = col(e2) - col(e1), col(n2) - col(n1)
-    return F.sqrt((dx * dx + dy * dy).cast("double"))
+    # squares of whole numbers outgrow an int; as doubles they are exact up to 2**53
+    dx, dy = (col(e2) - col(e1)).cast("double"), (col(n2) - col(n1)).cast("double")
+    return F.sqrt(dx * dx + dy * dy)
 
 
 def grid_miles(e1, n1, e2, n2) -> Column:

@@ -105,7 +105,8 @@ def test_milestones(spark):
 def test_first_candidate_wins(spark):
     rows = spark.createDataFrame([("1", 1, "u1", False, None), ("1", 2, "u2", True, 92), ("2", 3, "u3", True, 92), ("3", 1, "u4", True, 85), ("3", 2, "u5", True, 92)], "id string, candidate int, url string, isMatch boolean, confidenceScore int")
     got = {r["id"]: r["proposedWebsite"] for r in verify.choose_candidate(rows).collect()}
-    assert got == {"1": "u2", "3": "u4"}
+    assert got == {"1": "u2", "2": "u3", "3": "u4"}
+    assert {r["id"] for r in verify.choose_candidate(rows, best=2).collect()} == {"1", "3"}
 
 
 def brute_accept(rows):
