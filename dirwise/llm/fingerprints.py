@@ -85,7 +85,8 @@ def following(ids: DataFrame, order: list[str]) -> DataFrame:
 def compared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, bits: int = FRACTION_BITS) -> DataFrame:
     """Per document: n_chars, the text ``edited`` (its second half replaced by the next one's opening), the sketches of the text, of ``edited`` and of the next text."""
     text = text_or_empty(text_col)
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col), F.lit(0).cast(docs.schema[id_col].dataType)).alias("k"), F.isnotnull(id_col).alias("has"), F.xxhash64(text).alias("h"), text.alias("text"))
+    # the id is told by has and k alone: both joins below then read the same columns, and their exchange of texts is one
+    rows = docs.select(F.coalesce(F.col(id_col), F.lit(0).cast(docs.schema[id_col].dataType)).alias("k"), F.isnotnull(id_col).alias("has"), F.xxhash64(text).alias("h"), text.alias("text"))
     key = ["has", "k", "h"]
     # repeats go without an aggregate over texts: the sort that this needs is the joins' own
     once = rows.withColumn("earlier", F.lag(F.lit(1)).over(Window.partitionBy(*key).orderBy("k"))).where("earlier is null").drop("earlier")
@@ -94,5 +95,5 @@ def compared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     opening = once.join(links, key).select(*[F.col(f"own_{c}").alias(c) for c in key], "half", F.substring(F.col("text"), F.lit(1), F.col("half")).alias("opening"), sketch(F.col("text"), words, bits).alias("next_sketch"))
     pairs = once.join(opening, key)
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - F.col("half")), F.col("opening"))
-    texts = pairs.select("id", F.length("text").cast("long").alias("n_chars"), "text", edited.alias("edited"), "next_sketch")
+    texts = pairs.select(F.when(F.col("has"), F.col("k")).alias("id"), F.length("text").cast("long").alias("n_chars"), "text", edited.alias("edited"), "next_sketch")
     return texts.select(F.col("id").alias(id_col), "n_chars", "edited", sketch(F.col("text"), words, bits).alias("sketch"), sketch(F.col("edited"), words, bits).alias("edited_sketch"), "next_sketch")
