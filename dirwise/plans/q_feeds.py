@@ -10,7 +10,8 @@ from dirwise.plans.fixtures import entities, view
 from dirwise.plans.q_directory import D_CURRENT_VOTES, SCHOOL, schools
 from dirwise.plans.registry import query
 from dirwise.session import shared_dir
-from dirwise.sources import writers
+from dirwise import schemas
+from dirwise.sources import readers, writers
 from dirwise.streaming import feeds
 
 
@@ -120,3 +121,53 @@ def saved_scan(spark, sf):
     s = schools(spark, sf)
     writers.save_scan(s.filter(F.size("verification_tags") > 0).select("id"), root, "tag_audit", "2026-09-15", 0)
     return writers.read_scan(spark, root, "tag_audit").agg(F.lit("tagged").alias("dimension"), F.count("*").alias("n"))
+
+
+# ---- files read back ---------------------------------------------------------------------------
+
+
+@query("src03_coordinates_file", """SELECT postcode, outcode, cast(easting AS BIGINT) AS easting, cast(northing AS BIGINT) AS northing, coalesce(nullif(admin_district, ''), 'England') AS admin_district FROM coords WHERE easting <> 0 AND northing <> 0""", uses=("coords",))
+def coordinates_file(spark, sf):
+    path = _folder(spark, "coordinates")
+    c = view(spark, sf, "coords")
+    c.select(F.lower("postcode").alias("Postcode"), F.col("easting").alias("Easting"), F.col("northing").alias("Northing"), F.col("admin_district").alias("LA (name)")).write.csv(path, header=True)
+    return readers.coordinates_csv(spark, path).select("postcode", "outcode", F.col("easting").cast("bigint"), F.col("northing").cast("bigint"), "admin_district")
+
+
+@query("src04_register_file", """SELECT URN AS urn, SCHNAME AS name, LANAME AS la, POSTCODE AS postcode, GENDER AS gender, CASE WHEN AGELOW <> '' THEN AGELOW || '-' || AGEHIGH ELSE '' END AS "ageRange", ADMPOL AS "admissionsPolicy", lower(SCHSTATUS) <> 'closed' AS active FROM register""", uses=("register",))
+def register_file(spark, sf):
+    path = _folder(spark, "register")
+    r = view(spark, sf, "register")
+    at = {i: n for n, i in schemas.REGISTER_POSITIONS.items()}
+    cells = [(F.coalesce(F.col(at[i]).cast("string"), F.lit("")) if at.get(i) in r.columns else F.lit("a, b" if i == 0 and 0 not in at else "")).alias(f"c{i}") for i in range(max(at) + 1)]
+    r.select(*cells).write.option("quoteAll", True).option("emptyValue", "").csv(path, header=True)
+    return readers.register_records(readers.register_by_position(spark, path)).select("urn", "name", "la", "postcode", "gender", "ageRange", "admissionsPolicy", "active")
+
+
+@query("src05_rule_file", """SELECT n_nationkey AS ordinal, n_name AS id, r_name AS word FROM nation JOIN region ON r_regionkey = n_regionkey""")
+def rule_file(spark, sf):
+    from dirwise.plans.fixtures import table
+
+    path = _folder(spark, "rules")
+    n = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("r_regionkey") == F.col("n_regionkey"))
+    one = F.struct(F.col("n_nationkey").alias("k"), F.struct(F.col("n_name").alias("id"), F.array("r_name").alias("schoolKeywords")).alias("r"))
+    n.agg(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["r"]).alias("state_consortia")).coalesce(1).write.json(path)
+    return readers.rule_table(spark, path).select(F.col("ordinal").cast("int").alias("ordinal"), "id", F.col("schoolKeywords")[0].alias("word"))
+
+
+@query("src06_district_map", """SELECT outcode, min(easting) AS easting, min(northing) AS northing, count(*) AS n FROM coords GROUP BY 1""", uses=("coords",))
+def district_map(spark, sf):
+    path = _folder(spark, "districts")
+    d = view(spark, sf, "coords").groupBy("outcode").agg(F.min("easting").alias("easting"), F.min("northing").alias("northing"), F.count("*").cast("string").alias("district"))
+    entry = F.struct("outcode", F.struct("outcode", "easting", "northing", "district"))
+    d.agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("value")).coalesce(1).write.text(path)  # one entry per district
+    back = readers.outcode_map(spark, path)
+    return back.select("outcode", F.col("easting").cast("bigint").alias("easting"), F.col("northing").cast("bigint").alias("northing"), F.col("district").cast("bigint").alias("n"))
+
+
+@query("snk05_lookup_file", """SELECT id, coalesce(urn, '-') AS urn, coalesce(name, '-') AS name FROM entity""", uses=("entity",))
+def lookup_file(spark, sf):
+    path = _folder(spark, "lookup")
+    writers.write_lookup(view(spark, sf, "entity").select("id", "urn", "name"), path)
+    back = spark.read.schema("id string, urn string, name string").json(path)
+    return back.select("id", F.coalesce("urn", F.lit("-")).alias("urn"), F.coalesce("name", F.lit("-")).alias("name"))

@@ -6,8 +6,8 @@ cluster run faster. A session handed in by the caller is used as it is.
 
 from __future__ import annotations
 
-import os
-import tempfile
+import atexit
+import shutil
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,17 +33,19 @@ def get_session(app: str = "dirwise", master: str | None = None, **conf: str) ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach, as the cluster names it.
+    """Folder every executor can reach, as the cluster names it in spark.checkpoint.dir.
 
-    Only a local master may fall back on a folder of its own.
+    Only under a local master, where it may be unset, is one made: a sub-folder
+    of the warehouse for this run, which goes when the run ends.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    made = tempfile.mkdtemp(prefix="dirwise-", dir=os.environ.get("TMPDIR", "/tmp"))
+    made = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/run-{spark.sparkContext.applicationId}-{uuid.uuid4().hex[:8]}"
     spark.conf.set("spark.checkpoint.dir", made)
+    atexit.register(shutil.rmtree, made.removeprefix("file:"), ignore_errors=True)
     return made
 
 
