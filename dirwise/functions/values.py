@@ -102,3 +102,8 @@ def contains_any(c: Column, words) -> Column:
 def up_to(df: DataFrame, limit: int | None) -> DataFrame:
     """The first rows of an ordered result; all of it without a limit."""
     return df if limit is None else df.limit(limit)
+
+
+def spread_blank(key: Column, by: Column) -> Column:
+    """A join key for left joins whose blank values, of which there may be many, meet nothing and lie evenly over all tasks."""
+    return F.when(F.coalesce(key, F.lit("")) != "", key).otherwise(F.concat(F.lit("\u0000"), F.xxhash64(by).cast("string")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dirwise.functions.values import contains_any, filled, lenient_int, or_null, present, text, trim_all
+from dirwise.functions.values import contains_any, filled, lenient_int, or_null, present, spread_blank, text, trim_all
 from dirwise.operators.similarity import contained_names
 from dirwise.sources import seeds
 
@@ -221,8 +221,8 @@ def sources() -> Column:
 
 def preview(df: DataFrame, register: DataFrame, state_rules: list[dict], independent_rules: list[dict]) -> DataFrame:
     """Every row a proposal would change, with current and proposed values, changed fields and sources."""
-    r = register.select(F.col("URN").alias("urn"), "ADMPOL", "MINORGROUP", "RELCHAR", F.col("SCHOOLTYPE").alias("SCHOOLTYPE_REG"), "AGELOW", "AGEHIGH")
-    p = propose(df.join(r, "urn", "left"), state_rules, independent_rules).withColumn("changedFields", changed_fields())
+    r = register.select(F.col("URN").alias("_k"), "ADMPOL", "MINORGROUP", "RELCHAR", F.col("SCHOOLTYPE").alias("SCHOOLTYPE_REG"), "AGELOW", "AGEHIGH")
+    p = propose(df.withColumn("_k", spread_blank(F.col("urn"), F.col("id"))).join(r, "_k", "left").drop("_k"), state_rules, independent_rules).withColumn("changedFields", changed_fields())
     # chosen inside the row: a filter would be moved below and repeat the whole rule expression per use
     row = F.array(F.struct(*p.columns))
     rows = p.select(F.inline(F.filter(row, lambda r: F.size(r["changedFields"]) > 0)))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dirwise.functions.names import in_london, join_address, name_key, org_type, postcode
-from dirwise.functions.values import filled, first_filled, or_null, text, trim_all
+from dirwise.functions.values import filled, first_filled, or_null, spread_blank, text, trim_all
 from dirwise.operators.similarity import contained_names, similar_across
 from dirwise.session import saved
 
@@ -138,7 +138,8 @@ def open_secondary(register: DataFrame) -> DataFrame:
 
 def with_register(entities: DataFrame, register: DataFrame) -> DataFrame:
     """Entities with the columns of their register row, if the key finds one."""
-    return entities.join(register.withColumnRenamed("URN", "urn"), "urn", "left")
+    rows = entities.withColumn("_k", spread_blank(F.col("urn"), F.col("id")))
+    return rows.join(register.withColumnRenamed("URN", "_k"), "_k", "left").drop("_k")
 
 
 def _name_matches(entities: DataFrame, register: DataFrame) -> DataFrame:
@@ -209,7 +210,8 @@ def backfill(entities: DataFrame, source: DataFrame) -> DataFrame:
     postcode whose reduced name contains or is contained in its own; the
     earliest source row that holds a value fills it. Adds ``filled_fields``.
     """
-    e = entities.withColumns({"key": name_key("name", "register"), "code": postcode("postcode", "compact"), "_u": trim_all(text("urn"))})
+    e = entities.withColumns({"key": name_key("name", "register"), "code": postcode("postcode", "compact"), "_u": spread_blank(trim_all(text("urn")), F.col("id"))})
+    e = e.withColumn("code", spread_blank(F.col("code"), F.col("id")))
     s = source.withColumns({"key": name_key("name", "register"), "code": postcode("postcode", "compact")})
     fields = {"urn": "urn", "ofstedRating": "ofsted", "website": "website", "phone": "phone"}
     first = [F.min_by(or_null(c), F.when(filled(c), F.col("ord"))).alias(f"_{f}") for f, c in fields.items()]

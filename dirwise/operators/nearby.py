@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dirwise.functions import geo, names
-from dirwise.functions.values import round_half_up
+from dirwise.functions.values import round_half_up, spread_blank
 from dirwise.session import saved
 
 EXACT, DISTRICT = "exact_unit", "district_centroid"
@@ -31,7 +31,7 @@ def locate(df: DataFrame, code: str, coords: DataFrame, districts: DataFrame) ->
     Adds easting, northing and precision; rows without any keep nulls.
     """
     first = coords.groupBy("outcode").agg(F.min_by(F.struct("easting", "northing"), "postcode").alias("_s"))
-    rows = df.withColumns({"_pc": F.nullif(names.postcode(code), F.lit("")), "_oc": F.nullif(names.outcode(code), F.lit(""))})
+    rows = df.withColumns({"_pc": spread_blank(names.postcode(code), F.monotonically_increasing_id()), "_oc": spread_blank(names.outcode(code), F.monotonically_increasing_id())})
     # one position per postcode and district, the smallest; blank postcodes find none
     units = coords.filter("postcode <> ''").groupBy(F.col("postcode").alias("_pc")).agg(F.min(F.struct("easting", "northing")).alias("_u"))
     areas = districts.filter("outcode <> ''").groupBy(F.col("outcode").alias("_oc")).agg(F.min(F.struct("easting", "northing")).alias("_d"))
