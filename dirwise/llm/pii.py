@@ -59,7 +59,7 @@ WORD = r"[^\W\d_]"
 PATTERN = re.compile(
     r"(?P<email>(?<![\w.%+-])[\w.%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"
     r"""|(?P<key>(?i:pass(?:word|wd|phrase)|pwd|secret|(?:api|access|auth|secret|private)[_ -]?(?:key|token)|token)["']?\s*[:=]\s*["']?)(?P<secret>[^\s"',;<>]{6,})"""
-    r"|(?P<shape>\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,}|[0-9a-f]{32,64})\b)"
+    r"|(?P<shape>\b(?:AKIA[0-9A-Z]{16}|AIza[\w-]{35}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9]{20,}|eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,})\b)"
     r"|(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?\b)"
     r"|(?P<ip>(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d))"
     r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
@@ -69,7 +69,7 @@ PATTERN = re.compile(
 )
 HINT = re.compile("[0-9@=:]")
 #: Well-known openings of a secret stay.
-PREFIX = re.compile("(?:AKIA|gh[pousr]_|sk-)?")
+PREFIX = re.compile("(?:AKIA|AIza|gh[pousr]_|xox[abprs]-|sk-|eyJ)?")
 
 
 def luhn(digits: str) -> bool:
