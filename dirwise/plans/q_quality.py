@@ -422,3 +422,23 @@ def stage_rows(spark, sf):
 SELECT s.id AS school_id, cast(s.n AS INT) AS stage_number, t.name AS exam_name FROM s JOIN (VALUES {', '.join("('" + e[0] + "', '" + e[1].replace("'", "''") + "')" for e in seeds.EXAM_TYPES)}) t(code, name) ON t.code = s.xc""", uses=SCHOOL)
 def named_stages(spark, sf):
     return seeds.stages_with_names(enrich.stages(enrich.classify(schools(spark, sf)))).select("school_id", "stage_number", "exam_name")
+
+
+# One record for every body rule and for near misses of some, as the rules are stated.
+BODIES = (
+    ("Harris Academy", "", "", "HARRIS_FEDERATION"), ("Plain", "a member of the Harris Federation", "", "HARRIS_FEDERATION"), ("Ark Burlington", "", "", "ARK_SCHOOLS"),
+    ("Parkland", "", "", "LOCAL_AUTHORITY_MAINTAINED"), ("Oasis Academy Hadley", "", "", "OASIS_COMMUNITY_LEARNING"), ("Wallington County Grammar", "", "", "FOLIO_EDUCATION_TRUST"),
+    ("King Edward VI Aston", "", "", "KEVI_FOUNDATION"), ("King Edward VI Morpeth", "", "", "LOCAL_AUTHORITY_MAINTAINED"), ("Plain", "run by GDST", "", "GDST"),
+    ("Haberdashers' Girls", "", "", "HABERDASHERS_TRUST"), ("Plain", "United Learning academy", "", "UNITED_LEARNING"), ("Plain", "GLF Schools", "", "GLF_SCHOOLS"),
+    ("Plain", "Leigh Academies Trust", "", "LEIGH_ACADEMIES_TRUST"), ("Plain", "Outwood Grange trust", "", "OUTWOOD_GRANGE_ACADEMIES"), ("The Tiffin Girls", "", "", "TIFFIN_ACADEMY_TRUST"),
+    ("Wilson's School", "", "", "WILSONS_ACADEMY_TRUST"), ("Plain", "", "Roman Catholic families first", "DIOCESE_OF_WESTMINSTER"), ("Plain C of E", "", "", "LDBS_LONDON"),
+    ("Plain", "", "Church of England", "LDBS_LONDON"), ("Harris RC Hall", "LDBS", "", "HARRIS_FEDERATION"),
+)
+_BODY = " ".join(f"WHEN {i} THEN '{b[3]}'" for i, b in enumerate(BODIES))
+
+
+@query("dq20_body_codes", f"SELECT id, CASE k % {len(BODIES)} {_BODY} END AS code FROM entity", uses=("entity",))
+def body_codes(spark, sf):
+    pick = lambda j: F.get(F.array(*[F.lit(b[j]) for b in BODIES]), (F.col("k") % len(BODIES)).cast("int"))
+    e = view(spark, sf, "entity").select("id", "k", "la", pick(0).alias("name"), pick(1).alias("description"), pick(2).alias("admissionsPolicy"))
+    return e.select("id", enrich.body_code(e.columns).alias("code"))
