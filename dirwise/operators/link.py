@@ -68,9 +68,18 @@ def link_list(ranked: DataFrame, entities: DataFrame) -> DataFrame:
     keyed = r.filter("urn <> ''").join(by_urn, "urn").select("entry", "key", F.col("f.id").alias("id"), F.col("f.found").alias("found"))
     t3 = hit(keyed.filter(dice("key", "found") >= KEY_TIER), 3, F.lit(0.0), F.lit("URN_EXACT_CONFIRMED"), F.lit(0.95))
 
+    def first_tier(*tiers: DataFrame) -> DataFrame:
+        every = tiers[0]
+        for t in tiers[1:]:
+            every = every.unionByName(t)
+        return saved(every.groupBy("entry").agg(F.min("best").alias("best")))
+
+    # the costly tiers only see entries that no earlier one has answered
+    settled = first_tier(t1, t2, t2b, t3)
+
     # 4: the district; the first entity that is close enough
     by_area = e.filter("area <> ''").groupBy("area", "key").agg(F.min("id").alias("id"))
-    s4 = _alike(forms.filter("area <> ''"), by_area, AREA_TIER, ["area"])
+    s4 = _alike(forms.filter("area <> ''").join(settled, "entry", "left_anti"), by_area, AREA_TIER, ["area"])
     own = s4.groupBy("entry", "id").agg(F.min("alias").alias("alias"))
     t4 = hit(own, 4, F.lit(0.0), F.when(F.col("alias"), "OUTCODE_ALIAS_MATCH").otherwise("OUTCODE_NAME_MATCH"), F.lit(0.85))
 
@@ -81,14 +90,12 @@ def link_list(ranked: DataFrame, entities: DataFrame) -> DataFrame:
     first = same.unionByName(raw_any)
     t5 = hit(first.withColumn("_x", ~F.col("exact")), 5, F.lit(0.0),
              F.when(F.col("exact"), "NAME_EXACT").otherwise("NORM_NAME_EXACT"), F.when(F.col("exact"), 0.95).otherwise(0.90))
+    settled = first_tier(settled, t4, t5)
     any_name = e.filter("key <> ''").groupBy("key").agg(F.min("id").alias("id"))
-    s6 = _alike(forms, any_name, FUZZY_TIER, [])
+    s6 = _alike(forms.join(settled, "entry", "left_anti"), any_name, FUZZY_TIER, [])
     t6 = hit(s6, 6, -F.col("dice"), F.lit("FUZZY_NAME"), F.col("dice"))
 
-    tiers = t1
-    for t in (t2, t2b, t3, t4, t5, t6):
-        tiers = tiers.unionByName(t)
-    best = tiers.groupBy("entry").agg(F.min("best").alias("best"))
+    best = first_tier(settled, t6)
     return best.select("entry", "best.id", "best.matchType", "best.confidence")
 
 
