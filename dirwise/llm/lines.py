@@ -52,13 +52,13 @@ def drops(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_c
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` with the kept lines in its text column, and the columns n_lines and n_dropped (incoming ones of these names are replaced)."""
-    lost = drops(docs, id_col, text_col, min_chars).select(F.col("id").alias("_id"), F.col("row").alias("_row"), F.col("gone").alias("_gone"))
+    lost = drops(docs, id_col, text_col, min_chars).select(F.col("id").alias("__line_id"), F.col("row").alias("__line_row"), F.col("gone").alias("__line_gone"))
     rows = docs.drop("n_lines", "n_dropped")
     text = text_or_empty(text_col)
-    joined = rows.join(lost, rows[id_col].eqNullSafe(lost["_id"]) & (F.xxhash64(text) == lost["_row"]), "left")
+    joined = rows.join(lost, rows[id_col].eqNullSafe(lost["__line_id"]) & (F.xxhash64(text) == lost["__line_row"]), "left")
     lines = F.split(text, "\n", -1)
-    gone = F.coalesce(F.size("_gone"), F.lit(0))
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
+    gone = F.coalesce(F.size("__line_gone"), F.lit(0))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__line_gone"))
     rest = F.get(F.transform(F.array(lines), lambda a: F.array_join(F.transform(kept, lambda i: F.get(a, i)), "\n")), F.lit(0))
-    whole = F.when(F.col("_gone").isNull(), text).otherwise(rest)
+    whole = F.when(F.col("__line_gone").isNull(), text).otherwise(rest)
     return joined.withColumns({"n_lines": F.size(lines).cast("long"), "n_dropped": gone.cast("long"), text_col: whole}).select(*rows.columns, "n_lines", "n_dropped")

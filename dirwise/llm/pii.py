@@ -298,13 +298,13 @@ def pseudonymised(docs: DataFrame, text_col: str = "text", key: bytes = KEY) ->
     rows = docs.drop("n_entities")
     spots = saved(mentions(rows, text_col))
     redrawn = assigned(spots, key).where("attempt > 0").select("kind", "canon", "attempt")
-    own = saved(spots.join(redrawn, ["kind", "canon"]).distinct().groupBy(F.col("text_key").alias("_key")).agg(F.collect_list(F.struct("kind", "canon", "attempt")).alias("_redrawn")))
+    own = saved(spots.join(redrawn, ["kind", "canon"]).distinct().groupBy(F.col("text_key").alias("__pii_key")).agg(F.collect_list(F.struct("kind", "canon", "attempt")).alias("__pii_redrawn")))
 
     @F.pandas_udf("text string, n long")
     def swap(text: pd.Series, redrawn: pd.Series) -> pd.DataFrame:
         out = [(None, 0) if t is None else replaced(t, {(r["kind"], r["canon"]): r["attempt"] for r in rs} if rs is not None else {}, key) for t, rs in zip(text, redrawn, strict=True)]
         return pd.DataFrame(out, columns=["text", "n"])
 
-    joined = rows.join(own, F.xxhash64(text_or_empty(text_col)) == own["_key"], "left")
-    done = joined.withColumn("_new", swap.asNondeterministic()(F.col(text_col).cast("string"), "_redrawn"))
-    return done.withColumns({text_col: F.col("_new.text"), "n_entities": F.col("_new.n")}).select(*rows.columns, "n_entities")
+    joined = rows.join(own, F.xxhash64(text_or_empty(text_col)) == own["__pii_key"], "left")
+    done = joined.withColumn("__pii_new", swap.asNondeterministic()(F.col(text_col).cast("string"), "__pii_redrawn"))
+    return done.withColumns({text_col: F.col("__pii_new.text"), "n_entities": F.col("__pii_new.n")}).select(*rows.columns, "n_entities")

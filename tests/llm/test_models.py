@@ -305,3 +305,17 @@ def test_stages_take_effect_and_keep_columns(spark, tmp_path):
     empty = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, str(tmp_path)).count() == 0
+
+
+def test_stages_take_odd_rows(spark, odd, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rows = labelled(120, seed=9)
+    spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(r[0], r[2], 0) for r in rows], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = odd.withColumns({"predicted": F.lit("own"), "n_entities": F.lit(-1), "n_dropped": F.lit("own"), "n_chars": F.length("text").cast("long")})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.schema.names == docs.columns and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema]
+        got = out.select("predicted", "n_entities", "n_dropped", "score", "n_lines", "id").distinct().collect()
+        assert [tuple(r) for r in got] == [("own", -1, "own", 0.5, 1, "x")] if name != "quality" else set(map(tuple, got)) <= {("own", -1, "own", 0.5, 1, "x")}
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).where("start = 0").count() == docs.count()
