@@ -15,6 +15,13 @@ from dirwise.session import shared_dir
 VOCABULARY = "word_bpe_49k.json"
 
 
+def _beside(docs: DataFrame, operator, *own: str) -> DataFrame:
+    """An operator's result where ``docs`` keep the columns that are called like the operator's own."""
+    aside = {c: f"{c}__kept" for c in own if c in docs.columns}
+    out = operator(docs.withColumnsRenamed(aside))
+    return out.drop(*aside).withColumnsRenamed({k: c for c, k in aside.items()})
+
+
 def _as_documents(docs: DataFrame, like: DataFrame) -> DataFrame:
     """The columns of ``like``, with the number of characters brought up to date."""
     if "n_chars" in like.columns:
@@ -26,12 +33,12 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier (6), fitted on the labelled ones, does not reject."""
     reachable(spark)
     field = quality.fit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
-    return quality.scored(docs, field).where("predicted = 1").select(*docs.columns)
+    return _beside(docs, lambda rows: quality.scored(rows, field).where("predicted = 1"), "score", "predicted").select(*docs.columns)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Line dedup (5): lines that an earlier document holds go; documents that lose all their lines stay, empty."""
-    return _as_documents(lines.deduplicated(docs), docs)
+    return _as_documents(_beside(docs, lines.deduplicated, "n_lines", "n_dropped"), docs)
 
 
 def keep_first(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +50,7 @@ def keep_first(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """PII (8): entities become surrogates."""
     reachable(spark)
-    return _as_documents(pii.pseudonymised(docs), docs)
+    return _as_documents(_beside(docs, pii.pseudonymised, "n_entities"), docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
