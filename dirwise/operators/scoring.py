@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dirwise.functions import geo
 from dirwise.functions.values import (
     any_of, bind, clamp, contains_any, filled, nonzero, present, round_half_up, text, trim_all)
 from dirwise.operators import filters as flt
-from dirwise.operators.nearby import nearest_anchor, selection_centroid, text_location
 
 # What each part of a record is worth, in points.
 WEIGHTS = {
@@ -115,15 +115,19 @@ def format_label() -> Column:
     return (F.when(named, F.col("exam_consortium")).when(filled("entranceExamType") & (F.lower("entranceExamType") != "none"), F.col("entranceExamType")).otherwise(""))
 
 
+def profile_kind() -> Column:
+    """Kind of a saved entity as a profile counts it."""
+    t = F.lower(trim_all(text("schoolType")))
+    return (F.when(t.contains("grammar"), "grammar").when(t.contains("independent"), "independent")
+            .when(contains_any(t, ("comprehensive", "academy", "community")), "comprehensive").when(t != "", t))
+
+
 def profile(saved_rows: DataFrame) -> DataFrame:
     """One row: the sexes, types, exam formats and mean attainment of a user's saved entities."""
     cls = flt.sex_class()
     sex = F.when(cls["girls"], "girls").when(cls["boys"], "boys").when(cls["mixed"], "mixed")
-    t = F.lower(trim_all(text("schoolType")))
-    kind = (F.when(t.contains("grammar"), "grammar").when(t.contains("independent"), "independent")
-            .when(contains_any(t, ("comprehensive", "academy", "community")), "comprehensive").when(t != "", t))
     return saved_rows.agg(
-        F.sort_array(F.collect_set(sex)).alias("sexes"), F.sort_array(F.collect_set(kind)).alias("types"),
+        F.sort_array(F.collect_set(sex)).alias("sexes"), F.sort_array(F.collect_set(profile_kind())).alias("types"),
         F.sort_array(F.collect_set(format_key())).alias("formats"), F.coalesce(F.avg("gcseAttainment8"), F.lit(65.0)).alias("attainment"),
         F.count("*").alias("n"))
 
@@ -178,84 +182,121 @@ def rating_adjustment() -> Column:
             .when(contains_any(r, ("requires improvement", "special measures", "inadequate")), -30).otherwise(0))
 
 
-def recommend(
-    df: DataFrame, saved_ids: DataFrame, *, removed: DataFrame | None = None, sexes=(), types=(), rating: str | None = None,
-    exam_formats=(), places=(), anchors=(), ability: str = "NA", importance: dict | None = None, limit: int | None = 10,
-) -> DataFrame:
-    """Best-fitting entities for one user: id, matchScore, distanceMiles, reasons.
+USER_COLUMNS = {
+    "ability": "string", "rating": "string", "proximity": "string", "academicExcellence": "string", "pupilProgress": "string",
+    "sexes": "array<string>", "types": "array<string>", "exam_formats": "array<string>", "places": "array<string>",
+}
+RATING_LEVELS = ("outstanding", "good")
+#: Blocks that the entities are dealt into; every user meets each block.
+USER_BLOCKS = 64
+
+
+def _sexes_fit(wanted: Column) -> Column:
+    """``filters.accepts_sexes`` for an array column of wishes."""
+    chosen = F.array_intersect(F.transform(wanted, lambda w: F.when(w == "co-ed", "mixed").otherwise(w)), F.array(*[F.lit(w) for w in ("boys", "girls", "mixed")]))
+    cls = flt.sex_class()
+    fits = any_of([F.array_contains(chosen, w) & cls[w] for w in ("boys", "girls", "mixed")])
+    return any_of([F.size(wanted) == 0, F.array_contains(wanted, "NA"), F.array_contains(wanted, "all"), F.size(chosen).isin(0, 3)]) | fits
+
 
-    df: located entities (easting, northing may be null). saved_ids: the ids
-    the user keeps; they shape the profile and are not offered again. anchors:
-    grid positions of the postcodes among ``places``; without any, the middle
-    of the saved entities is used. The profile of one user is a single row
-    and is read to the driver once; all scoring is column work.
+def _types_fit(wanted: Column) -> Column:
+    """``filters.accepts_types`` for an array column of wishes."""
+    t = F.lower(text("schoolType"))
+    state = contains_any(t, ("comprehensive", "academy", "community"))
+    fits = F.exists(wanted, lambda w: F.when(F.lower(F.trim(w)) == "comprehensive", state).otherwise(F.contains(t, F.lower(F.trim(w)))))
+    return any_of([F.size(wanted) == 0, F.array_contains(wanted, "NA"), F.array_contains(wanted, "all")]) | fits
+
+
+def _by_ability(of, ability: Column) -> Column:
+    """A ladder or reason per level of ability; unknown levels take the general one."""
+    out = F.when(ability == "top_class", of("top_class")).when(ability == "above_average", of("above_average"))
+    return out.when(ability.isin("average", "below_average"), of("average")).otherwise(of("NA"))
+
+
+def recommend_many(df: DataFrame, users: DataFrame, saved_ids: DataFrame, removed: DataFrame | None = None, anchors: DataFrame | None = None, limit: int | None = 10) -> DataFrame:
+    """Best-fitting entities for every user: user_id, id, matchScore, distanceMiles, reasons.
+
+    df: located entities. users: user_id and any of ``USER_COLUMNS`` (a missing
+    one is empty). saved_ids, removed: (user_id, id); saved entities shape a
+    user's profile, neither is offered. anchors: (user_id, easting, northing)
+    of the places a user named; without any, the middle of the saved ones.
+    All is column work: profiles are grouped by user, entities are dealt into
+    blocks that every user meets, and nothing is read to the driver.
     """
-    ids = saved_ids.select(F.col(saved_ids.columns[0]).alias("id")).distinct()
-    kept = df.join(ids, "id", "left_semi")
-    p = profile(kept).first()
-    middle = selection_centroid(kept).first()
-    if not anchors and middle["n"]:
-        anchors = [(middle["easting"], middle["northing"])]
-    pool = df.join(ids, "id", "left_anti")
-    if removed is not None:
-        pool = flt.without_ids(pool, removed)
-
-    sexes, types, exam_formats = [list(x) for x in (sexes, types, exam_formats)]
-    if sexes or p["sexes"]:
-        pool = pool.filter(flt.accepts_sexes(sorted(set(sexes) | set(p["sexes"]))))
-    if types:
-        pool = pool.filter(flt.accepts_types(sorted({t.lower().strip() for t in types} | set(p["types"]))))
-    pool = pool.filter(flt.rating_floor(rating))
-
-    if anchors:
-        pool = nearest_anchor(pool, anchors)
-    else:
-        none = F.lit(None).cast("double")
-        pool = pool.withColumns({"distanceMiles": none, "distanceKm": none})
+    ids = saved_ids.select("user_id", "id").distinct()
+    kept = ids.join(df, "id")
+    cls = flt.sex_class()
+    sex = F.when(cls["girls"], "girls").when(cls["boys"], "boys").when(cls["mixed"], "mixed")
+    at = F.col("easting").isNotNull() & (F.col("easting") != 0) & F.col("northing").isNotNull() & (F.col("northing") != 0)
+    mean = lambda c: round_half_up(F.avg(F.when(at, F.col(c)))).cast("double")
+    own = kept.groupBy("user_id").agg(
+        F.collect_set(sex).alias("p_sexes"), F.collect_set(profile_kind()).alias("p_types"), F.collect_set(format_key()).alias("p_formats"),
+        F.struct(mean("easting").alias("e"), mean("northing").alias("n")).alias("middle"))
+    spots = (anchors.select("user_id", F.struct(F.col("easting").cast("double").alias("e"), F.col("northing").cast("double").alias("n")).alias("p")).groupBy("user_id").agg(F.collect_list("p").alias("points"))
+             if anchors is not None else own.limit(0).select("user_id", F.array("middle").alias("points")))
+    none = F.array().cast("array<string>")
+    asked = [(F.coalesce(F.col(c).cast(t), none) if t.startswith("array") else F.col(c).cast(t)).alias(f"u_{c}") if c in users.columns
+             else (none if t.startswith("array") else F.lit(None).cast(t)).alias(f"u_{c}") for c, t in USER_COLUMNS.items()]
+    u = users.select("user_id", *asked).join(own, "user_id", "left").join(spots, "user_id", "left")
+    given = F.coalesce(F.filter("points", lambda p: p["e"].isNotNull()), F.filter(F.array("middle"), lambda p: p["e"].isNotNull()))
+    u = u.select("user_id", *[f"u_{c}" for c in USER_COLUMNS], *[F.coalesce(c, none).alias(c) for c in ("p_sexes", "p_types", "p_formats")], given.alias("points"))
+
+    rows = df.withColumn("_block", F.pmod(F.xxhash64("id"), F.lit(USER_BLOCKS).cast("bigint")))
+    pool = rows.join(u.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(USER_BLOCKS - 1).cast("bigint")))), "_block").drop("_block")
+    gone = ids if removed is None else ids.unionByName(removed.select("user_id", "id")).distinct()
+    pool = pool.join(gone, ["user_id", "id"], "left_anti")
+    sexes, types, formats = F.col("u_sexes"), F.col("u_types"), F.col("u_exam_formats")
+    floors = F.when(F.lit(False), F.lit(True))
+    for level in RATING_LEVELS:
+        floors = floors.when(F.lower(F.trim("u_rating")) == level, flt.rating_floor(level))
+    sex_ok = (F.size(sexes) + F.size("p_sexes") == 0) | _sexes_fit(F.array_union(sexes, F.col("p_sexes")))
+    type_ok = (F.size(types) == 0) | _types_fit(F.array_union(F.transform(types, lambda t: F.lower(F.trim(t))), F.col("p_types")))
+    pool = pool.filter(sex_ok & type_ok & F.coalesce(floors, F.lit(True)))
+
+    metres = F.array_min(F.transform("points", lambda p: geo.grid_metres("easting", "northing", p["e"], p["n"])))
+    pool = pool.withColumn("distanceMiles", F.round(metres / geo.METRES_PER_MILE, 2))
     miles = F.col("distanceMiles")
     near = F.when(miles.isNull(), MIDDLING).otherwise(steps(miles, PROXIMITY_STEPS, FAR))
-    token = text_location("la", "postcode", "address", list(places))
+    where = [F.lower(text(c)) for c in ("la", "postcode", "address")]
+    token = F.get(F.filter("u_places", lambda t: any_of([F.contains(p, F.lower(t)) for p in where])), F.lit(0))
     proximity = F.when(token.isNotNull(), F.greatest(near, F.lit(NAMED_PLACE))).otherwise(near)
 
-    formats = F.array(*[F.lit(f) for f in p["formats"]]).cast("array<string>")
-    shared = F.array_contains(formats, format_key())
-    asked = any_of([F.lower(text("entranceExamType")).contains(f.lower().strip()) | F.lower(text("exam_consortium")).contains(f.lower().strip())
-                    for f in exam_formats])
+    shared = F.array_contains("p_formats", format_key())
+    exam_words = [F.lower(text("entranceExamType")), F.lower(text("exam_consortium"))]
+    wanted = F.exists(formats, lambda f: any_of([F.contains(w, F.lower(F.trim(f))) for w in exam_words]))
     label = format_label()
     grouped = filled("exam_consortium") & (F.lower("exam_consortium") != "none")
-    if exam_formats:
-        exam = F.when(asked, 1.00).when(shared, 0.80).otherwise(0.40)
-        shown = F.when(label != "", label).otherwise(F.coalesce(F.nullif(text("exam_consortium"), F.lit("")), F.col("entranceExamType")))
-        exam_reason = (F.when(asked, F.concat(F.lit("Matches requested exam format: "), shown))
-                       .when(shared, F.concat(F.lit("Shares exam format with shortlisted schools ("), F.when(label != "", label).otherwise("Shortlist compatible admissions format"), F.lit(")"))))
-    elif p["formats"]:
-        exam = F.when(shared, 0.95).otherwise(0.40)
-        exam_reason = F.when(shared, F.when(grouped, F.concat(F.lit("Shares "), F.col("exam_consortium"), F.lit(" admissions format")))
-                             .otherwise(F.concat(F.lit("Matches entrance exam format: "), F.when(label != "", label).otherwise(text("entranceExamType")))))
-    else:
-        exam, exam_reason = F.lit(MIDDLING), F.lit(None).cast("string")
-
-    fits_saved = flt.accepts_types(p["types"]) if p["types"] else F.lit(True)
-    if types:
-        asked_type = flt.accepts_types(types)
-        kind = F.when(asked_type, 1.00).when(fits_saved, 0.70).otherwise(0.40)
-        kind_reason = (F.when(asked_type, F.concat(F.lit("Matches requested school type: "), text("schoolType")))
-                       .when(fits_saved, F.concat(F.lit("Shares school type with shortlisted schools ("), text("schoolType"), F.lit(")"))))
-    elif p["types"]:
-        fits = filled("schoolType") & fits_saved
-        other = text("schoolType").contains("Grammar") if "independent" in p["types"] else F.lit(False)
-        kind = F.when(fits, 0.90).when(other, 0.75).otherwise(MIDDLING)
-        kind_reason = F.when(fits, F.concat(F.lit("Matches school type of your shortlisted schools ("), text("schoolType"), F.lit(")")))
-    else:
-        kind, kind_reason = F.lit(MIDDLING), F.lit(None).cast("string")
+    shown = F.when(label != "", label).otherwise(F.coalesce(F.nullif(text("exam_consortium"), F.lit("")), F.col("entranceExamType")))
+    none_text = F.lit(None).cast("string")
+    asks_exam, has_exam = F.size(formats) > 0, F.size("p_formats") > 0
+    exam = (F.when(asks_exam, F.when(wanted, 1.00).when(shared, 0.80).otherwise(0.40)).when(has_exam, F.when(shared, 0.95).otherwise(0.40)).otherwise(MIDDLING))
+    exam_reason = (
+        F.when(asks_exam, F.when(wanted, F.concat(F.lit("Matches requested exam format: "), shown)).when(
+            shared, F.concat(F.lit("Shares exam format with shortlisted schools ("), F.when(label != "", label).otherwise("Shortlist compatible admissions format"), F.lit(")"))))
+        .when(has_exam, F.when(shared, F.when(grouped, F.concat(F.lit("Shares "), F.col("exam_consortium"), F.lit(" admissions format")))
+                               .otherwise(F.concat(F.lit("Matches entrance exam format: "), F.when(label != "", label).otherwise(text("entranceExamType"))))))
+        .otherwise(none_text))
+
+    fits_saved = _types_fit(F.col("p_types"))
+    asks_type, has_type = F.size(types) > 0, F.size("p_types") > 0
+    asked_type, fits = _types_fit(types), filled("schoolType") & fits_saved
+    other = F.array_contains("p_types", "independent") & text("schoolType").contains("Grammar")
+    kind = (F.when(asks_type, F.when(asked_type, 1.00).when(fits_saved, 0.70).otherwise(0.40))
+            .when(has_type, F.when(fits, 0.90).when(other, 0.75).otherwise(MIDDLING)).otherwise(MIDDLING))
+    kind_reason = (
+        F.when(asks_type, F.when(asked_type, F.concat(F.lit("Matches requested school type: "), text("schoolType")))
+               .when(fits_saved, F.concat(F.lit("Shares school type with shortlisted schools ("), text("schoolType"), F.lit(")"))))
+        .when(has_type, F.when(fits, F.concat(F.lit("Matches school type of your shortlisted schools ("), text("schoolType"), F.lit(")")))).otherwise(none_text))
 
     prog = F.col("gcseProgress8")
     growth = F.when(prog.isNull(), MIDDLING).otherwise(steps(prog, PROGRESS_LADDER, 0.35, below=False))
-    asked_sex = flt.accepts_sexes(sexes) if sexes else F.lit(False)
-    level = importance or {}
-    mult = {k: IMPORTANCE.get(level.get(k), UNKNOWN[k]) for k in UNKNOWN}
-    w = {"near": mult["proximity"] * 20, "exam": 25.0, "academic": mult["academicExcellence"] * 25, "growth": mult["pupilProgress"] * 15, "kind": 15.0}
-    fit = (proximity * w["near"] + exam * w["exam"] + academic_score(ability) * w["academic"] + growth * w["growth"] + kind * w["kind"]) / sum(w.values()) * 100
+    asked_sex = (F.size(sexes) > 0) & _sexes_fit(sexes)
+    levels = F.create_map(*[F.lit(x) for kv in IMPORTANCE.items() for x in kv])
+    mult = {k: F.coalesce(F.try_element_at(levels, F.coalesce(F.col(f"u_{k}"), F.lit(""))), F.lit(v)) for k, v in UNKNOWN.items()}
+    w = {"near": mult["proximity"] * 20, "exam": F.lit(25.0), "academic": mult["academicExcellence"] * 25, "growth": mult["pupilProgress"] * 15, "kind": F.lit(15.0)}
+    ability = F.coalesce("u_ability", F.lit("NA"))
+    total = w["near"] + w["exam"] + w["academic"] + w["growth"] + w["kind"]
+    fit = (proximity * w["near"] + exam * w["exam"] + _by_ability(academic_score, ability) * w["academic"] + growth * w["growth"] + kind * w["kind"]) / total * 100
     score = clamp(round_half_up(fit + rating_adjustment() + F.when(asked_sex, 8).otherwise(0)), 15, 99)
 
     shown_miles = F.format_string("%.1f", miles)
@@ -263,13 +304,29 @@ def recommend(
                    .when(miles <= 6.0, F.concat(shown_miles, F.lit(" miles away • Within local radius"))).when(miles <= 10.0, F.concat(F.lit("~"), shown_miles, F.lit(" miles away"))))
     place_reason = F.when(near_reason.isNull() & token.isNotNull(), F.concat(F.lit("Located in "), F.coalesce(F.nullif(text("la"), F.lit("")), token)))
     top_rated = F.when(rating_adjustment() == 4, "Ofsted Outstanding")
-    said = F.array_distinct(F.array_compact(F.array(exam_reason, near_reason, place_reason, academic_reason(ability), kind_reason, top_rated)))
+    said = F.array_distinct(F.array_compact(F.array(exam_reason, near_reason, place_reason, _by_ability(academic_reason, ability), kind_reason, top_rated)))
     fallback = F.when(filled("schoolType"), F.concat(F.col("schoolType"), F.lit(" secondary school"))).otherwise("High school recommendation")
     reasons = F.when(F.size(said) > 0, F.slice(said, 1, 4)).otherwise(F.array(fallback))
-    out = pool.select("id", score.cast("int").alias("matchScore"), "distanceMiles", reasons.alias("reasons"))
+    out = pool.select("user_id", "id", score.cast("int").alias("matchScore"), "distanceMiles", reasons.alias("reasons"))
     if limit is None:
         return out
-    return out.orderBy(F.desc("matchScore"), "id").limit(limit)
+    best = out.withColumn("_n", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("matchScore"), "id")))
+    return best.filter(F.col("_n") <= limit).drop("_n")
+
+
+def recommend(
+    df: DataFrame, saved_ids: DataFrame, *, removed: DataFrame | None = None, sexes=(), types=(), rating: str | None = None,
+    exam_formats=(), places=(), anchors=(), ability: str = "NA", importance: dict | None = None, limit: int | None = 10,
+) -> DataFrame:
+    """``recommend_many`` for one user, whose wishes are given as values: id, matchScore, distanceMiles, reasons, best first."""
+    spark = df.sparkSession
+    level = importance or {}
+    wish = {"ability": ability, "rating": rating, **{k: level.get(k) for k in UNKNOWN}, "sexes": list(sexes), "types": list(types), "exam_formats": list(exam_formats), "places": list(places)}
+    user = spark.createDataFrame([(0, *[wish[c] for c in USER_COLUMNS])], "user_id int, " + ", ".join(f"{c} {t}" for c, t in USER_COLUMNS.items()))
+    mine = lambda ids: ids.select(F.lit(0).alias("user_id"), F.col(ids.columns[0]).alias("id"))
+    spots = spark.createDataFrame([(0, float(e), float(n)) for e, n in anchors], "user_id int, easting double, northing double") if anchors else None
+    out = recommend_many(df, user, mine(saved_ids), None if removed is None else mine(removed), spots, limit).drop("user_id")
+    return out if limit is None else out.orderBy(F.desc("matchScore"), "id")
 
 
 # ---- other scores ------------------------------------------------------------------------------

@@ -85,6 +85,63 @@ def recommended(spark, sf):
     return _fits(spark, sf, 10).select("id", "matchScore")
 
 
+# Two dozen users with different wishes: all levels of ability, asked-for formats, types, sexes and places, more or less travel.
+USERS = 24
+_USER = """SELECT u, CASE u % 5 WHEN 0 THEN 'top_class' WHEN 1 THEN 'above_average' WHEN 2 THEN 'average' WHEN 3 THEN 'below_average' ELSE 'NA' END AS ability, u % 3 = 0 AS travels, u % 4 = 1 AS asks_exam, u % 4 = 2 AS asks_type, u % 6 = 5 AS asks_girls, u % 2 = 0 AS kent"""
+_ADVICE = f"""
+s AS (SELECT *, {_SEX} LIKE '%boy%' AND {_SEX} NOT LIKE '%girl%' AS b, {_SEX} LIKE '%girl%' AND {_SEX} NOT LIKE '%boy%' AS g, {_SEX} LIKE '%mixed%' OR {_SEX} LIKE '%co-ed%' AS m, {_FMT} AS fmt FROM school),
+w AS ({_USER} FROM range({USERS}) t(u)),
+o AS (SELECT k % 240 AS u, bool_or(b) AS sb, bool_or(g) AS sg, bool_or(m AND NOT b AND NOT g) AS sm, bool_or(schoolType = 'Grammar') AS tg, bool_or(schoolType = 'Independent') AS ti, bool_or(schoolType = 'Comprehensive') AS tc,
+  list(DISTINCT fmt) AS fmts, floor(avg(easting) + 0.5) AS ue, floor(avg(northing) + 0.5) AS un FROM s WHERE k % 240 < {USERS} GROUP BY 1),
+x AS (SELECT w.*, o.* EXCLUDE (u, sg), sg OR asks_girls AS sg FROM w JOIN o ON o.u = w.u),
+c AS (SELECT s.*, x.*, round(sqrt(cast((easting - ue) * (easting - ue) + (northing - un) * (northing - un) AS DOUBLE)) / 1609.344, 2) AS miles FROM s, x
+  WHERE k % 240 <> u AND k % 90 <> u AND CASE WHEN (sb OR sg OR sm) AND NOT (sb AND sg AND sm) THEN (sb AND b) OR (sg AND g) OR (sm AND m) ELSE true END
+   AND CASE WHEN asks_type THEN schoolType = 'Grammar' OR (tg AND schoolType = 'Grammar') OR (ti AND schoolType = 'Independent') OR (tc AND schoolType = 'Comprehensive') ELSE true END),
+d AS (SELECT *, CASE WHEN miles <= 3 THEN 1.0 WHEN miles <= 6 THEN 0.88 WHEN miles <= 10 THEN 0.72 WHEN miles <= 15 THEN 0.52 WHEN miles <= 25 THEN 0.32 ELSE 0.12 END AS near,
+  kent AND (contains(lower(la), 'kent') OR contains(lower(postcode), 'kent') OR contains(lower(address), 'kent')) AS named, list_contains(fmts, fmt) AS shared, contains(lower(entranceExamType), 'cem') OR contains(lower(coalesce(exam_consortium, '')), 'cem') AS met,
+  CASE ability WHEN 'top_class' THEN CASE WHEN national_rank_england <= 100 OR gcse_rank_england <= 100 OR a_level_rank_england <= 100 THEN 1.0 WHEN national_rank_england <= 250 THEN 0.94 WHEN gcseAttainment8 >= 70 THEN 0.9 WHEN national_rank_england <= 500 THEN 0.85 ELSE 0.45 END
+   WHEN 'above_average' THEN CASE WHEN gcseAttainment8 >= 60 THEN 0.92 WHEN national_rank_england <= 400 THEN 0.85 WHEN gcseProgress8 >= 0.35 THEN 0.85 ELSE 0.6 END
+   WHEN 'NA' THEN CASE WHEN national_rank_england <= 100 THEN 0.95 WHEN gcseAttainment8 >= 65 THEN 0.85 WHEN gcseProgress8 >= 0.4 THEN 0.8 ELSE 0.5 END
+   ELSE CASE WHEN gcseProgress8 >= 0.5 THEN 1.0 WHEN gcseProgress8 >= 0.2 THEN 0.85 WHEN gcseProgress8 >= 0 THEN 0.7 ELSE 0.4 END END AS acad,
+  CASE WHEN gcseProgress8 IS NULL THEN 0.5 WHEN gcseProgress8 >= 0.7 THEN 1.0 WHEN gcseProgress8 >= 0.4 THEN 0.85 WHEN gcseProgress8 >= 0 THEN 0.65 ELSE 0.35 END AS growth,
+  (tg AND schoolType = 'Grammar') OR (ti AND schoolType = 'Independent') OR (tc AND schoolType = 'Comprehensive') AS typed, lower(ofstedRating) AS r FROM c),
+e AS (SELECT *, CASE WHEN asks_exam THEN CASE WHEN met THEN 1.0 WHEN shared THEN 0.8 ELSE 0.4 END ELSE CASE WHEN shared THEN 0.95 ELSE 0.4 END END AS exam,
+  CASE WHEN asks_type THEN CASE WHEN schoolType = 'Grammar' THEN 1.0 WHEN typed THEN 0.7 ELSE 0.4 END ELSE CASE WHEN typed THEN 0.9 WHEN ti AND schoolType = 'Grammar' THEN 0.75 ELSE 0.5 END END AS kind,
+  CASE WHEN travels THEN 17.0 ELSE 12.0 END::DOUBLE AS wn, CASE WHEN r LIKE '%outstanding%' OR r LIKE '%excellent%' THEN 4 WHEN r LIKE '%good%' THEN 2 WHEN r LIKE '%requires improvement%' OR r LIKE '%special measures%' OR r LIKE '%inadequate%' THEN -30 ELSE 0 END AS adj,
+  CASE WHEN lower(trim(coalesce(exam_consortium, ''))) NOT IN ('', 'none', 'null', 'na') THEN exam_consortium WHEN entranceExamType <> '' AND lower(entranceExamType) <> 'none' THEN entranceExamType ELSE '' END AS lab,
+  coalesce(exam_consortium, '') <> '' AND lower(exam_consortium) <> 'none' AS grp FROM d),
+f AS (SELECT *, (CASE WHEN named THEN greatest(near, 0.85) ELSE near END::DOUBLE * wn + exam::DOUBLE * 25.0::DOUBLE + acad::DOUBLE * 21.25::DOUBLE + growth::DOUBLE * 9.0::DOUBLE + kind::DOUBLE * 15.0::DOUBLE) / (wn + 25.0::DOUBLE + 21.25::DOUBLE + 9.0::DOUBLE + 15.0::DOUBLE) * 100 AS fit,
+  CASE WHEN asks_exam THEN CASE WHEN met THEN 'Matches requested exam format: ' || CASE WHEN lab <> '' THEN lab ELSE coalesce(nullif(exam_consortium, ''), entranceExamType) END WHEN shared THEN 'Shares exam format with shortlisted schools (' || CASE WHEN lab <> '' THEN lab ELSE 'Shortlist compatible admissions format' END || ')' END
+   ELSE CASE WHEN shared THEN CASE WHEN grp THEN 'Shares ' || exam_consortium || ' admissions format' ELSE 'Matches entrance exam format: ' || CASE WHEN lab <> '' THEN lab ELSE entranceExamType END END END END AS said_exam,
+  CASE WHEN asks_type THEN CASE WHEN schoolType = 'Grammar' THEN 'Matches requested school type: ' || schoolType WHEN typed THEN 'Shares school type with shortlisted schools (' || schoolType || ')' END
+   ELSE CASE WHEN typed THEN 'Matches school type of your shortlisted schools (' || schoolType || ')' END END AS said_kind FROM e),
+z AS (SELECT u AS user_id, id, cast(greatest(15, least(99, floor(fit + adj + CASE WHEN asks_girls AND g THEN 8 ELSE 0 END + 0.5))) AS INT) AS score, miles, concat_ws('|', said_exam, said_kind) AS said FROM f)
+"""
+
+
+def _advice(spark, sf, limit):
+    s = schools(spark, sf)
+    yes = lambda cond, *words: F.when(F.expr(cond), F.array(*[F.lit(w) for w in words]))
+    users = spark.sql(_USER + f" FROM (SELECT id AS u FROM range({USERS}))")
+    users = users.select(F.col("u").alias("user_id"), "ability", F.when(F.col("travels"), "very").alias("proximity"), yes("asks_exam", " CEM ").alias("exam_formats"), yes("asks_type", "Grammar").alias("types"),
+                         yes("asks_girls", "girls").alias("sexes"), yes("kent", "Kent").alias("places"))
+    keeps = s.filter(f"k % 240 < {USERS}").select((F.col("k") % 240).alias("user_id"), "id")
+    drops = s.filter(f"k % 90 < {USERS}").select((F.col("k") % 90).alias("user_id"), "id")
+    said = F.array_join(F.filter("reasons", lambda r: r.startswith("Matches ") | r.startswith("Shares ")), "|").alias("said")
+    out = scoring.recommend_many(s, users, keeps, drops, limit=limit)
+    return out.select("user_id", "id", F.col("matchScore").alias("score"), F.col("distanceMiles").alias("miles"), said)
+
+
+@query("sco11_many_users", f"WITH {_ADVICE} SELECT * FROM z", uses=SCHOOL)
+def many_users(spark, sf):
+    return _advice(spark, sf, None)
+
+
+@query("top02_many_users", f"WITH {_ADVICE} SELECT user_id, id, score, said FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, id) AS n FROM z) WHERE n <= 10", uses=SCHOOL)
+def many_users_best(spark, sf):
+    return _advice(spark, sf, 10).drop("miles")
+
+
 @query("agg11_saved_profile", f"""WITH s AS (SELECT *, {_SEX} AS x, {_FMT} AS fmt FROM school WHERE k % 400 = 7)
 SELECT array_to_string(list_sort(list(DISTINCT CASE WHEN x LIKE '%girl%' AND x NOT LIKE '%boy%' THEN 'girls' WHEN x LIKE '%boy%' AND x NOT LIKE '%girl%' THEN 'boys' WHEN x LIKE '%mixed%' OR x LIKE '%co-ed%' THEN 'mixed' END)), ',') AS sexes,
  array_to_string(list_sort(list(DISTINCT lower(schoolType))), ',') AS types, array_to_string(list_sort(list(DISTINCT fmt)), ',') AS formats, round(coalesce(avg(gcseAttainment8), 65), 6) AS attainment, count(*) AS n FROM s""", uses=SCHOOL)
