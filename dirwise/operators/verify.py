@@ -191,13 +191,14 @@ def milestone_verdicts(df: DataFrame, key: str = "id") -> DataFrame:
     Pages without admissions text give one row with status ``data_missing``.
     """
     d = df.select(key, F.lower(text("body")).rlike(ADMISSIONS_TEXT).alias("_has"), "entranceExamDates", milestones_seen().alias("_w"))
-    none = d.filter(~F.col("_has")).select(key, F.lit("entranceExamDates").alias("field"), F.lit(None).cast("string").alias("dbValue"),
-                                           F.lit(None).cast("string").alias("webValue"), F.lit("data_missing").alias("status"))
-    long = d.filter("_has").select(key, "entranceExamDates", F.explode("_w").alias("field", "webValue"))
-    long = long.withColumn("dbValue", F.try_element_at("entranceExamDates", F.col("field")))
+    # one explode for both kinds of pages, so that each is read once
+    seen = F.transform(F.map_entries("_w"), lambda e: F.struct(e["key"].alias("field"), e["value"].alias("webValue")))
+    missing = F.array(F.struct(F.lit("entranceExamDates").alias("field"), F.lit(None).cast("string").alias("webValue")))
+    rows = d.select(key, "entranceExamDates", "_has", F.explode(F.when(F.coalesce("_has", F.lit(False)), seen).otherwise(missing)).alias("_e")).select(key, "entranceExamDates", "_has", "_e.*")
+    rows = rows.withColumn("dbValue", F.try_element_at("entranceExamDates", F.col("field")))
     has = ~trim_all(text("dbValue")).isin("", "N/A", "null")
-    status = F.when(has & dates.same_meaning("dates", "dbValue", "webValue"), "verified").when(has, "discrepancy").otherwise("enrichment")
-    return long.select(key, "field", F.when(has, F.col("dbValue")).otherwise("N/A").alias("dbValue"), "webValue", status.alias("status")).unionByName(none)
+    status = F.when(~F.col("_has"), "data_missing").when(has & dates.same_meaning("dates", "dbValue", "webValue"), "verified").when(has, "discrepancy").otherwise("enrichment")
+    return rows.select(key, "field", F.when(F.col("_has"), F.when(has, F.col("dbValue")).otherwise("N/A")).alias("dbValue"), "webValue", status.alias("status"))
 
 
 def verdict(df: DataFrame) -> DataFrame:
