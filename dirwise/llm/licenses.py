@@ -6,7 +6,7 @@ text. Detections inside a longer one are dropped, and those that overlap one of
 better class (an identifier or URL before a notice, a notice before a bare name).
 Beside the rules, four base phrases are looked for word by word.
 
-Texts without any key word cost one scan; of the others, each distinct text is
+Texts without any key word cost one scan and plain searches; of the others, each distinct text is
 matched once, however many documents share it.
 
 Defined results: null text counts as empty; a text without words has none of
@@ -49,13 +49,19 @@ agpl; affero; (?:gnu )?affero general public licen[cs]e
 agpl; agpl; gnu agpl\\b ; agpl licen[cs]ed?\\b
 gfdl; documentation; (?:gnu )?free documentation licen[cs]e
 gfdl; gfdl; gfdl ?-?v?#
-apache-2.0; apache; apache licen[cs]e,? (?:version |v)2(?:\\.0)? ; apache ?-?2\\.0\\b ; apache 2 licen[cs]e
-apache-1.1; apache; apache (?:software )?licen[cs]e,? (?:version |v)1\\.1 ; apache-1\\.1\\b
-apache-1.0; apache; apache (?:software )?licen[cs]e,? (?:version |v)1\\.0 ; apache-1\\.0\\b
+apache-2.0; apache; apache licen[cs]e,? (?:version |v)2(?:\\.0)? ; apache 2 licen[cs]e
+apache-2.0; apache-2; apache-2\\.0\\b
+apache-2.0; apache 2.0; apache 2\\.0\\b
+apache-1.1; apache; apache (?:software )?licen[cs]e,? (?:version |v)1\\.1
+apache-1.1; apache-1.1; apache-1\\.1\\b
+apache-1.0; apache; apache (?:software )?licen[cs]e,? (?:version |v)1\\.0
+apache-1.0; apache-1.0; apache-1\\.0\\b
 apache; apache; apache licen[cs]e ; apache software licen[cs]e ; licen[cs]ed under apache\\b
-mit; mit; (?:the )?mit licen[cs]e ; mit/x11 licen[cs]e ; mit-licen[cs]ed ; (?:licen[cs]e|licen[cs]ed under)(?: the)?:? mit\\b ; expat/mit
+mit; mit; (?:the )?mit licen[cs]e ; mit/x11 licen[cs]e ; mit-licen[cs]ed ; (?:licen[cs]e|licen[cs]ed under)(?: the)?:? mit\\b
+mit; expat/mit; expat/mit
 mit; expat; expat licen[cs]e
-mit-0; mit; mit no attribution ; mit-0\\b
+mit-0; mit no attribution; mit no attribution
+mit-0; mit-0; mit-0\\b
 x11; x11; x11 licen[cs]e
 bsd-2-clause; bsd; (?:2|two)-clause (?:\\"?simplified\\"? )?bsd ; simplified bsd licen[cs]e ; freebsd licen[cs]e ; bsd-2-clause
 bsd-3-clause; bsd; (?:3|three)-clause bsd ; (?:new|modified|revised) bsd licen[cs]e ; bsd-3-clause
@@ -63,13 +69,18 @@ bsd-4-clause; bsd; (?:4|four)-clause bsd ; original bsd licen[cs]e ; bsd-4-claus
 0bsd; bsd; zero-clause bsd ; 0bsd\\b
 bsd; bsd; bsd licen[cs]e ; bsd-style licen[cs]e ; bsd-licen[cs]ed
 isc; isc; isc licen[cs]e ; (?:licen[cs]e|licen[cs]ed under)(?: the)?:? isc\\b
-mpl-2.0; mpl; mpl ?-?v?2(?:\\.0)?\\b
-mpl-1.1; mpl; mpl ?-?v?1\\.1\\b
+mpl-2.0; mpl-2; mpl-2(?:\\.0)?\\b
+mpl-2.0; mpl 2; mpl 2(?:\\.0)?\\b
+mpl-2.0; mplv2; mplv2(?:\\.0)?\\b
+mpl-1.1; mpl-1; mpl-1\\.1\\b
+mpl-1.1; mpl 1; mpl 1\\.1\\b
 mpl-2.0; mozilla; mozilla public licen[cs]e,? (?:version |v)?2(?:\\.0)?
 mpl-1.1; mozilla; mozilla public licen[cs]e,? (?:version |v)?1\\.1
 mpl; mozilla; mozilla public licen[cs]e
-epl-2.0; epl; epl ?-?v?2(?:\\.0)?\\b
-epl-1.0; epl; epl ?-?v?1(?:\\.0)?\\b
+epl-2.0; epl-2; epl-2(?:\\.0)?\\b
+epl-2.0; epl 2; epl 2(?:\\.0)?\\b
+epl-1.0; epl-1; epl-1(?:\\.0)?\\b
+epl-1.0; epl 1; epl 1(?:\\.0)?\\b
 epl-2.0; eclipse; eclipse public licen[cs]e,? (?:- )?(?:version |v)2(?:\\.0)?
 epl; eclipse; eclipse public licen[cs]e
 edl; eclipse; eclipse distribution licen[cs]e
@@ -81,24 +92,27 @@ ipl-1.0; ibm public; ibm public licen[cs]e
 eupl-1.2; eupl; eupl ?-?v?1\\.2\\b
 eupl-1.1; eupl; eupl ?-?v?1\\.1\\b
 eupl; european union public; european union public licen[cs]e
-artistic-2.0; artistic; artistic licen[cs]e,? (?:version )?2(?:\\.0)? ; artistic-2\\.0\\b
+artistic-2.0; artistic; artistic licen[cs]e,? (?:version )?2(?:\\.0)?
+artistic-2.0; artistic-2; artistic-2\\.0\\b
 artistic; artistic; artistic licen[cs]e
-perl; perl; same terms as perl(?: itself)?
+perl; terms as perl; same terms as perl(?: itself)?
 python-2.0; python; python software foundation licen[cs]e ; psf licen[cs]e ; python licen[cs]e\\b
 php-3.01; php; php licen[cs]e,? (?:version )?3\\.01
 php; php; php licen[cs]e
-ruby; ruby; ruby(?:'s)? licen[cs]e ; same terms as ruby
+ruby; ruby; ruby(?:'s)? licen[cs]e
+ruby; terms as ruby; same terms as ruby
 zlib; zlib; zlib licen[cs]e ; zlib/libpng licen[cs]e ; (?:licen[cs]e|licen[cs]ed under)(?: the)?:? zlib\\b
 libpng; libpng; libpng licen[cs]e
 openssl; openssl; openssl licen[cs]e
 boost-1.0; boost; boost software licen[cs]e(?:,? version 1\\.0)?
-bsl-1.0; bsl; bsl-1\\.0\\b
+bsl-1.0; bsl-1; bsl-1\\.0\\b
 busl-1.1; business source; business source licen[cs]e(?: 1\\.1)?
 sspl-1.0; server side public; server side public licen[cs]e
 sspl-1.0; sspl; sspl ?-?v?1(?:\\.0)?\\b
 elastic-2.0; elastic; elastic licen[cs]e(?: 2\\.0)?
 unlicense; unlicen; the unlicen[cs]e ; unlicen[cs]e\\b
-wtfpl; wtf; wtfpl\\b ; do what the f[u*]ck you want to public licen[cs]e
+wtfpl; wtfpl; wtfpl\\b
+wtfpl; you want to public; do what the f[u*]ck you want to public licen[cs]e
 beerware; beer; beer-?ware licen[cs]e
 cc0-1.0; cc0; cc0(?: 1\\.0)?(?: universal)?\\b ; creative commons cc0
 cc0-1.0; creative commons; creative commons zero
@@ -106,7 +120,7 @@ public-domain; public domain; (?:released|placed|dedicated) (?:in|into|to) the p
 pddl; pddl; pddl\\b
 odbl-1.0; odbl; odbl(?: ?-?v?1\\.0)?\\b
 odbl-1.0; open database; open database licen[cs]e
-odc-by-1.0; odc; odc-by\\b
+odc-by-1.0; odc-by; odc-by\\b
 odc-by-1.0; open data commons; open data commons attribution licen[cs]e
 cc-by-nc-nd; cc; cc by nc nd(?: #)? ; cc-by-nc-nd(?:-#)?
 cc-by-nc-sa; cc; cc by nc sa(?: #)? ; cc-by-nc-sa(?:-#)?
@@ -123,7 +137,8 @@ cc-by; creative commons; creative commons attribution
 cc; creative commons; creative commons licen[cs]e
 afl-3.0; academic free; academic free licen[cs]e(?:,? (?:version |v)?#)?
 osl-3.0; open software; open software licen[cs]e(?:,? (?:version |v)?#)?
-ofl-1.1; ofl; sil ofl(?: 1\\.1)? ; ofl-1\\.1\\b
+ofl-1.1; sil ofl; sil ofl(?: 1\\.1)?
+ofl-1.1; ofl-1; ofl-1\\.1\\b
 ofl-1.1; open font; (?:sil )?open font licen[cs]e(?:,? version 1\\.1)?
 upl-1.0; universal permissive; universal permissive licen[cs]e
 ncsa; ncsa; (?:university of illinois/)?ncsa open source licen[cs]e
@@ -144,7 +159,7 @@ lppl-1.3c; lppl; lppl(?: ?-?1\\.3c?)?\\b
 lppl-1.3c; latex project; latex project public licen[cs]e
 sleepycat; sleepycat; sleepycat licen[cs]e
 intel; intel; intel open source licen[cs]e
-nasa-1.3; nasa; nasa open source agreement
+nasa-1.3; open source agreement; nasa open source agreement
 qpl-1.0; q public; q public licen[cs]e
 rpl-1.5; reciprocal public; reciprocal public licen[cs]e
 spl-1.0; sun public; sun public licen[cs]e
@@ -245,11 +260,24 @@ def rules() -> list[tuple[int, int, str, str, str, float]]:
     return [(i, *x) for i, x in enumerate(out)]
 
 
-def _hint() -> str:
-    """Matches wherever any rule's key word or a base phrase may stand, in texts as they are."""
-    words = sorted({r[3] for r in rules()} - {"cc"})
-    short = [w for w in words if not any(o != w and o in w for o in words)]
-    return "(?i)" + "|".join(map(re.escape, short)) + "|cc" + GAPS + "by|" + "|".join(GAPS.join(p.split()) for p in BASE)
+CC_BY = f"(?i)cc{GAPS}by"
+
+
+def gates() -> list[str]:
+    """Strings of which every detection's text holds one: most patterns spell "licen", the others hold their key word. ("cc" has ``CC_BY``.)"""
+    words = {"licen" if "licen" in pattern else word for _, _, _, word, pattern, _ in rules()} - {"cc"}
+    return sorted(w for w in words if not any(o != w and o in w for o in words))
+
+
+def may_hold(text: Column) -> Column:
+    """Cheap test that a text needs the rules: plain searches of the lower-cased text."""
+    def any_gate(low: Column) -> Column:
+        first, *rest = [F.contains(low, F.lit(g)) for g in gates()]
+        for x in rest:
+            first = first | x
+        return first
+
+    return bind(F.lower(text), any_gate) | text.rlike(CC_BY)
 
 
 def _places(words: Column, phrase: str) -> Column:
@@ -291,14 +319,15 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     text = text_or_empty(text_col)
     cut = F.split(F.col("text"), GAPS, -1)
     counted = bind(cut, lambda a: F.size(a) - (F.get(a, F.lit(0)) == "").cast("int") - ((F.size(a) > 1) & (F.get(a, F.size(a) - 1) == "")).cast("int"))
-    rows = docs.select(F.col(id_col).alias("id"), text.alias("text")).select("id", "text", F.col("text").rlike(_hint()).alias("hint"))
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"))
     words = F.filter(F.split(lower_ascii(F.col("text")), GAPS, -1), lambda w: w != "")
     phrases = list(BASE)
     places = bind(words, lambda w: F.array(*[_places(w, p) for p in phrases]))
     none = F.array(*[F.array().cast("array<int>") for _ in phrases])
-    key = F.when(F.col("hint"), F.struct(F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2")))
-    based = rows.select("id", key.alias("key"), counted.cast("long").alias("n_words"), F.when(F.col("hint"), places).otherwise(none).alias("places"))
-    found = rows.where("hint").select(key.alias("key"), lower_ascii(F.col("text")).alias("low")).dropDuplicates(["key"])
+    key = F.struct(F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"))
+    phrased = F.contains(F.lower("text"), F.lit("license")) | F.col("text").rlike(CC_BY)
+    based = rows.select("id", key.alias("key"), counted.cast("long").alias("n_words"), F.when(phrased, places).otherwise(none).alias("places"))
+    found = rows.where(may_hold(F.col("text"))).select(key.alias("key"), lower_ascii(F.col("text")).alias("low")).dropDuplicates(["key"])
     summed = detections(found).groupBy("key").agg(F.collect_set("label").alias("own"), (1 - F.exp(F.sum(F.log(1 - F.col("weight"))))).alias("sure"))
     joined = based.join(summed.select(F.col("key.h1").alias("h1"), F.col("key.h2").alias("h2"), "own", "sure"), (F.col("key.h1") == F.col("h1")) & (F.col("key.h2") == F.col("h2")), "left")
     flat = F.flatten("places")
