@@ -13,6 +13,13 @@ script. What can still collide (names among each other, and any surrogate with a
 entity that occurs in the corpus) is found in Spark over the table of distinct
 entities and drawn again; only these exceptions are joined back to documents.
 
+Where a format is too full, or an entity has nothing in it that its format could map,
+surrogates come from a wider format: secrets and local parts of addresses from letters
+and digits of their length, then longer ones; phones from all digits of their length,
+then, like card, social-security and IBAN numbers, from letters and digits; addresses
+of a private block from 10.0.0.0/8; IPv4 addresses at last from the IPv6 block fd00::/8;
+names get more syllables. Every entity finds a place, at any number of them.
+
 Defined results: null text stays null and has no entity; empty texts stay; rows that
 repeat get the same text; ids are not used, so missing ones do no harm; other columns
 are kept, a column ``n_entities`` is replaced; no documents, no rows.
@@ -35,8 +42,8 @@ from dirwise.session import saved
 
 KEY = b"surrogates"
 ROUNDS = 8
-#: Draws before a collision counts as an error; each draw collides with a chance far below one half.
-MAX_DRAWS = 40
+#: Draws from a format; what still collides after so many is drawn from a wider one (see ``wider``).
+DRAWS = 6
 
 # Forms of address with the gender they tell (n: none).
 ADDRESS = {"Mr": "m", "Mister": "m", "Herr": "m", "Herrn": "m", "Monsieur": "m", "Señor": "m", "Sr": "m", "господин": "m", "κύριος": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Frau": "f", "Madame": "f", "Mme": "f", "Mlle": "f", "Señora": "f", "Sra": "f", "госпожа": "f", "κυρία": "f", "Dr": "n", "Prof": "n"}
@@ -187,17 +194,52 @@ def walked(text: str, key: bytes, tweak: str, fits: Callable[[str], bool]) -> st
             return text
 
 
+def drawn(alphabet: str, n: int, key: bytes, what: str) -> str:
+    """``n`` characters by a keyed hash."""
+    data = hashlib.shake_256(key + b"|" + what.encode("utf-8", "replace")).digest(2 * n)
+    return "".join(alphabet[(data[i] << 8 | data[i + 1]) % len(alphabet)] for i in range(0, 2 * n, 2))
+
+
+def mappable(text: str) -> bool:
+    """A permutation of ASCII letters and digits hides the text."""
+    return any(c in LOWER + UPPER + DIGITS for c in text) and not any(c.isalnum() and not c.isascii() for c in text)
+
+
+def wider(kind: str, canon: str, wide: int, key: bytes, what: str) -> str:
+    """Surrogate in the format ``wide`` steps wider than the entity's own; names and e-mail addresses do without."""
+    if kind == "secret":
+        head = PREFIX.match(canon).group() if wide == 1 else ""
+        return head + drawn(LOWER + UPPER + DIGITS, len(canon) - len(head) + max(wide - 2, 0), key, what)
+    if kind == "ip":
+        if wide == 1 and address_kind(tuple(map(int, canon.split(".")))) == 2:
+            return "10." + ".".join(str(draw(key, f"{what}|{i}", 256)) for i in range(3))
+        return "fd" + ":".join(drawn(HEX, 2 if i == 0 else 4, key, f"{what}|{i}") for i in range(8))
+    if kind == "iban":
+        rest = drawn(UPPER + DIGITS, len(canon) - 4, key, what)
+        return f"{canon[:2]}{98 - iban_rest(canon[:2] + '00' + rest):02d}{rest}"
+    return drawn(DIGITS if kind == "phone" and wide == 1 else UPPER + DIGITS, len(canon), key, what)
+
+
 def script_of(name: str) -> str:
     return "cyrillic" if re.search("[а-яё]", name) else "greek" if re.search("[α-ωά-ώ]", name) else "latin"
 
 
 def surrogate(kind: str, canon: str, attempt: int, key: bytes = KEY) -> str:
     """Canonical form of an entity's surrogate; each attempt is a mapping of its own."""
-    tweak = f"{kind}|{attempt}"
+    tweak, wide = f"{kind}|{attempt}", attempt // DRAWS
     if kind == "email":
         local, _, domain = canon.rpartition("@")
         host, _, top = domain.rpartition(".")
-        return f"{permuted_text(local, key, f'{tweak}|{domain}')}@{permuted_text(host, key, tweak)}.{top}"
+        if wide or not mappable(local):
+            local = drawn(LOWER + DIGITS, len(local) if wide < 2 else max(len(local), 6) + wide - 2, key, f"{tweak}|{canon}")
+        else:
+            local = permuted_text(local, key, f"{tweak}|{domain}")
+        host = permuted_text(host, key, tweak) if mappable(host) else drawn(LOWER + DIGITS, len(host), key, f"{tweak}|{domain}")
+        return f"{local}@{host}.{top}"
+    if kind == "secret" and not mappable(canon[PREFIX.match(canon).end() :]):
+        wide = max(wide, 1)
+    if wide and kind != "name":
+        return wider(kind, canon, wide, key, f"{tweak}|{canon}")
     if kind == "secret":
         head = PREFIX.match(canon).group()
         return head + permuted_text(canon[len(head) :], key, f"{tweak}|{head}", hexed=True)
@@ -225,11 +267,11 @@ def surrogate(kind: str, canon: str, attempt: int, key: bytes = KEY) -> str:
         return walked(canon, key, tweak, lambda x: x[:3] not in ("000", "666") and x[0] != "9" and x[3:5] != "00" and x[5:] != "0000")
     gender, _, name = canon.partition("|")
     script, words = script_of(name), name.split()
-    number = draw(key, f"{tweak}|{script}|{canon}", 1 << 62)
+    number = draw(key, f"{tweak}|{script}|{canon}", 1 << 62 + 8 * wide)
     number, end = divmod(number, len(ENDINGS[script]))
     syllables = SYLLABLES[script]
     family = ""
-    for _ in range(3):
+    for _ in range(3 + wide):
         number, i = divmod(number, len(syllables))
         family += syllables[i]
     family += ENDINGS[script][end]
@@ -245,6 +287,8 @@ def rendered(kind: str, new: str, raw: str) -> str:
         fill = iter(new)
         return "".join(next(fill) if c.isdigit() or (kind == "iban" and c.isalpha()) else c for c in raw)
     if kind == "email":
+        if len(new) != len(raw):
+            return new.upper() if raw.isupper() else new
         return "".join(n.upper() if c.isupper() else n for n, c in zip(new, raw, strict=True))
     if kind == "name":
         new = new.partition("|")[2]
@@ -281,7 +325,7 @@ def assigned(entities: DataFrame, key: bytes = KEY) -> DataFrame:
 
     with_new = lambda df: df.withColumn("surrogate", new("kind", "canon", "attempt"))
     named = saved(with_new(entities.select("kind", "canon").distinct().withColumn("attempt", F.lit(0))))
-    for _ in range(MAX_DRAWS):
+    while True:  # ends: formats get wider with the draws, and the widest are never full
         real = named.select("kind", F.col("canon").alias("surrogate"))
         first = named.groupBy("kind", "surrogate").agg(F.min("canon").alias("keeper"), F.count("*").alias("n")).where("n > 1").drop("n")
         twice = named.join(first, ["kind", "surrogate"]).where("canon <> keeper").select("kind", "canon")
@@ -290,8 +334,6 @@ def assigned(entities: DataFrame, key: bytes = KEY) -> DataFrame:
             return named
         again = named.join(clash, ["kind", "canon"], "left_semi").select("kind", "canon", (F.col("attempt") + 1).alias("attempt"))
         named = saved(named.join(clash, ["kind", "canon"], "left_anti").unionByName(with_new(again)))
-    raise ValueError(f"surrogates still collide after {MAX_DRAWS} draws")
-
 
 def pseudonymised(docs: DataFrame, text_col: str = "text", key: bytes = KEY) -> DataFrame:
     """``docs`` with entities replaced in the text column, and their number ``n_entities``."""

@@ -132,6 +132,21 @@ def test_collisions_are_drawn_again(spark, monkeypatch):
     assert a == b and next(r["text"] for r in out if r["doc_id"] is None) in a and first[2:].title() not in a
 
 
+def test_full_formats_and_texts_that_no_format_maps(spark):
+    hidden = ["********", "......", "секретный", "sk-...."]
+    space = [f"192.168.{i >> 8}.{i & 255}" for i in range(40_000)]
+    twins = [pii.wider("iban", "NO0012345678901", 1, b"k", "x"), "sk-abc"]
+    twins[:1] = [f"{twins[0][:2]}{n:02d}{twins[0][4:]}" for n in range(100) if pii.iban_rest(f"{twins[0][:2]}{n:02d}{twins[0][4:]}") == 1]
+    rows = [("secret", x) for x in hidden] + [("secret", f"*****{i}") for i in range(10)] + [("ip", x) for x in space] + [("email", "___@--.de"), ("email", "секрет@a.de"), ("phone", "5551234")] + [("iban" if len(x) > 6 else "secret", x) for x in twins]
+    got = pii.assigned(spark.createDataFrame(rows, "kind string, canon string")).collect()
+    new = {(r["kind"], r["surrogate"]) for r in got}
+    assert len(got) == len(new) == len(rows) and not new & set(rows)
+    assert all(len(r["surrogate"]) == len(r["canon"]) for r in got if r["kind"] == "secret") and any(r["surrogate"].startswith("10.") for r in got)
+    docs = [(i, f"Password: {x} and more") for i, x in enumerate(hidden)] + [(9, "İ@x.com and секрет@a.de")]
+    out = {r["doc_id"]: (r["text"], r["n_entities"]) for r in pii.pseudonymised(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert [out[i][1] for i in (0, 1, 2, 3, 9)] == [1, 1, 1, 1, 2] and not any(x in out[i][0] for i, x in enumerate(hidden)) and "секрет" not in out[9][0]
+
+
 def test_surrogates_of_odd_texts(odd, none):
     got = pii.pseudonymised(odd)
     assert sorted(map(tuple, got.select(*odd.columns).collect()), key=repr) == sorted(map(tuple, odd.collect()), key=repr)
