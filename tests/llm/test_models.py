@@ -273,6 +273,16 @@ def test_rules_and_suppression(spark):
     assert got == cases
 
 
+def labels_of(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [set(r["labels"].split(",")) for r in licenses.scan(df).orderBy("doc_id").collect()]
+
+
+def test_spellings_of_versions(spark):
+    cases = {"Apache2.0": "apache-2.0", "Apache_2.0": "apache-2.0", "MPL v2.0": "mpl-2.0", "MPL2.0": "mpl-2.0", "MPL-v2": "mpl-2.0", "MPL_1.1": "mpl-1.1", "EPL v2.0": "epl-2.0", "EPL2.0": "epl-2.0", "EPLv2": "epl-2.0", "EPL v1.0": "epl-1.0"}
+    assert labels_of(spark, cases) == [{x} for x in cases.values()]
+
+
 def plain_kept(found):
     """Detections (class, rank, start, stop) left after dropping contained ones, then those that overlap a better class."""
     left = [a for a in found if not any(b != a and b[2] <= a[2] and b[3] >= a[3] and ((b[2], b[3]) != (a[2], a[3]) or b[1] < a[1]) for b in found)]
