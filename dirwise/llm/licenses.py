@@ -17,6 +17,7 @@ rows that repeat are scanned alike; other columns are ignored; no documents, no
 from __future__ import annotations
 
 import re
+from re import _constants, _parser
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -227,6 +228,23 @@ GAP = r"[\\s\\-_,.\"'()/:;*#>]{1,40}".replace("\\\\", "\\")
 NUMBER = r"\d+(?:\.\d+)?"
 
 
+def held_strings(pattern: str) -> list[str]:
+    """Strings that every match of a pattern holds, longest first: its literal runs outside of optional parts and alternatives."""
+    runs = [""]
+
+    def walk(items) -> None:
+        for op, value in items:
+            if op is _constants.LITERAL:
+                runs[-1] += chr(value)
+            elif op is _constants.SUBPATTERN:
+                walk(value[3])
+            else:
+                runs.append("")
+
+    walk(_parser.parse(pattern))
+    return sorted({x for x in runs if x.strip()}, key=lambda x: (-len(x), x))
+
+
 def rules() -> list[tuple[int, int, str, str, str, float]]:
     """rank (order of the list), class (0 best), label, key word, pattern over lower-cased text, weight."""
     out: list[tuple[int, str, str, str, float]] = []
@@ -249,8 +267,8 @@ CC_BY = f"(?i)cc{GAPS}by"
 
 
 def gates() -> list[str]:
-    """Strings of which every detection's text holds one: most patterns spell "licen", the others hold their key word. ("cc" has ``CC_BY``.)"""
-    words = {"licen" if "licen" in pattern else word for _, _, _, word, pattern, _ in rules()} - {"cc"}
+    """Strings of which every detection's text holds one: most patterns spell "licen" in every match, the others hold their key word. ("cc" has ``CC_BY``.)"""
+    words = {"licen" if any("licen" in x for x in held_strings(pattern)) else word for _, _, _, word, pattern, _ in rules()} - {"cc"}
     return sorted(w for w in words if not any(o != w and o in w for o in words))
 
 

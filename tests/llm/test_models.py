@@ -283,6 +283,11 @@ def test_spellings_of_versions(spark):
     assert labels_of(spark, cases) == [{x} for x in cases.values()]
 
 
+def test_rules_whose_shortest_match_has_no_licence_word(spark):
+    cases = {"with the Commons Clause": "commons-clause", "OpenRAIL-M": "openrail", "Mulan PSL v2": "mulanpsl-2.0"}
+    assert labels_of(spark, cases) == [{x} for x in cases.values()]
+
+
 def plain_kept(found):
     """Detections (class, rank, start, stop) left after dropping contained ones, then those that overlap a better class."""
     left = [a for a in found if not any(b != a and b[2] <= a[2] and b[3] >= a[3] and ((b[2], b[3]) != (a[2], a[3]) or b[1] < a[1]) for b in found)]
