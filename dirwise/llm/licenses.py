@@ -1,12 +1,12 @@
 r"""License scan by ordered signature rules, in built-in functions only.
 
-A few hundred hand-written patterns, each gated by a key word: a text is looked at
-by a rule only if it holds the rule's key word. Every detection is an interval of the
+A few hundred hand-written patterns, each gated by the strings that its every match
+holds (read off the pattern): a text is looked at by a rule only if it holds them all. Every detection is an interval of the
 text. Detections inside a longer one are dropped, and those that overlap one of a
 better class (an identifier or URL before a notice, a notice before a bare name).
 Beside the rules, four base phrases are looked for word by word.
 
-Texts without any key word cost one scan and plain searches; of the others, each distinct text is
+Texts that hold no rule's strings cost one scan and plain searches; of the others, each distinct text is
 matched once, however many documents share it.
 
 Defined results: null text counts as empty; a text without words has none of
@@ -30,161 +30,161 @@ GAPS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 BASE_SCORE = 0.9
 
-#: label; key word; names of the license as patterns (a space stands for any gap, # for a version number), separated by " ; ".
+#: label; names of the license as patterns (a space stands for any gap, # for a version number), separated by " ; ".
 NAMES = """
-gpl-3.0; gpl; gpl ?-?v?3(?:\\.0)?\\b ; gnu gpl,? (?:version |v)3
-gpl-3.0; general public; general public licen[cs]e,? (?:version |v)3
-gpl-2.0; gpl; gpl ?-?v?2(?:\\.0)?\\b ; gnu gpl,? (?:version |v)2
-gpl-2.0; general public; general public licen[cs]e,? (?:version |v)2
-gpl-1.0; gpl; gpl ?-?v?1(?:\\.0)?\\b
-gpl; general public; gnu general public licen[cs]e ; general public licen[cs]e,? version 2 or later
-gpl; gpl; (?:the )?gnu gpl\\b ; gpl-compatible ; gpl licen[cs]ed?\\b
-lgpl-3.0; lgpl; lgpl ?-?v?3(?:\\.0)?\\b
-lgpl-2.1; lgpl; lgpl ?-?v?2\\.1\\b
-lgpl-2.0; lgpl; lgpl ?-?v?2(?:\\.0)?\\b(?!\\.1)
-lgpl; lesser general; (?:gnu )?lesser general public licen[cs]e
-lgpl; library general; (?:gnu )?library general public licen[cs]e
-lgpl; lgpl; gnu lgpl\\b ; lgpl licen[cs]ed?\\b
-agpl-3.0; agpl; agpl ?-?v?3(?:\\.0)?\\b
-agpl; affero; (?:gnu )?affero general public licen[cs]e
-agpl; agpl; gnu agpl\\b ; agpl licen[cs]ed?\\b
-gfdl; documentation; (?:gnu )?free documentation licen[cs]e
-gfdl; gfdl; gfdl ?-?v?#
-apache-2.0; apache; apache licen[cs]e,? (?:version |v)2(?:\\.0)? ; apache ?-?2\\.0\\b ; apache 2 licen[cs]e
-apache-1.1; apache; apache (?:software )?licen[cs]e,? (?:version |v)1\\.1 ; apache-1\\.1\\b
-apache-1.0; apache; apache (?:software )?licen[cs]e,? (?:version |v)1\\.0 ; apache-1\\.0\\b
-apache; apache; apache licen[cs]e ; apache software licen[cs]e ; licen[cs]ed under apache\\b
-mit; mit; (?:the )?mit licen[cs]e ; mit/x11 licen[cs]e ; mit-licen[cs]ed ; (?:licen[cs]e|licen[cs]ed under)(?: the)?:? mit\\b ; expat/mit
-mit; expat; expat licen[cs]e
-mit-0; mit; mit no attribution ; mit-0\\b
-x11; x11; x11 licen[cs]e
-bsd-2-clause; bsd; (?:2|two)-clause (?:\\"?simplified\\"? )?bsd ; simplified bsd licen[cs]e ; freebsd licen[cs]e ; bsd-2-clause
-bsd-3-clause; bsd; (?:3|three)-clause bsd ; (?:new|modified|revised) bsd licen[cs]e ; bsd-3-clause
-bsd-4-clause; bsd; (?:4|four)-clause bsd ; original bsd licen[cs]e ; bsd-4-clause
-0bsd; bsd; zero-clause bsd ; 0bsd\\b
-bsd; bsd; bsd licen[cs]e ; bsd-style licen[cs]e ; bsd-licen[cs]ed
-isc; isc; isc licen[cs]e ; (?:licen[cs]e|licen[cs]ed under)(?: the)?:? isc\\b
-mpl-2.0; mpl; mpl ?-?v?2(?:\\.0)?\\b
-mpl-1.1; mpl; mpl ?-?v?1\\.1\\b
-mpl-2.0; mozilla; mozilla public licen[cs]e,? (?:version |v)?2(?:\\.0)?
-mpl-1.1; mozilla; mozilla public licen[cs]e,? (?:version |v)?1\\.1
-mpl; mozilla; mozilla public licen[cs]e
-epl-2.0; epl; epl ?-?v?2(?:\\.0)?\\b
-epl-1.0; epl; epl ?-?v?1(?:\\.0)?\\b
-epl-2.0; eclipse; eclipse public licen[cs]e,? (?:- )?(?:version |v)2(?:\\.0)?
-epl; eclipse; eclipse public licen[cs]e
-edl; eclipse; eclipse distribution licen[cs]e
-cddl-1.0; cddl; cddl ?-?v?1\\.0\\b
-cddl-1.1; cddl; cddl ?-?v?1\\.1\\b
-cddl; development and distribution; common development and distribution licen[cs]e
-cpl-1.0; common public; common public licen[cs]e
-ipl-1.0; ibm public; ibm public licen[cs]e
-eupl-1.2; eupl; eupl ?-?v?1\\.2\\b
-eupl-1.1; eupl; eupl ?-?v?1\\.1\\b
-eupl; european union public; european union public licen[cs]e
-artistic-2.0; artistic; artistic licen[cs]e,? (?:version )?2(?:\\.0)? ; artistic-2\\.0\\b
-artistic; artistic; artistic licen[cs]e
-perl; perl; same terms as perl(?: itself)?
-python-2.0; python; python software foundation licen[cs]e ; psf licen[cs]e ; python licen[cs]e\\b
-php-3.01; php; php licen[cs]e,? (?:version )?3\\.01
-php; php; php licen[cs]e
-ruby; ruby; ruby(?:'s)? licen[cs]e ; same terms as ruby
-zlib; zlib; zlib licen[cs]e ; zlib/libpng licen[cs]e ; (?:licen[cs]e|licen[cs]ed under)(?: the)?:? zlib\\b
-libpng; libpng; libpng licen[cs]e
-openssl; openssl; openssl licen[cs]e
-boost-1.0; boost; boost software licen[cs]e(?:,? version 1\\.0)?
-bsl-1.0; bsl; bsl-1\\.0\\b
-busl-1.1; business source; business source licen[cs]e(?: 1\\.1)?
-sspl-1.0; server side public; server side public licen[cs]e
-sspl-1.0; sspl; sspl ?-?v?1(?:\\.0)?\\b
-elastic-2.0; elastic; elastic licen[cs]e(?: 2\\.0)?
-unlicense; unlicen; the unlicen[cs]e ; unlicen[cs]e\\b
-wtfpl; wtf; wtfpl\\b ; do what the f[u*]ck you want to public licen[cs]e
-beerware; beer; beer-?ware licen[cs]e
-cc0-1.0; cc0; cc0(?: 1\\.0)?(?: universal)?\\b ; creative commons cc0
-cc0-1.0; creative commons; creative commons zero
-public-domain; public domain; (?:released|placed|dedicated) (?:in|into|to) the public domain ; public domain dedication ; in the public domain
-pddl; pddl; pddl\\b
-odbl-1.0; odbl; odbl(?: ?-?v?1\\.0)?\\b
-odbl-1.0; open database; open database licen[cs]e
-odc-by-1.0; odc; odc-by\\b
-odc-by-1.0; open data commons; open data commons attribution licen[cs]e
-cc-by-nc-nd; cc; cc by nc nd(?: #)? ; cc-by-nc-nd(?:-#)?
-cc-by-nc-sa; cc; cc by nc sa(?: #)? ; cc-by-nc-sa(?:-#)?
-cc-by-nc; cc; cc by nc\\b(?: #)? ; cc-by-nc(?:-#)?\\b
-cc-by-nd; cc; cc by nd\\b(?: #)? ; cc-by-nd(?:-#)?\\b
-cc-by-sa; cc; cc by sa\\b(?: #)? ; cc-by-sa(?:-#)?\\b
-cc-by; cc; cc by\\b(?: #)? ; cc-by(?:-#)?\\b
-cc-by-nc-nd; creative commons; creative commons attribution non ?commercial no ?deriv(?:ative)?s?(?: works)?
-cc-by-nc-sa; creative commons; creative commons attribution non ?commercial share ?alike
-cc-by-nc; creative commons; creative commons attribution non ?commercial
-cc-by-nd; creative commons; creative commons attribution no ?deriv(?:ative)?s?(?: works)?
-cc-by-sa; creative commons; creative commons attribution share ?alike
-cc-by; creative commons; creative commons attribution
-cc; creative commons; creative commons licen[cs]e
-afl-3.0; academic free; academic free licen[cs]e(?:,? (?:version |v)?#)?
-osl-3.0; open software; open software licen[cs]e(?:,? (?:version |v)?#)?
-ofl-1.1; ofl; sil ofl(?: 1\\.1)? ; ofl-1\\.1\\b
-ofl-1.1; open font; (?:sil )?open font licen[cs]e(?:,? version 1\\.1)?
-upl-1.0; universal permissive; universal permissive licen[cs]e
-ncsa; ncsa; (?:university of illinois/)?ncsa open source licen[cs]e
-w3c; w3c; w3c software (?:notice and )?licen[cs]e
-unicode; unicode; unicode licen[cs]e agreement ; unicode licen[cs]e v3
-icu; icu; icu licen[cs]e
-curl; curl; curl licen[cs]e
-postgresql; postgresql; postgresql licen[cs]e
-vim; vim; vim licen[cs]e
-tcl; tcl; tcl/tk licen[cs]e
-ms-pl; microsoft public; microsoft public licen[cs]e
-ms-pl; ms-pl; ms-pl\\b
-ms-rl; microsoft reciprocal; microsoft reciprocal licen[cs]e
-ms-rl; ms-rl; ms-rl\\b
-mulanpsl-2.0; mulan; mulan (?:permissive software licen[cs]e|psl)(?:,? v?2)?
-cecill; cecill; cecill(?:-[bc]|-2\\.[01])?\\b
-lppl-1.3c; lppl; lppl(?: ?-?1\\.3c?)?\\b
-lppl-1.3c; latex project; latex project public licen[cs]e
-sleepycat; sleepycat; sleepycat licen[cs]e
-intel; intel; intel open source licen[cs]e
-nasa-1.3; nasa; nasa open source agreement
-qpl-1.0; q public; q public licen[cs]e
-rpl-1.5; reciprocal public; reciprocal public licen[cs]e
-spl-1.0; sun public; sun public licen[cs]e
-zpl-2.1; zope; zope public licen[cs]e(?:,? (?:version |v)?#)?
-ecl-2.0; educational community; educational community licen[cs]e(?:,? version 2\\.0)?
-fair; fair; fair licen[cs]e
-json; good, not evil; the software shall be used for good, not evil
-commons-clause; commons clause; commons clause(?: licen[cs]e condition)?
-polyform; polyform; polyform (?:non ?commercial|small business|shield|perimeter) licen[cs]e
-hippocratic; hippocratic; hippocratic licen[cs]e
-openrail; openrail; (?:bigscience |creativeml )?open ?rail(?:-m|\\+\\+-m)?(?: licen[cs]e)?
-llama; llama; llama (?:# )?community licen[cs]e
-proprietary; all rights reserved; all rights reserved
-proprietary; proprietary; proprietary and confidential ; proprietary licen[cs]e
+gpl-3.0; gpl ?-?v?3(?:\\.0)?\\b ; gnu gpl,? (?:version |v)3
+gpl-3.0; general public licen[cs]e,? (?:version |v)3
+gpl-2.0; gpl ?-?v?2(?:\\.0)?\\b ; gnu gpl,? (?:version |v)2
+gpl-2.0; general public licen[cs]e,? (?:version |v)2
+gpl-1.0; gpl ?-?v?1(?:\\.0)?\\b
+gpl; gnu general public licen[cs]e ; general public licen[cs]e,? version 2 or later
+gpl; (?:the )?gnu gpl\\b ; gpl-compatible ; gpl licen[cs]ed?\\b
+lgpl-3.0; lgpl ?-?v?3(?:\\.0)?\\b
+lgpl-2.1; lgpl ?-?v?2\\.1\\b
+lgpl-2.0; lgpl ?-?v?2(?:\\.0)?\\b(?!\\.1)
+lgpl; (?:gnu )?lesser general public licen[cs]e
+lgpl; (?:gnu )?library general public licen[cs]e
+lgpl; gnu lgpl\\b ; lgpl licen[cs]ed?\\b
+agpl-3.0; agpl ?-?v?3(?:\\.0)?\\b
+agpl; (?:gnu )?affero general public licen[cs]e
+agpl; gnu agpl\\b ; agpl licen[cs]ed?\\b
+gfdl; (?:gnu )?free documentation licen[cs]e
+gfdl; gfdl ?-?v?#
+apache-2.0; apache licen[cs]e,? (?:version |v)2(?:\\.0)? ; apache ?-?2\\.0\\b ; apache 2 licen[cs]e
+apache-1.1; apache (?:software )?licen[cs]e,? (?:version |v)1\\.1 ; apache-1\\.1\\b
+apache-1.0; apache (?:software )?licen[cs]e,? (?:version |v)1\\.0 ; apache-1\\.0\\b
+apache; apache licen[cs]e ; apache software licen[cs]e ; licen[cs]ed under apache\\b
+mit; (?:the )?mit licen[cs]e ; mit/x11 licen[cs]e ; mit-licen[cs]ed ; (?:licen[cs]e|licen[cs]ed under)(?: the)?:? mit\\b ; expat/mit
+mit; expat licen[cs]e
+mit-0; mit no attribution ; mit-0\\b
+x11; x11 licen[cs]e
+bsd-2-clause; (?:2|two)-clause (?:\\"?simplified\\"? )?bsd ; simplified bsd licen[cs]e ; freebsd licen[cs]e ; bsd-2-clause
+bsd-3-clause; (?:3|three)-clause bsd ; (?:new|modified|revised) bsd licen[cs]e ; bsd-3-clause
+bsd-4-clause; (?:4|four)-clause bsd ; original bsd licen[cs]e ; bsd-4-clause
+0bsd; zero-clause bsd ; 0bsd\\b
+bsd; bsd licen[cs]e ; bsd-style licen[cs]e ; bsd-licen[cs]ed
+isc; isc licen[cs]e ; (?:licen[cs]e|licen[cs]ed under)(?: the)?:? isc\\b
+mpl-2.0; mpl ?-?v?2(?:\\.0)?\\b
+mpl-1.1; mpl ?-?v?1\\.1\\b
+mpl-2.0; mozilla public licen[cs]e,? (?:version |v)?2(?:\\.0)?
+mpl-1.1; mozilla public licen[cs]e,? (?:version |v)?1\\.1
+mpl; mozilla public licen[cs]e
+epl-2.0; epl ?-?v?2(?:\\.0)?\\b
+epl-1.0; epl ?-?v?1(?:\\.0)?\\b
+epl-2.0; eclipse public licen[cs]e,? (?:- )?(?:version |v)2(?:\\.0)?
+epl; eclipse public licen[cs]e
+edl; eclipse distribution licen[cs]e
+cddl-1.0; cddl ?-?v?1\\.0\\b
+cddl-1.1; cddl ?-?v?1\\.1\\b
+cddl; common development and distribution licen[cs]e
+cpl-1.0; common public licen[cs]e
+ipl-1.0; ibm public licen[cs]e
+eupl-1.2; eupl ?-?v?1\\.2\\b
+eupl-1.1; eupl ?-?v?1\\.1\\b
+eupl; european union public licen[cs]e
+artistic-2.0; artistic licen[cs]e,? (?:version )?2(?:\\.0)? ; artistic-2\\.0\\b
+artistic; artistic licen[cs]e
+perl; same terms as perl(?: itself)?
+python-2.0; python software foundation licen[cs]e ; psf licen[cs]e ; python licen[cs]e\\b
+php-3.01; php licen[cs]e,? (?:version )?3\\.01
+php; php licen[cs]e
+ruby; ruby(?:'s)? licen[cs]e ; same terms as ruby
+zlib; zlib licen[cs]e ; zlib/libpng licen[cs]e ; (?:licen[cs]e|licen[cs]ed under)(?: the)?:? zlib\\b
+libpng; libpng licen[cs]e
+openssl; openssl licen[cs]e
+boost-1.0; boost software licen[cs]e(?:,? version 1\\.0)?
+bsl-1.0; bsl-1\\.0\\b
+busl-1.1; business source licen[cs]e(?: 1\\.1)?
+sspl-1.0; server side public licen[cs]e
+sspl-1.0; sspl ?-?v?1(?:\\.0)?\\b
+elastic-2.0; elastic licen[cs]e(?: 2\\.0)?
+unlicense; the unlicen[cs]e ; unlicen[cs]e\\b
+wtfpl; wtfpl\\b ; do what the f[u*]ck you want to public licen[cs]e
+beerware; beer-?ware licen[cs]e
+cc0-1.0; cc0(?: 1\\.0)?(?: universal)?\\b ; creative commons cc0
+cc0-1.0; creative commons zero
+public-domain; (?:released|placed|dedicated) (?:in|into|to) the public domain ; public domain dedication ; in the public domain
+pddl; pddl\\b
+odbl-1.0; odbl(?: ?-?v?1\\.0)?\\b
+odbl-1.0; open database licen[cs]e
+odc-by-1.0; odc-by\\b
+odc-by-1.0; open data commons attribution licen[cs]e
+cc-by-nc-nd; cc by nc nd(?: #)? ; cc-by-nc-nd(?:-#)?
+cc-by-nc-sa; cc by nc sa(?: #)? ; cc-by-nc-sa(?:-#)?
+cc-by-nc; cc by nc\\b(?: #)? ; cc-by-nc(?:-#)?\\b
+cc-by-nd; cc by nd\\b(?: #)? ; cc-by-nd(?:-#)?\\b
+cc-by-sa; cc by sa\\b(?: #)? ; cc-by-sa(?:-#)?\\b
+cc-by; cc by\\b(?: #)? ; cc-by(?:-#)?\\b
+cc-by-nc-nd; creative commons attribution non ?commercial no ?deriv(?:ative)?s?(?: works)?
+cc-by-nc-sa; creative commons attribution non ?commercial share ?alike
+cc-by-nc; creative commons attribution non ?commercial
+cc-by-nd; creative commons attribution no ?deriv(?:ative)?s?(?: works)?
+cc-by-sa; creative commons attribution share ?alike
+cc-by; creative commons attribution
+cc; creative commons licen[cs]e
+afl-3.0; academic free licen[cs]e(?:,? (?:version |v)?#)?
+osl-3.0; open software licen[cs]e(?:,? (?:version |v)?#)?
+ofl-1.1; sil ofl(?: 1\\.1)? ; ofl-1\\.1\\b
+ofl-1.1; (?:sil )?open font licen[cs]e(?:,? version 1\\.1)?
+upl-1.0; universal permissive licen[cs]e
+ncsa; (?:university of illinois/)?ncsa open source licen[cs]e
+w3c; w3c software (?:notice and )?licen[cs]e
+unicode; unicode licen[cs]e agreement ; unicode licen[cs]e v3
+icu; icu licen[cs]e
+curl; curl licen[cs]e
+postgresql; postgresql licen[cs]e
+vim; vim licen[cs]e
+tcl; tcl/tk licen[cs]e
+ms-pl; microsoft public licen[cs]e
+ms-pl; ms-pl\\b
+ms-rl; microsoft reciprocal licen[cs]e
+ms-rl; ms-rl\\b
+mulanpsl-2.0; mulan (?:permissive software licen[cs]e|psl)(?:,? v?2)?
+cecill; cecill(?:-[bc]|-2\\.[01])?\\b
+lppl-1.3c; lppl(?: ?-?1\\.3c?)?\\b
+lppl-1.3c; latex project public licen[cs]e
+sleepycat; sleepycat licen[cs]e
+intel; intel open source licen[cs]e
+nasa-1.3; nasa open source agreement
+qpl-1.0; q public licen[cs]e
+rpl-1.5; reciprocal public licen[cs]e
+spl-1.0; sun public licen[cs]e
+zpl-2.1; zope public licen[cs]e(?:,? (?:version |v)?#)?
+ecl-2.0; educational community licen[cs]e(?:,? version 2\\.0)?
+fair; fair licen[cs]e
+json; the software shall be used for good, not evil
+commons-clause; commons clause(?: licen[cs]e condition)?
+polyform; polyform (?:non ?commercial|small business|shield|perimeter) licen[cs]e
+hippocratic; hippocratic licen[cs]e
+openrail; (?:bigscience |creativeml )?open ?rail(?:-m|\\+\\+-m)?(?: licen[cs]e)?
+llama; llama (?:# )?community licen[cs]e
+proprietary; all rights reserved
+proprietary; proprietary and confidential ; proprietary licen[cs]e
 """
-#: label; key word; wording of notices and license texts.
+#: label; wording of notices and license texts.
 NOTICES = """
-gpl; free software foundation; under the terms of the gnu (?:general public licen[cs]e|gpl) as published by the free software foundation
-gpl; any later version; either version # of the licen[cs]e,? or (?:\\(at your option\\) )?any later version
-gpl; gnu general public; you should have received a copy of the gnu general public licen[cs]e
-lgpl; lesser general; you should have received a copy of the gnu lesser general public licen[cs]e
-agpl; affero; you should have received a copy of the gnu affero general public licen[cs]e
-apache-2.0; apache; licen[cs]ed under the apache licen[cs]e,? version 2\\.0
-apache-2.0; in compliance with the; you may not use this file except in compliance with the licen[cs]e
-mit; hereby granted; permission is hereby granted,? free of charge,? to any person obtaining a copy
-mit; substantial portions; the above copyright notice and this permission notice shall be included in all copies or substantial portions
-isc; with or without fee; permission to use,? copy,? modify,? and(?:/or)? distribute this software for any purpose with or without fee is hereby granted
-bsd; source and binary forms; redistribution and use in source and binary forms,? with or without modification,? are permitted
-bsd-3-clause; endorse or promote; neither the name of .{1,80}? may be used to endorse or promote products
-bsd-4-clause; advertising materials; all advertising materials mentioning features or use of this software must display
-zlib; as-is; this software is provided 'as-is',? without any express or implied warranty
-boost-1.0; obtaining a copy of the software and; obtaining a copy of the software and accompanying documentation covered by this licen[cs]e
-mpl-2.0; source code form; this source code form is subject to the terms of the mozilla public licen[cs]e
-epl; accompanying materials; this program and the accompanying materials are made available under the terms of the eclipse public licen[cs]e
-unlicense; unencumbered; this is free and unencumbered software released into the public domain
-wtfpl; just do what; you just do what the f[u*]ck you want to
-cc; creative commons; (?:this work is )?licen[cs]ed under a creative commons
-proprietary; confidential; this (?:document|file|work) is confidential and proprietary
-copyright; copyright; copyright (?:\\(c\\)|©)?,? ?(?:19|20)\\d\\d ; (?:\\(c\\)|©) (?:copyright )?(?:19|20)\\d\\d
+gpl; under the terms of the gnu (?:general public licen[cs]e|gpl) as published by the free software foundation
+gpl; either version # of the licen[cs]e,? or (?:\\(at your option\\) )?any later version
+gpl; you should have received a copy of the gnu general public licen[cs]e
+lgpl; you should have received a copy of the gnu lesser general public licen[cs]e
+agpl; you should have received a copy of the gnu affero general public licen[cs]e
+apache-2.0; licen[cs]ed under the apache licen[cs]e,? version 2\\.0
+apache-2.0; you may not use this file except in compliance with the licen[cs]e
+mit; permission is hereby granted,? free of charge,? to any person obtaining a copy
+mit; the above copyright notice and this permission notice shall be included in all copies or substantial portions
+isc; permission to use,? copy,? modify,? and(?:/or)? distribute this software for any purpose with or without fee is hereby granted
+bsd; redistribution and use in source and binary forms,? with or without modification,? are permitted
+bsd-3-clause; neither the name of [\\s\\S]{1,80}? may be used to endorse or promote products
+bsd-4-clause; all advertising materials mentioning features or use of this software must display
+zlib; this software is provided 'as-is',? without any express or implied warranty
+boost-1.0; obtaining a copy of the software and accompanying documentation covered by this licen[cs]e
+mpl-2.0; this source code form is subject to the terms of the mozilla public licen[cs]e
+epl; this program and the accompanying materials are made available under the terms of the eclipse public licen[cs]e
+unlicense; this is free and unencumbered software released into the public domain
+wtfpl; you just do what the f[u*]ck you want to
+cc; (?:this work is )?licen[cs]ed under a creative commons
+proprietary; this (?:document|file|work) is confidential and proprietary
+copyright; copyright (?:\\(c\\)|©)?,? ?(?:19|20)\\d\\d ; \\(c\\) (?:copyright )?(?:19|20)\\d\\d ; © (?:copyright )?(?:19|20)\\d\\d
 """
 #: SPDX identifiers; each gives a rule for its tag.
 TAGS = """
@@ -246,39 +246,53 @@ def held_strings(pattern: str) -> list[str]:
 
 
 def rules() -> list[tuple[int, int, str, str, str, float]]:
-    """rank (order of the list), class (0 best), label, key word, pattern over lower-cased text, weight."""
-    out: list[tuple[int, str, str, str, float]] = []
+    """rank (order of the list), class (0 best), label, key string (in every match), pattern over lower-cased text, weight."""
+    out: list[tuple[int, str, str, float]] = []
     spaced = lambda x: x.replace("#", NUMBER).replace(" ?", f"(?:{GAP})?").replace(" ", GAP)
     for x in TAGS.split():
-        out.append((0, x.removesuffix("-only").removesuffix("-or-later"), "spdx", rf"spdx-license-identifier:\s*\(?{re.escape(x)}\b(?![-.]\w)", 0.99))
+        out.append((0, x.removesuffix("-only").removesuffix("-or-later"), rf"spdx-license-identifier:\s*\(?{re.escape(x)}\b(?![-.]\w)", 0.99))
     for line in URLS.strip().splitlines():
         label, place = line.split("; ")
-        out.append((0, label, place, re.escape(place), 0.98))
+        out.append((0, label, re.escape(place), 0.98))
     for line in NOTICES.strip().splitlines():
-        label, word, *patterns = re.split("; | ; ", line)
-        out += [(1, label, word, rf"(?<!\w){spaced(p)}", 0.3 if label == "copyright" else 0.95) for p in patterns]
+        label, *patterns = re.split("; | ; ", line)
+        out += [(1, label, rf"(?<!\w){spaced(p)}", 0.3 if label == "copyright" else 0.95) for p in patterns]
     for line in NAMES.strip().splitlines():
-        label, word, *patterns = re.split("; | ; ", line)
-        out += [(2, label, word, rf"(?<![\w-]){spaced(p)}", 0.5 if label == "proprietary" else 0.8) for p in patterns]
-    return [(i, *x) for i, x in enumerate(out)]
+        label, *patterns = re.split("; | ; ", line)
+        out += [(2, label, rf"(?<![\w-]){spaced(p)}", 0.5 if label == "proprietary" else 0.8) for p in patterns]
+    key = lambda strings: next((x for x in strings if x != "licen"), strings[0])
+    return [(i, x[0], x[1], key(held_strings(x[2])), *x[2:]) for i, x in enumerate(out)]
 
 
 CC_BY = f"(?i)cc{GAPS}by"
 
 
-def gates() -> list[str]:
-    """Strings of which every detection's text holds one: most patterns spell "licen" in every match, the others hold their key word. ("cc" has ``CC_BY``.)"""
-    words = {"licen" if any("licen" in x for x in held_strings(pattern)) else word for _, _, _, word, pattern, _ in rules()} - {"cc"}
-    return sorted(w for w in words if not any(o != w and o in w for o in words))
+#: Where the longest of a gate's strings is shorter, it stands in too many words, and the pattern itself is looked for.
+TELLING = 6
+
+
+def gates() -> list[tuple[tuple[str, ...], str | None]]:
+    """Strings of which every detection's text holds all of one entry, and a pattern to look for then. ("cc" has ``CC_BY``.)"""
+    out: dict[tuple[str, ...], str | None] = {("licen",): None}
+    for _, _, _, word, pattern, _ in rules():
+        strings = held_strings(pattern)
+        if word != "cc" and not any("licen" in x for x in strings):
+            some = tuple(strings[:3])
+            short = len(some[0]) < TELLING
+            out[some] = "|".join(filter(None, (out.get(some), pattern))) if short else None
+    return list(out.items())
 
 
 def may_hold(text: Column) -> Column:
-    """Cheap test that a text needs the rules: plain searches of the lower-cased text."""
+    """Cheap test that a text needs the rules: plain searches of the lower-cased text, patterns only where these succeed."""
     def any_gate(low: Column) -> Column:
-        first, *rest = [F.contains(low, F.lit(g)) for g in gates()]
-        for x in rest:
-            first = first | x
-        return first
+        hit = F.lit(False)
+        for strings, pattern in gates():
+            all_in = F.lit(True)
+            for x in strings:
+                all_in = all_in & F.contains(low, F.lit(x))
+            hit = hit | (all_in & text.rlike(f"(?i){pattern}") if pattern else all_in)
+        return hit
 
     return bind(F.lower(text), any_gate) | text.rlike(CC_BY)
 
@@ -299,10 +313,11 @@ def _places(words: Column, phrase: str) -> Column:
 
 def detections(texts: DataFrame) -> DataFrame:
     """``texts`` (key, low: lower-cased): key, label, weight, start, stop of every detection that is left."""
-    table = texts.sparkSession.createDataFrame(rules(), "rank int, class int, label string, word string, pattern string, weight double")
+    listed = [(*x, held_strings(x[4])) for x in rules()]
+    table = texts.sparkSession.createDataFrame(listed, "rank int, class int, label string, word string, pattern string, weight double, strings array<string>")
     words = F.array(*[F.lit(w) for w in sorted({r[3] for r in rules()})])
     held = texts.select("key", "low", F.explode(F.filter(words, lambda w: F.contains(F.col("low"), w))).alias("word"))
-    tried = held.join(F.broadcast(table), "word")  # the rules above: a few hundred rows
+    tried = held.join(F.broadcast(table), "word").where(F.forall("strings", lambda x: F.contains(F.col("low"), x)))  # the rules above: a few hundred rows
     met = tried.select("key", "rank", "class", "label", "weight", "low", "pattern", F.expr("regexp_extract_all(low, pattern, 0)").alias("met")).where("size(met) > 0")
     spans = met.select("key", "rank", "class", "label", "weight", F.posexplode(F.arrays_zip(F.transform("met", lambda m: F.length(m)).alias("long"), F.transform(F.expr("split(low, pattern, -1)"), lambda x: F.length(x)).alias("gap"))).alias("n", "x")).where("x.long is not null")
     run = Window.partitionBy("key", "rank").orderBy("n")

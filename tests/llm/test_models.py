@@ -284,10 +284,47 @@ def test_spellings_of_versions(spark):
 
 
 def test_rules_whose_shortest_match_has_no_licence_word(spark):
-    cases = {"with the Commons Clause": "commons-clause", "OpenRAIL-M": "openrail", "Mulan PSL v2": "mulanpsl-2.0"}
+    cases = {"with the Commons Clause": "commons-clause", "OpenRAIL-M": "openrail", "Open RAIL": "openrail", "Mulan PSL v2": "mulanpsl-2.0", "(c) 2019 someone": "copyright", "© 2019 someone": "copyright"}
     assert labels_of(spark, cases) == [{x} for x in cases.values()]
 
 
+def example(items, full):
+    """A match of a parsed pattern, with or without its optional parts."""
+    out = ""
+    for op, value in items:
+        name = str(op)
+        if name == "LITERAL":
+            out += chr(value)
+        elif name == "SUBPATTERN":
+            out += example(value[3], full)
+        elif name == "BRANCH":
+            out += example(value[1][-1 if full else 0], full)
+        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+            out += example(value[2], full) * max(value[0], int(full))
+        elif name == "IN":
+            first = value[0]
+            out += chr(first[1]) if str(first[0]) == "LITERAL" else " \n"[full] if "SPACE" in str(first[1]) else "7"
+    return out
+
+
+def test_every_match_passes_its_gates(spark):
+    texts = [example(licenses._parser.parse(pattern), full) for *_, pattern, _ in licenses.rules() for full in (False, True)]
+    rules = [r for r in licenses.rules() for _ in range(2)]
+    assert all(re.search(r[4], t) and all(x in t for x in (r[3], *licenses.held_strings(r[4]))) for r, t in zip(rules, texts, strict=True))
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert df.where(~licenses.may_hold(F.col("text"))).collect() == []
+
+
+def test_wrapped_and_commented_notices(spark):
+    cases = {
+        "GNU General\n * Public License, version 3": "gpl-3.0", "Creative\nCommons Attribution": "cc-by", "all copies or substantial portions": "",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial\n# portions of the Software.": "mit",
+        "All rights\n * reserved": "proprietary", "placed in the public\n# domain": "public-domain",
+        "Neither the name of the Some University nor\n * the names of its contributors may be used to endorse or promote products": "bsd-3-clause",
+    }
+    assert all(x in got for x, got in zip(cases.values(), labels_of(spark, cases), strict=True))
+
+
 def plain_kept(found):
     """Detections (class, rank, start, stop) left after dropping contained ones, then those that overlap a better class."""
     left = [a for a in found if not any(b != a and b[2] <= a[2] and b[3] >= a[3] and ((b[2], b[3]) != (a[2], a[3]) or b[1] < a[1]) for b in found)]
