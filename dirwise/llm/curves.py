@@ -4,8 +4,10 @@ Unit vectors are turned by several random rotations, shifted and cut to a few
 dimensions; the cells of a grid there are put in the order of a Hilbert curve. Spark
 ranges the rows of all curves over tasks by key and numbers them; a query looks at
 the rows within a window of numbers on either side, curve by curve, block by block.
-Blocks are compared in 8-bit copies of the vectors; what is nearest there on any
-curve is compared anew on the original vectors in double precision.
+Cells are refined to ``KEY_BITS`` a side, so a dense group is ordered by what tells
+its members apart; rows of one cell are ordered anew on each curve.
+Blocks are compared in 16-bit copies of the vectors; whatever may be among the
+nearest there, by the copies' own rounding errors, is compared anew in double precision.
 
 Every row is in the index. The window is a share of the rows, because vectors
 without structure have no smaller neighbourhood; with ``CURVES`` curves and
@@ -13,7 +15,7 @@ without structure have no smaller neighbourhood; with ``CURVES`` curves and
 
 Defined results: vectors that are null, zero, of another length than most, or hold
 null or non-finite components take no part, nor do rows without an id; of rows with
-one id the smallest vector counts; equal scores go to the smaller id; fewer
+one id the smallest vector counts; multiples of a vector are one direction; equal scores go to the smaller id; fewer
 candidates than asked for are all returned; other columns are ignored; an empty
 table gives no rows.
 """
@@ -32,15 +34,16 @@ from pyspark.sql import functions as F
 from dirwise.llm.common import slices
 from dirwise.session import saved
 
-CURVES, DIMS, CELL_BITS, SEED = 16, 12, 3, 7
+CURVES, DIMS, CELL_BITS, KEY_BITS, SEED = 16, 12, 3, 30, 7
 SHARE, LEAST_WINDOW = 0.035, 256
-#: Rows compared at once, and how many of the nearest a block hands on per query.
-BLOCK, MOST_BLOCK, HANDED = 1024, 32768, 20
-KEPT = 60
+#: Rows compared at once.
+BLOCK, MOST_BLOCK = 1024, 32768
+#: Largest number of a 16-bit copy, and what float arithmetic may add to its rounding error.
+STEPS, SLACK = 32767, 1e-5
 
 
-def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
-    """Place of each row's cell along the Hilbert curve through a grid of ``2**bits`` cells a side."""
+def hilbert_bits(cells: np.ndarray, bits: int) -> np.ndarray:
+    """Place of each row's cell along the Hilbert curve through a grid of ``2**bits`` cells a side, as bits from the first."""
     x = cells.astype(np.int64).T.copy()
     for level in range(bits - 1, 0, -1):  # from the coarsest cells down: mirror or swap with the first axis
         low = (1 << level) - 1
@@ -55,21 +58,25 @@ def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
     for level in range(bits - 1, 0, -1):
         turn ^= np.where(x[-1] >> level & 1, (1 << level) - 1, 0)
     x ^= turn
-    key = np.zeros_like(x[0])
-    for level in range(bits - 1, -1, -1):
-        for axis in x:
-            key = key << 1 | axis >> level & 1
+    return np.stack([(axis >> level & 1).astype(np.uint8) for level in range(bits - 1, -1, -1) for axis in x], axis=1)
+
+
+def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
+    """The same place as a number."""
+    key = np.zeros(len(cells), np.int64)
+    for bit in hilbert_bits(cells, bits).T:
+        key = key << 1 | bit
     return key
 
 
-def curve_keys(unit: np.ndarray, curve: int, dims: int = DIMS, bits: int = CELL_BITS, seed: int = SEED) -> np.ndarray:
-    """Keys of unit vectors along one curve: rotate, keep a few dimensions, shift, cut into cells over three deviations."""
+def curve_keys(unit: np.ndarray, curve: int, dims: int = DIMS, bits: int = KEY_BITS, seed: int = SEED) -> list[bytes]:
+    """Keys of unit vectors along one curve: rotate, keep a few dimensions, shift by up to half a coarse cell, cut into cells over three deviations."""
     rng = np.random.default_rng([seed, curve])
     n = unit.shape[1]
     turned = unit @ np.linalg.qr(rng.standard_normal((n, n)))[0][:, : min(dims, n)] * math.sqrt(n)
     side = 1 << bits
-    cells = np.floor((turned + 3) / 6 * side + rng.uniform(-0.5, 0.5, turned.shape[1]))
-    return hilbert_keys(np.clip(cells, 0, side - 1), bits)
+    cells = np.floor(((turned + 3) / 6 + rng.uniform(-0.5, 0.5, turned.shape[1]) / (1 << CELL_BITS)) * side)
+    return [x.tobytes() for x in np.packbits(hilbert_bits(np.clip(cells, 0, side - 1), bits), axis=1)]
 
 
 def sound(vector: Column) -> Column:
@@ -79,7 +86,7 @@ def sound(vector: Column) -> Column:
 
 
 def ordered(vectors: DataFrame, curves: int) -> DataFrame:
-    """``vectors`` (id, v, asks) along all curves: curve, rank, id, asks, small (8-bit copy)."""
+    """``vectors`` (id, v, asks) along all curves: curve, rank, id, asks, small (16-bit copy), scale, off (length of its rounding error)."""
     def keyed(batches):
         for batch in slices(batches, 4096):
             v = np.array(batch.column(1).to_pylist(), np.float64)
@@ -88,10 +95,11 @@ def ordered(vectors: DataFrame, curves: int) -> DataFrame:
             unit = v / np.abs(v).max(axis=1, keepdims=True)
             unit /= np.linalg.norm(unit, axis=1, keepdims=True)
             top = np.abs(unit).max(axis=1, keepdims=True)
-            small = pa.array([x.tobytes() for x in np.round(unit / top * 127).astype(np.int8)], pa.binary())
-            scale = pa.array((top[:, 0] / 127).astype(np.float32))
+            whole, scale = np.round(unit / top * STEPS).astype(np.int16), (top / STEPS).astype(np.float32)
+            off = pa.array(np.linalg.norm(unit - whole * scale.astype(np.float64), axis=1).astype(np.float32))
+            small, scale = pa.array([x.tobytes() for x in whole], pa.binary()), pa.array(scale[:, 0])
             for c in range(curves):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), c, np.int32)), pa.array(curve_keys(unit, c)), batch.column(0), batch.column(2), small, scale], ["curve", "key", "id", "asks", "small", "scale"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), c, np.int32)), pa.array(curve_keys(unit, c), pa.binary()), batch.column(0), batch.column(2), small, scale, off], ["curve", "key", "id", "asks", "small", "scale", "off"])
 
     def numbered(batches):
         task, curve, n = TaskContext.get().partitionId(), -1, 0
@@ -103,16 +111,16 @@ def ordered(vectors: DataFrame, curves: int) -> DataFrame:
             if len(of):
                 at[of == of[0]] += n if of[0] == curve else 0
                 curve, n = of[-1], at[-1] + 1
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(of), task, np.int32)), pa.array(at.astype(np.int64)), *(batch.column(i) for i in (0, 2, 3, 4, 5))], ["task", "at", "curve", "id", "asks", "small", "scale"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(of), task, np.int32)), pa.array(at.astype(np.int64)), *(batch.column(i) for i in (0, 2, 3, 4, 5, 6))], ["task", "at", "curve", "id", "asks", "small", "scale", "off"])
 
-    rest = "id long, asks boolean, small binary, scale float"
-    keys = vectors.select("id", "v", "asks").mapInArrow(keyed, f"curve int, key long, {rest}")
-    lined = keys.repartitionByRange("curve", "key", "id").sortWithinPartitions("curve", "key", "id")
+    rest = "id long, asks boolean, small binary, scale float, off float"
+    keys = vectors.select("id", "v", "asks").mapInArrow(keyed, f"curve int, key binary, {rest}").withColumn("mixed", F.xxhash64("curve", "id"))
+    lined = keys.repartitionByRange("curve", "key", "mixed").sortWithinPartitions("curve", "key", "mixed", "id").drop("mixed")
     rows = saved(lined.mapInArrow(numbered, f"task int, at long, curve int, {rest}"))
     counts = rows.groupBy("curve", "task").agg(F.count("*").alias("n"))
     before = Window.partitionBy("curve").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("curve", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    return rows.join(F.broadcast(offsets), ["curve", "task"]).select("curve", (F.col("before") + F.col("at")).alias("rank"), "id", "asks", "small", "scale")  # a row per task and curve
+    return rows.join(F.broadcast(offsets), ["curve", "task"]).select("curve", (F.col("before") + F.col("at")).alias("rank"), "id", "asks", "small", "scale", "off")  # a row per task and curve
 
 
 def nearest(vectors: DataFrame, asks: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", curves: int = CURVES, share: float = SHARE) -> DataFrame:
@@ -120,8 +128,10 @@ def nearest(vectors: DataFrame, asks: Column, k: int = 5, id_col: str = "vec_id"
     sized = vectors.where(F.col(id_col).isNotNull() & sound(F.col(vector_col))).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), F.coalesce(asks, F.lit(False)).alias("asks"))
     common = sized.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), "n").first()
     length = common["n"] if common else 1
-    single = saved(sized.where(F.size("v") == length).groupBy("id").agg(F.min("v").alias("v"), F.max("asks").alias("asks")))
-    # equal vectors are one place on every curve, named by their smallest id; of their ids the first k + 1 can be among the nearest
+    chosen = sized.where(F.size("v") == length).groupBy("id").agg(F.min("v").alias("v"), F.max("asks").alias("asks"))
+    longest = F.array_max(F.transform("v", lambda x: F.abs(x.cast("double"))))
+    single = saved(chosen.withColumn("longest", longest).withColumn("v", F.transform("v", lambda x: x.cast("double") / F.col("longest"))).drop("longest"))
+    # vectors of one direction are one place on every curve, named by their smallest id; of their ids the first k + 1 can be among the nearest
     rows = saved(single.groupBy("v").agg(F.min("id").alias("id"), F.max("asks").alias("asks")))
     place = Window.partitionBy("v").orderBy("id")
     copies = single.withColumn("n", F.row_number().over(place)).where(F.col("n") <= k + 1).select("v", F.col("id").alias("copy")).join(rows.select("v", "id"), "v").select("id", "copy")
@@ -131,27 +141,31 @@ def nearest(vectors: DataFrame, asks: Column, k: int = 5, id_col: str = "vec_id"
     block = min(max(BLOCK, window), MOST_BLOCK)
     line = saved(ordered(rows, curves))
     blocks = line.withColumn("block", F.floor(F.col("rank") / block))
-    looks = line.where("asks").select("curve", "rank", "id", "small", "scale", F.explode(F.sequence(F.floor((F.greatest(F.col("rank") - window, F.lit(0))) / block), F.floor(F.least(F.col("rank") + window, F.lit(max(total - 1, 0))) / block))).alias("block"))
+    looks = line.where("asks").select("curve", "rank", "id", "small", "scale", "off", F.explode(F.sequence(F.floor((F.greatest(F.col("rank") - window, F.lit(0))) / block), F.floor(F.least(F.col("rank") + window, F.lit(max(total - 1, 0))) / block))).alias("block"))
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame({"query_id": [], "id": [], "near": []})
-        unpack = lambda pdf: np.frombuffer(b"".join(pdf["small"]), np.int8).reshape(len(pdf), -1).astype(np.float32) * pdf["scale"].to_numpy()[:, None]
-        have, rank, ids = unpack(right), right["rank"].to_numpy(), right["id"].to_numpy()
+            return pd.DataFrame({"query_id": [], "id": [], "near": [], "off": []})
+        unpack = lambda pdf: np.frombuffer(b"".join(pdf["small"]), np.int16).reshape(len(pdf), -1).astype(np.float32) * pdf["scale"].to_numpy()[:, None]
+        have, rank, ids, off = unpack(right), right["rank"].to_numpy(), right["id"].to_numpy(), right["off"].to_numpy()
         out = []
         for start in range(0, len(left), 256):
             some = left.iloc[start : start + 256]
             near = unpack(some) @ have.T
             near[(np.abs(rank - some["rank"].to_numpy()[:, None]) > window) | (ids == some["id"].to_numpy()[:, None])] = -9
-            top = np.argpartition(-near, HANDED, axis=1)[:, :HANDED] if len(ids) > HANDED else np.broadcast_to(np.arange(len(ids)), near.shape)
-            found = pd.DataFrame({"query_id": np.repeat(some["id"].to_numpy(), top.shape[1]), "id": ids[top].ravel(), "near": np.take_along_axis(near, top, axis=1).ravel()})
-            out.append(found[found["near"] > -5])
+            own = some["off"].to_numpy()[:, None]
+            bound = off + own * (1 + off) + SLACK
+            least = np.partition(near - bound, len(ids) - k, axis=1)[:, len(ids) - k, None] if len(ids) > k else -5.0
+            q, x = np.nonzero((near > -5) & (near + bound >= least))
+            out.append(pd.DataFrame({"query_id": some["id"].to_numpy()[q], "id": ids[x], "near": near[q, x], "off": bound[q, x]}))
         return pd.concat(out)
 
-    found = looks.groupBy("curve", "block").cogroup(blocks.groupBy("curve", "block")).applyInPandas(compare, "query_id long, id long, near float")
-    own = rows.where("asks").select(F.col("id").alias("query_id"), "id", F.lit(9.0).cast("float").alias("near"))
-    once = found.union(own).groupBy("query_id", "id").agg(F.max("near").alias("near"))
-    short = once.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("near"), "id"))).where(F.col("n") <= max(KEPT, 4 * k))
+    found = looks.groupBy("curve", "block").cogroup(blocks.groupBy("curve", "block")).applyInPandas(compare, "query_id long, id long, near float, off float")
+    own = rows.where("asks").select(F.col("id").alias("query_id"), "id", F.lit(9.0).cast("float").alias("near"), F.lit(0.0).cast("float").alias("off"))
+    once = saved(found.union(own).groupBy("query_id", "id").agg(F.max("near").alias("near"), F.max("off").alias("off")))
+    least = Window.partitionBy("query_id").orderBy(F.desc("low"), "id")
+    sure = once.select("query_id", "id", (F.col("near") - F.col("off")).alias("low")).withColumn("n", F.row_number().over(least)).where(F.col("n") == k + 1)  # the query's own place is the first
+    short = once.join(sure.select("query_id", "low"), "query_id", "left").where("low is null or near + off >= low")
     pairs = short.join(rows.select("id", F.col("v").alias("b")), "id").join(rows.select(F.col("id").alias("query_id"), F.col("v").alias("a")), "query_id")
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, p: s + p)
     scored = pairs.select(F.col("query_id").alias("name"), "id", (dot("a", "b") / (F.sqrt(dot("a", "a")) * F.sqrt(dot("b", "b")))).alias("score"))

@@ -220,6 +220,25 @@ def test_recall_against_brute_force(spark):
     assert hits / 150 >= 0.9 and len(got) == 150 and all(r["vec_id"] != r["query_id"] for r in got)
 
 
+def test_a_dense_group_of_a_third_of_the_rows(spark):
+    rng = np.random.default_rng(9)
+    middle = rng.normal(size=32)
+    group, others = middle + 0.001 * rng.normal(size=(2000, 32)), rng.normal(size=(4000, 32))
+    rows = [(i, [float(np.float32(x)) for x in v]) for i, v in enumerate(rng.permutation(np.r_[group, others]))]
+    near = [i for i, v in rows if np.abs(np.array(v) - middle).max() < 0.1]
+    queries = near[::40]
+    got = curves.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id").isin(queries)).collect()
+    hits = sum(len({r["vec_id"] for r in got if r["query_id"] == q} & set(plain_nearest(rows, q, 5))) for q in queries)
+    print("recall in the dense group", hits / (5 * len(queries)))
+    assert len(near) == 2000 and hits / (5 * len(queries)) >= 0.9
+
+
+def test_multiples_of_a_vector_are_one_direction(spark):
+    rows = [(i, [float(x * (i + 1)) for x in (1, 2, 2, 7)]) for i in range(1500)]
+    got = curves.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") == 1400).orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == [0, 1, 2, 3, 4]
+
+
 def test_odd_vectors_ties_and_few_rows(spark):
     rows = [(0, [1.0, 0.0]), (1, [0.0, 0.0]), (2, None), (3, [1.0, None]), (4, [float("nan"), 1.0]), (5, [float("inf"), 1.0]), (6, [2.0, 0.0]), (7, [3.0, 0.0]), (7, [3.0, 0.0]), (8, [1.0, 2.0, 3.0]), (None, [1.0, 1.0]), (9, [-1.0, 0.0])]
     df = spark.createDataFrame([(*r, 0, "c") for r in rows], "vec_id long, embedding array<float>, rank int, curve string")
