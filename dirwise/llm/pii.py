@@ -9,7 +9,8 @@ spelling, rendered in the separators and capitals of the place.
 Numbers and strings are mapped by a keyed permutation of their own format (a Feistel
 network over mixed radices), so different entities of a format never share a
 surrogate; names are composed from syllables by a keyed hash, matching gender and
-script. What can still collide (names among each other, and any surrogate with an
+script (Latin, Cyrillic or Greek; names in other scripts get Latin ones). A family name
+is mapped by itself, and a name is the same person under any form of address. What can still collide (names among each other, and any surrogate with an
 entity that occurs in the corpus) is found in Spark over the table of distinct
 entities and drawn again; only these exceptions are joined back to documents.
 
@@ -33,7 +34,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -266,17 +267,37 @@ def surrogate(kind: str, canon: str, attempt: int, key: bytes = KEY) -> str:
     if kind == "ssn":
         return walked(canon, key, tweak, lambda x: x[:3] not in ("000", "666") and x[0] != "9" and x[3:5] != "00" and x[5:] != "0000")
     gender, _, name = canon.partition("|")
-    script, words = script_of(name), name.split()
-    number = draw(key, f"{tweak}|{script}|{canon}", 1 << 62 + 8 * wide)
-    number, end = divmod(number, len(ENDINGS[script]))
-    syllables = SYLLABLES[script]
-    family = ""
+    first, _, last = name.rpartition(" ")
+    family = family_name(last, attempt, key)
+    return f"{gender}|{given_name(first, name, gender, attempt, key)} {family}" if first else f"{gender}|{family}"
+
+
+def family_name(name: str, attempt: int, key: bytes = KEY) -> str:
+    """A family name has one surrogate, whoever bears it."""
+    script, wide = script_of(name), attempt // DRAWS
+    number, end = divmod(draw(key, f"family|{attempt}|{name}", 1 << 62 + 8 * wide), len(ENDINGS[script]))
+    syllables, family = SYLLABLES[script], ""
     for _ in range(3 + wide):
         number, i = divmod(number, len(syllables))
         family += syllables[i]
-    family += ENDINGS[script][end]
-    given = GIVEN[script, gender if gender != "n" else "fm"[number % 2]]
-    return f"{gender}|{given[number // 2 % len(given)].casefold()} {family}" if len(words) > 1 else f"{gender}|{family}"
+    return family + ENDINGS[script][end]
+
+
+def given_name(first: str, name: str, gender: str, attempt: int, key: bytes = KEY) -> str:
+    """A listed given name, drawn for the whole name; with more draws a second one, then syllables as well."""
+    script = script_of(first)
+    number = draw(key, f"given|{attempt}|{name}", 1 << 62 + 8 * attempt)
+    number, of = divmod(number, 2)
+    given = GIVEN[script, gender if gender != "n" else "fm"[of]]
+    number, i = divmod(number, len(given))
+    out = given[i].casefold()
+    if attempt >= DRAWS:
+        number, i = divmod(number, len(given))
+        out += "-" + given[i].casefold()
+    for _ in range(attempt // DRAWS - 1):
+        number, i = divmod(number, len(SYLLABLES[script]))
+        out += SYLLABLES[script][i]
+    return out
 
 
 def rendered(kind: str, new: str, raw: str) -> str:
@@ -296,10 +317,12 @@ def rendered(kind: str, new: str, raw: str) -> str:
     return new
 
 
-def replaced(text: str, attempts: dict[tuple[str, str], int], key: bytes = KEY) -> tuple[str, int]:
+def replaced(text: str, others: dict[tuple[str, str], str], key: bytes = KEY) -> tuple[str, int]:
+    """The text with surrogates, and their number; ``others`` has those that are not an entity's first draw."""
     out, at, n = [], 0, 0
     for kind, canon, start, end in found(text):
-        out += [text[at:start], rendered(kind, surrogate(kind, canon, attempts.get((kind, canon), 0), key), text[start:end])]
+        new = others.get((kind, canon)) or surrogate(kind, canon, 0, key)
+        out += [text[at:start], rendered(kind, new, text[start:end])]
         at, n = end, n + 1
     return ("".join(out) + text[at:], n) if n else (text, 0)
 
@@ -316,35 +339,70 @@ def mentions(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select(F.xxhash64(text).alias("text_key"), text.alias("text")).mapInArrow(run, "text_key long, kind string, canon string")
 
 
+def settled(entities: DataFrame, new: Column, real: DataFrame) -> DataFrame:
+    """``entities`` (scope, canon, gender) with attempt and surrogate, drawn until none is shared in its scope or stands in ``real`` (scope, surrogate)."""
+    named = saved(entities.withColumn("attempt", F.lit(0)).withColumn("surrogate", new))
+    while True:  # ends: formats get wider with the draws, and the widest are never full
+        first = named.groupBy("scope", "surrogate").agg(F.min("canon").alias("keeper"), F.count("*").alias("n")).where("n > 1").drop("n")
+        twice = named.join(first, ["scope", "surrogate"]).where("canon <> keeper").select("scope", "canon")
+        clash = saved(named.join(real, ["scope", "surrogate"], "left_semi").select("scope", "canon").union(twice).distinct())
+        if not clash.limit(1).count():
+            return named
+        again = named.join(clash, ["scope", "canon"], "left_semi").withColumn("attempt", F.col("attempt") + 1).withColumn("surrogate", new)
+        named = saved(named.join(clash, ["scope", "canon"], "left_anti").unionByName(again))
+
+
 def assigned(entities: DataFrame, key: bytes = KEY) -> DataFrame:
-    """kind, canon, attempt and surrogate of every distinct entity, without collisions."""
+    """kind, canon, attempt and surrogate of every distinct entity, without collisions.
 
+    Names are settled without their form of address: family names among each other and clear of all
+    real ones, then given names within a family. A name's gender is the one that its forms of address tell,
+    none if they tell two; its surrogate is the same under all of them.
+    """
     @F.pandas_udf(T.StringType())
-    def new(kind: pd.Series, canon: pd.Series, attempt: pd.Series) -> pd.Series:
+    def plain(kind: pd.Series, canon: pd.Series, attempt: pd.Series) -> pd.Series:
         return pd.Series([surrogate(k, c, a, key) for k, c, a in zip(kind, canon, attempt, strict=True)], dtype=object)
 
-    with_new = lambda df: df.withColumn("surrogate", new("kind", "canon", "attempt"))
-    named = saved(with_new(entities.select("kind", "canon").distinct().withColumn("attempt", F.lit(0))))
-    while True:  # ends: formats get wider with the draws, and the widest are never full
-        real = named.select("kind", F.col("canon").alias("surrogate"))
-        first = named.groupBy("kind", "surrogate").agg(F.min("canon").alias("keeper"), F.count("*").alias("n")).where("n > 1").drop("n")
-        twice = named.join(first, ["kind", "surrogate"]).where("canon <> keeper").select("kind", "canon")
-        clash = saved(named.join(real, ["kind", "surrogate"], "left_semi").select("kind", "canon").union(twice).distinct())
-        if not clash.limit(1).count():
-            return named
-        again = named.join(clash, ["kind", "canon"], "left_semi").select("kind", "canon", (F.col("attempt") + 1).alias("attempt"))
-        named = saved(named.join(clash, ["kind", "canon"], "left_anti").unionByName(with_new(again)))
+    @F.pandas_udf(T.StringType())
+    def family(canon: pd.Series, attempt: pd.Series) -> pd.Series:
+        return pd.Series([family_name(c, a, key) for c, a in zip(canon, attempt, strict=True)], dtype=object)
+
+    @F.pandas_udf(T.StringType())
+    def given(canon: pd.Series, gender: pd.Series, attempt: pd.Series) -> pd.Series:
+        return pd.Series([given_name(c.rpartition(" ")[0], c, g, a, key) for c, g, a in zip(canon, gender, attempt, strict=True)], dtype=object)
+
+    known = saved(entities.select("kind", "canon").distinct())
+    rest = known.where("kind <> 'name'").select(F.col("kind").alias("scope"), "canon", F.lit(None).cast("string").alias("gender"))
+    others = settled(rest, plain("scope", "canon", "attempt"), rest.select("scope", F.col("canon").alias("surrogate")))
+    titled = known.where("kind = 'name'").select("canon", F.substring("canon", 1, 1).alias("told"), F.expr("substring(canon, 3)").alias("name"))
+    told = F.array_except(F.collect_set("told"), F.array(F.lit("n")))
+    names = saved(titled.groupBy("name").agg(told.alias("told")).select("name", F.when(F.size("told") == 1, F.get("told", F.lit(0))).otherwise("n").alias("gender"), F.substring_index("name", " ", -1).alias("family")))
+    families = names.select(F.lit("").alias("scope"), F.col("family").alias("canon"), F.lit(None).cast("string").alias("gender")).distinct()
+    lasts = settled(families, family("canon", "attempt"), families.select("scope", F.col("canon").alias("surrogate")))
+    firsts = names.where("name <> family").select(F.col("family").alias("scope"), F.col("name").alias("canon"), "gender")
+    firsts = settled(firsts, given("canon", "gender", "attempt"), firsts.select("scope", F.lit("").alias("surrogate")).limit(0))
+    both = names.join(lasts.select(F.col("canon").alias("family"), F.col("attempt").alias("a"), F.col("surrogate").alias("last")), "family")
+    both = both.join(firsts.select(F.col("canon").alias("name"), F.col("attempt").alias("b"), F.col("surrogate").alias("first")), "name", "left")
+    full = both.select("name", (F.col("a") + F.coalesce("b", F.lit(0))).alias("attempt"), F.concat_ws(" ", "first", "last").alias("new"))
+    named = titled.join(full, "name").select(F.lit("name").alias("kind"), "canon", "attempt", F.concat("told", F.lit("|"), "new").alias("surrogate"))
+    return others.select(F.col("scope").alias("kind"), "canon", "attempt", "surrogate").unionByName(named)
+
 
 def pseudonymised(docs: DataFrame, text_col: str = "text", key: bytes = KEY) -> DataFrame:
     """``docs`` with entities replaced in the text column, and their number ``n_entities``."""
     rows = docs.drop("n_entities")
     spots = saved(mentions(rows, text_col))
-    redrawn = assigned(spots, key).where("attempt > 0").select("kind", "canon", "attempt")
-    own = saved(spots.join(redrawn, ["kind", "canon"]).distinct().groupBy(F.col("text_key").alias("__pii_key")).agg(F.collect_list(F.struct("kind", "canon", "attempt")).alias("__pii_redrawn")))
+
+    @F.pandas_udf(T.StringType())
+    def drawn_first(kind: pd.Series, canon: pd.Series) -> pd.Series:
+        return pd.Series([surrogate(k, c, 0, key) for k, c in zip(kind, canon, strict=True)], dtype=object)
+
+    redrawn = assigned(spots, key).where(F.col("surrogate") != drawn_first("kind", "canon")).select("kind", "canon", "surrogate")
+    own = saved(spots.join(redrawn, ["kind", "canon"]).distinct().groupBy(F.col("text_key").alias("__pii_key")).agg(F.collect_list(F.struct("kind", "canon", "surrogate")).alias("__pii_redrawn")))
 
     @F.pandas_udf("text string, n long")
     def swap(text: pd.Series, redrawn: pd.Series) -> pd.DataFrame:
-        out = [(None, 0) if t is None else replaced(t, {(r["kind"], r["canon"]): r["attempt"] for r in rs} if rs is not None else {}, key) for t, rs in zip(text, redrawn, strict=True)]
+        out = [(None, 0) if t is None else replaced(t, {(r["kind"], r["canon"]): r["surrogate"] for r in rs} if rs is not None else {}, key) for t, rs in zip(text, redrawn, strict=True)]
         return pd.DataFrame(out, columns=["text", "n"])
 
     joined = rows.join(own, F.xxhash64(text_or_empty(text_col)) == own["__pii_key"], "left")

@@ -147,6 +147,17 @@ def test_full_formats_and_texts_that_no_format_maps(spark):
     assert [out[i][1] for i in (0, 1, 2, 3, 9)] == [1, 1, 1, 1, 2] and not any(x in out[i][0] for i, x in enumerate(hidden)) and "секрет" not in out[9][0]
 
 
+def test_names_under_several_forms_of_address(spark):
+    canons = ["n|anna weber", "f|anna weber", "f|weber", "m|weber", "n|adler", "m|brown", *(f"m|first{i} smith" for i in range(60))]
+    got = {r["canon"]: r["surrogate"].partition("|")[2] for r in pii.assigned(spark.createDataFrame([("name", c) for c in canons], "kind string, canon string")).collect()}
+    assert got["n|anna weber"] == got["f|anna weber"] and got["f|weber"] == got["m|weber"] == got["f|anna weber"].split()[-1]
+    assert got["f|anna weber"].split()[0].title() in pii.GIVEN["latin", "f"] and len(set(got.values())) == len(canons) - 2
+    assert len({got[c].split()[-1] for c in canons}) == 4
+    mixed = spark.createDataFrame([(1, "Dr Anna Weber and Frau Weber"), (2, "Frau Anna Weber")], "doc_id long, text string")
+    a, b = (r["text"] for r in pii.pseudonymised(mixed).orderBy("doc_id").collect())
+    assert a[3:].startswith(b[5:]) and a.endswith("Frau " + b.split()[-1])
+
+
 def test_surrogates_of_odd_texts(odd, none):
     got = pii.pseudonymised(odd)
     assert sorted(map(tuple, got.select(*odd.columns).collect()), key=repr) == sorted(map(tuple, odd.collect()), key=repr)
