@@ -10,13 +10,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dirwise.llm import bpe, curves, fingerprints, licenses, lines, packing, pii, quality, simhash, warc
+from dirwise.llm import bpe, curves, fingerprints, licenses, lines, packing, pii, quality, sentences, simhash, warc
 from dirwise.llm.common import reachable, read_table
 from dirwise.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 VOCABULARY = "word_bpe_49k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def query(sql: str | None = None):
@@ -108,3 +109,12 @@ def op10_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode(read_table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query()
+def op11_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = sentences.encode(read_table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
+    spanned = F.aggregate(F.zip_with("begins", "ends", lambda b, e: e - b), F.lit(0).cast("long"), lambda n, x: n + x)
+    return coded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), spanned.alias("spanned_bytes"),
+    )
