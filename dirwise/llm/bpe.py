@@ -4,7 +4,8 @@ Text is cut at white space; each piece is encoded once per worker and remembered
 in a bounded memo. New words are encoded together: the symbols of all of them lie
 in one flat array, and every round looks up all neighbouring pairs by binary
 search in the sorted keys of the merge table, takes each word's pair of lowest
-rank and merges its places from left to right, until no word has a known pair.
+rank and merges its places from left to right, until no word has a known pair. A long
+word has its places kept by rank, so that a round costs what it merges (``merges``).
 
 Defined results: null text counts as empty; an empty text has no ids and decodes
 to an empty text; repeated rows are encoded alike; other columns are not touched.
@@ -29,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dirwise.llm.common import slices, text_or_empty
+from dirwise.llm.merges import MergeTable, merge_words
 
 #: Pieces remembered per worker; beyond it the memo starts anew, which changes no result.
 MEMO_PIECES = 500_000
@@ -36,7 +38,6 @@ MEMO_PIECES = 500_000
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 #: Separators that Python's split() takes for white space and the vocabulary doesn't.
 ODD = re.compile("[\x1c-\x1f]")
-NO_RANK = np.iinfo(np.int64).max
 
 
 def byte_letters() -> list[str]:
@@ -68,10 +69,8 @@ class WordBpe:
         self.inner = np.array([vocab[x] for x in letters], np.int64)
         self.final = np.array([vocab[x + end] for x in letters], np.int64)
         pairs = [tuple(x) if not isinstance(x, str) else tuple(x.split(" ")) for x in model["merges"]]
-        keys = np.array([vocab[a] * len(self.tokens) + vocab[b] for a, b in pairs], np.int64)
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.ranks = keys[order], order.astype(np.int64)
-        self.product = np.array([vocab[a + b] for a, b in pairs], np.int64)
+        left, right, product = np.array([(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs], np.int64).T
+        self.table = MergeTable(left, right, np.arange(len(pairs)), product, len(self.tokens))
         self.reset()
 
     def reset(self) -> None:
@@ -86,36 +85,7 @@ class WordBpe:
         raw = np.frombuffer(b"".join(words), np.uint8)
         sym, last = self.inner[raw], sizes.cumsum() - 1
         sym[last] = self.final[raw[last]]
-        word = np.repeat(np.arange(len(words)), sizes)
-        rank = np.full(sym.size, NO_RANK)
-        stale = np.flatnonzero(word[1:] == word[:-1])
-        done_word, done_sym = [], []
-        while sym.size:
-            keys = sym[stale] * len(self.tokens) + sym[stale + 1]
-            at = np.minimum(np.searchsorted(self.keys, keys), self.keys.size - 1)
-            rank[stale] = np.where(self.keys[at] == keys, self.ranks[at], NO_RANK)
-            first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-            best = np.repeat(np.minimum.reduceat(rank, first), np.diff(np.r_[first, word.size]))
-            live = best != NO_RANK
-            done_word.append(word[~live])
-            done_sym.append(sym[~live])
-            sym, word, rank, best = sym[live], word[live], rank[live], best[live]
-            place = np.flatnonzero(rank == best)
-            if not place.size:
-                break
-            run = np.r_[True, np.diff(place) != 1]  # places that follow each other overlap: every second one merges
-            place = place[(place - place[run][np.cumsum(run) - 1]) % 2 == 0]
-            sym[place] = self.product[rank[place]]
-            keep, new = np.ones(sym.size, bool), np.zeros(sym.size, bool)
-            keep[place + 1] = False
-            new[place] = True
-            sym, word, rank, new = sym[keep], word[keep], rank[keep], new[keep]
-            rank[new] = NO_RANK
-            new[:-1] |= new[1:]  # the pairs that a merged symbol ends or begins
-            rank[new] = NO_RANK
-            stale = np.flatnonzero(new[:-1] & (word[1:] == word[:-1]))
-        word, sym = np.concatenate(done_word), np.concatenate(done_sym)
-        return sym[np.argsort(word, kind="stable")], np.bincount(word, minlength=len(words))
+        return merge_words(self.table, sym, sizes)
 
     def split_words(self, piece: str) -> list[str]:
         """Words of a piece; a run of letters needs no pattern."""
@@ -171,8 +141,10 @@ class WordBpe:
         new = set(pieces).difference(self.memo)
         if new:
             gc.disable()  # many small lists and no cycles: the collector would walk the memo again and again
-            self.learn(new)
-            gc.enable()
+            try:
+                self.learn(new)
+            finally:
+                gc.enable()
         ids, counts = self.flat(np.fromiter(map(self.memo.__getitem__, pieces), np.int64, len(pieces)))
         before = np.r_[0, counts.cumsum()]
         for at, special in marks:

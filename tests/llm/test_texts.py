@@ -146,6 +146,12 @@ def test_random_strings_match_the_library(library):
     assert [x.tolist() for x in words.encode_batch(texts)] == [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
 
 
+@pytest.mark.parametrize("alphabet", ["abcdefghijklmnopqrstuvwxyz", "".join(map(chr, range(0x4E00, 0x6000)))], ids=["latin", "han"])
+def test_a_million_letters_without_a_space(library, alphabet):
+    text = "".join(random.Random(3).choices(alphabet, k=1_000_000))
+    assert bpe.load(PATH).encode_batch([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_a_full_memo_changes_nothing(monkeypatch, library):
     monkeypatch.setattr(bpe, "MEMO_PIECES", 50)
     words, rng = bpe.WordBpe(PATH), random.Random(6)
