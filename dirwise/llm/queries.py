@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dirwise.llm import bpe, curves, fingerprints, licenses, lines, packing, pii, quality, sentences, simhash, warc
+from dirwise.llm import bpe, curves, fingerprints, licenses, lines, packing, pii, prefix_trie, quality, sentences, simhash, warc
 from dirwise.llm.common import reachable, read_table
 from dirwise.session import shared_dir
 
@@ -118,3 +118,40 @@ def op11_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), spanned.alias("spanned_bytes"),
     )
+
+
+@query(r"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, max(pos) AS n FROM t GROUP BY conv_id),
+c AS (
+  SELECT conv_id, n, conv_id - conv_id % 20 AS base,
+         xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+             lambda a, x: list_reduce(list_prepend(xor(a, x), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda s, i: xor(s >> 1, 3988292384 * (s & 1)))), 4294967295) % 4 AS h
+  FROM own),
+f AS (SELECT c.*, least(h, coalesce(own.n, 0)) AS given FROM c LEFT JOIN own ON own.conv_id = c.base),
+r AS (
+  SELECT f.conv_id, t.pos, role, text FROM f JOIN t ON t.conv_id = f.base AND t.pos <= f.h
+  UNION ALL SELECT f.conv_id, t.pos - f.h + f.given, role, text FROM f JOIN t ON t.conv_id = f.conv_id AND t.pos > f.h),
+p AS (
+  SELECT f.conv_id, coalesce(list(md5(length(role) || ':' || role || text) ORDER BY pos) FILTER (WHERE pos IS NOT NULL), []) AS path,
+         coalesce(list(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) ORDER BY pos) FILTER (WHERE pos IS NOT NULL), []) AS words
+  FROM f LEFT JOIN r ON r.conv_id = f.conv_id GROUP BY f.conv_id),
+m AS (SELECT conv_id, path[1:d] AS node, d AS depth, words[d] AS words, len(path) = d AS stops FROM p, unnest(range(0, len(path) + 1)) AS u(d)),
+n AS (
+  SELECT node, depth, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(any_value(words), 0) AS words,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE stops), '')) AS ends_sha256
+  FROM m GROUP BY node, depth),
+k AS (SELECT n.node, u.conv_id AS parent_conv_id FROM n JOIN n u ON u.depth = n.depth - 1 AND u.node = n.node[1:n.depth - 1]),
+kids AS (SELECT n.node[1:n.depth - 1] AS node, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+a AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN kids ON kids.node = n.node),
+s AS (
+  SELECT a.node, sum((b.n_children = 0)::BIGINT) AS n_leaves, sum((b.n_convs - 1) * b.words) AS saved_tokens
+  FROM a JOIN a b ON b.depth >= a.depth AND b.node[1:a.depth] = a.node GROUP BY a.node)
+SELECT conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens, ends_sha256
+FROM a JOIN s ON s.node = a.node LEFT JOIN k ON k.node = a.node AND a.depth > 0""")
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, convs = prefix_trie.rebuilt(prefix_trie.turns(read_table(spark, sf_dir, "conversations")))
+    return prefix_trie.trie(rows, convs).drop("node")
