@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dirwise.llm import bpe, curves, fingerprints, licenses, lines, packing, pii, prefix_trie, quality, sentences, simhash, warc
+from dirwise.llm import bpe, curves, fingerprints, licenses, lines, negatives, packing, pii, prefix_trie, quality, sentences, simhash, warc
 from dirwise.llm.common import reachable, read_table
 from dirwise.session import shared_dir
 
@@ -155,3 +155,24 @@ FROM a JOIN s ON s.node = a.node LEFT JOIN k ON k.node = a.node AND a.depth > 0"
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, convs = prefix_trie.rebuilt(prefix_trie.turns(read_table(spark, sf_dir, "conversations")))
     return prefix_trie.trie(rows, convs).drop("node")
+
+
+@query(r"""
+WITH r AS (
+  SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE))) = 0),
+s AS (
+  SELECT a.id AS anchor_id, a.label = c.label AS same, c.id, list_inner_product(a.v, c.v)::BIGINT AS score
+  FROM r a JOIN r c ON c.id <> a.id WHERE a.id % 100 = 0),
+p AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER w AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) QUALIFY row_number() OVER w <= 10""")
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "embeddings").withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return negatives.mined(rows, F.col("id") % 100 == 0)
