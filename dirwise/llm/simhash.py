@@ -54,15 +54,18 @@ def fingerprint(text: str, words: int = WORDS) -> int:
     return int(np.packbits(2 * counts > total).view(">i8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, fp (the 64 bits as a long) of every row."""
-    kind = docs.schema[id_col].dataType.simpleString()
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *further: str) -> DataFrame:
+    """id, fp (the 64 bits as a long) of every row, and its columns ``further``."""
+    kinds = [docs.schema[c].dataType.simpleString() for c in (id_col, *further)]
+    names = ["id", *further, "fp"]
 
     def run(batches):
         for batch in slices(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(fingerprint, batch.column(1).to_pylist()), pa.int64())], ["id", "fp"])
+            *held, texts = batch.columns
+            yield pa.RecordBatch.from_arrays([*held, pa.array(map(fingerprint, texts.to_pylist()), pa.int64())], names)
 
-    return docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp long")
+    schema = ", ".join(f"{n} {k}" for n, k in zip(names, [*kinds, "long"], strict=True))
+    return docs.select(F.col(id_col).alias("id"), *further, text_or_empty(text_col).alias("text")).mapInArrow(run, schema)
 
 
 def _rotated(code, by: int):
@@ -98,18 +101,35 @@ def trie_links(codes: DataFrame, budget: int = BUDGET, steps: tuple[int, ...] =
     return front.where("a <> b").select(back("a").alias("x"), back("b").alias("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
+def _grouped(marks: DataFrame, budget: int) -> DataFrame:
+    """fp, component: the fingerprint that names the group of each distinct fingerprint."""
+    codes = marks.select("fp").distinct()
+    joined = saved(components(trie_links(saved(codes), budget)))
+    return codes.join(joined, codes["fp"] == joined["vertex"], "left").select("fp", F.coalesce("component", "fp").alias("component"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET) -> DataFrame:
     """id, fingerprint (16 hex digits), component_id (smallest id reachable over links of at most ``budget`` bits)."""
     marks = saved(fingerprints(docs, id_col, text_col))
-    codes = saved(marks.groupBy("fp").agg(F.min("id").alias("first")))
-    joined = saved(components(trie_links(codes, budget)))
-    named = codes.join(joined, codes["fp"] == joined["vertex"], "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
+    named = marks.groupBy("fp").agg(F.min("id").alias("first")).join(_grouped(marks, budget), "fp")
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
     names = named.join(least, "component").select("fp", "component_id")
     return marks.join(names, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET) -> DataFrame:
-    """Rows of ``docs`` without the documents that another of their group, with a smaller id, stands for. Rows without an id stay."""
-    gone = saved(near_duplicates(docs, id_col, text_col, budget).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("gone_id")))
-    return docs.join(gone, docs[id_col] == gone["gone_id"], "left_anti")
+    """One row of ``docs`` per group: the smallest by id (a null id last), then by its text's hash; of rows equal in both any one.
+
+    Rows, not ids, are kept or dropped: an id may stand on several texts.
+    """
+    mark = F.xxhash64(text_or_empty(text_col))
+    marks = saved(fingerprints(docs.select(F.col(id_col), F.col(text_col), mark.alias("mark__")), id_col, text_col, "mark__"))
+    own = marks.groupBy("fp", "id", "mark__").agg(F.count("*").alias("n")).join(_grouped(marks, budget), "fp")
+    best = own.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("blank"), "id", "mark__")).alias("first"))
+    stays = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("mark__") == F.col("first.mark__"))
+    # rows that go, and those that stay but once
+    odd = saved(own.join(best, "component").select(F.col("id").alias("id__"), "mark__", stays.alias("stays__"), "n").where("not stays__ or n > 1").drop("n"))
+    same = lambda rows: docs[id_col].eqNullSafe(rows["id__"]) & (mark == rows["mark__"])
+    again = odd.where("stays__")
+    more = docs.join(again, same(again)).dropDuplicates(["id__", "mark__"]).select(*docs.columns)
+    return docs.join(odd, same(odd), "left_anti").unionByName(more)

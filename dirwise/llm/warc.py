@@ -1,6 +1,7 @@
 r"""WARC archives as a table of chunks.
 
-A payload is never one value on its way: it is a run of rows (record, chunk_no), each
+A payload is never one value on its way to an archive or back (``chunk_table`` cuts it from the
+row that holds it, which is in memory with its batch): it is a run of rows (record, chunk_no), each
 with at most ``CHUNK`` bytes and the SHA-1 of everything up to its end. In an archive
 each chunk is a segment record of its own (the first a response or revisit, the rest
 continuations), so Spark's text writer and reader, with record marks for line ends,
@@ -14,7 +15,8 @@ where they are read; only longer ones are sorted together.
 Defined results: a null payload is empty; rows that repeat are records of their own;
 among equal payloads of at least ``LEAST_SHARED`` bytes the row with the largest id
 is the response (every repeat of it) and smaller ids revisit it; rows without an id
-are responses; other columns are ignored; an empty table gives an archive without
+are responses; a record is named by its id, or by a number and its id where several rows have
+the id (a reference to such a record names the id only); other columns are ignored; an empty table gives an archive without
 records and no rows. Content that does not match its declared length or digest
 raises an error.
 """
@@ -37,6 +39,8 @@ LEAST_SHARED = 1000
 MARK = b"WARC/1.1\r\n"
 END = b"\r\n\r\n"
 CHUNKS = "record string, chunk_no long, kind string, target string, refers_to string, payload_bytes long, declared string, is_last boolean, digest string, chunk binary"
+#: What a record's name begins with where its id stands on one row; references are made of it.
+NAMED = "urn:page:0/"
 #: Bytes of chunks handed to Spark at once.
 FLUSH = 4 << 20
 
@@ -80,9 +84,11 @@ def revisits(pages: DataFrame, id_col: str, payload_col: str, least: int = LEAST
 
 def chunk_table(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html", url_col: str = "url", chunk: int = CHUNK, least: int = LEAST_SHARED) -> DataFrame:
     """The pages' records as chunk rows. A record's name holds the page's id after the last slash; a revisit has one empty chunk."""
-    again = saved(revisits(pages, id_col, payload_col, least))
+    again = revisits(pages, id_col, payload_col, least).withColumn("several", F.lit(False))
+    several = pages.groupBy(F.col(id_col).alias("id")).agg(F.count("*").alias("n")).where("n > 1").select("id", F.lit(None).cast(again.schema["refers_to"].dataType).alias("refers_to"), F.lit(True).alias("several"))
+    again = saved(again.unionByName(several).groupBy("id").agg(F.max("refers_to").alias("refers_to"), F.max("several").alias("several")))
     rows = pages.select(F.col(id_col).alias("id"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload"), F.col(url_col).cast("string").alias("url"))
-    rows = rows.join(again, "id", "left").select(F.col("id").cast("string").alias("id"), "url", F.col("refers_to").cast("string").alias("refers_to"), "payload")
+    rows = rows.join(again, "id", "left").select(F.col("id").cast("string").alias("id"), "url", F.col("refers_to").cast("string").alias("refers_to"), "payload", (F.col("id").isNull() | F.coalesce("several", F.lit(False))).alias("several"))
 
     def run(batches):
         task, made = TaskContext.get().partitionId(), 0
@@ -91,9 +97,9 @@ def chunk_table(pages: DataFrame, id_col: str = "page_id", payload_col: str = "h
             nonlocal made
             for batch in slices(batches, 64):
                 for i in range(batch.num_rows):
-                    name, url, of, payload = (batch.column(c)[i] for c in range(4))
+                    name, url, of, payload, several = (batch.column(c)[i] for c in range(5))
                     view, sha, of = memoryview(payload.as_buffer()), hashlib.sha1(), of.as_py()
-                    record = f"urn:page:{task}-{made}/{'' if name.as_py() is None else name.as_py()}"
+                    record = f"urn:page:{task}-{made}/{name.as_py() or ''}" if several.as_py() else f"{NAMED}{name.as_py()}"
                     made += 1
                     declared = hashlib.sha1(view).hexdigest()
                     if of is not None:
@@ -130,13 +136,22 @@ def write(chunks: DataFrame, path: str, compression: str = "none") -> None:
                 if row["is_last"]:
                     head.append(("WARC-Segment-Total-Length", row["payload_bytes"]))
                 if kind == "revisit":
-                    head += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:page:{row['refers_to']}>")]
+                    head += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<{NAMED}{row['refers_to']}>")]
                 out.append(MARK + "".join(f"{k}: {v}\r\n" for k, v in head).encode() + b"\r\n" + http + row["chunk"])
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
 
     chunks.mapInArrow(run, "value binary").select(F.col("value").cast("string")).write.option("lineSep", END.decode()).option("compression", compression).text(path)
 
 
+def _find(raw: memoryview, mark: bytes, start: int = 0, step: int = 1 << 14) -> int:
+    """Place of the mark at or after ``start``, looked for piece by piece; a header may have any length."""
+    for at in range(start, len(raw), step):
+        found = bytes(raw[at : at + step + len(mark) - 1]).find(mark)
+        if found >= 0:
+            return at + found
+    raise ValueError("a record without a header")
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     """The chunk table of all archives below ``path``. Every chunk's length is checked, and the digest of the first one."""
     def run(batches):
@@ -144,9 +159,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
             for batch in slices(batches, 64):
                 for value in batch.column(0):
                     raw = memoryview(value.as_buffer())
-                    split = bytes(raw[: 1 << 14]).find(END)
-                    if split < 0:
-                        raise ValueError("a record without a header")
+                    split = _find(raw, END)
                     head = dict(line.split(": ", 1) for line in bytes(raw[:split]).decode().split("\r\n"))
                     start = split + len(END)
                     stop = start + int(head["Content-Length"])
@@ -154,15 +167,16 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                         raise ValueError(f"{head['WARC-Record-ID']}: its length is not {head['Content-Length']}")
                     number, kind, size = int(head["WARC-Segment-Number"]) - 1, head["WARC-Type"], None
                     if not number:
-                        http = bytes(raw[start : start + (1 << 14)])
+                        body = _find(raw, END, start) + len(END)
+                        http = bytes(raw[start:body])
                         size = int(http[http.index(b"Content-Length: ") + 16 :].split(b"\r\n", 1)[0])
-                        start += http.index(END) + len(END)
+                        start = body
                     chunk = bytes(raw[start:stop])
                     running = head["WARC-Running-Digest"].removeprefix("sha1:")
                     if not number and kind != "revisit" and hashlib.sha1(chunk).hexdigest() != running:
                         raise ValueError(f"{head['WARC-Record-ID']}: its digest is not {running}")
                     record = head.get("WARC-Segment-Origin-ID", head["WARC-Record-ID"]).strip("<>")
-                    refers = head["WARC-Refers-To"].strip("<>").removeprefix("urn:page:") if kind == "revisit" else None
+                    refers = head["WARC-Refers-To"].strip("<>").removeprefix(NAMED) if kind == "revisit" else None
                     yield record, number, kind, head.get("WARC-Target-URI"), refers, size, head["WARC-Payload-Digest"].removeprefix("sha1:"), "WARC-Segment-Total-Length" in head, running, chunk
 
         yield from _batches(parts(), CHUNK_ROW)

@@ -192,6 +192,18 @@ def test_archives_round_trip(spark, tmp_path):
     assert sorted(x.decode() for x in chunks.values()) == sorted(p[2] or "" for p in pages if p[0] not in (1, 2, 6))
 
 
+def test_long_headers_and_references(spark, tmp_path):
+    """Addresses far longer than any buffer, and references that name the record they refer to."""
+    pages = [(1, "u" * 100_000, "y" * 1200), (2, "v" * 20_000, "y" * 1200), (3, None, "z" * 700_000)]
+    path = str(tmp_path / "long")
+    warc.write(warc.chunk_table(spark.createDataFrame(pages, "page_id long, url string, html string")), path)
+    back = warc.read(spark, path)
+    got = {r["record"].rsplit("/", 1)[1]: r for r in warc.records(back).collect()}
+    assert {k: (r["target"] and len(r["target"]), r["kind"], r["refers_to"], r["payload_bytes"]) for k, r in got.items()} == {"1": (100_000, "revisit", "2", 1200), "2": (20_000, "response", None, 1200), "3": (None, "response", None, 700_000)}
+    text = "".join(r[0] for r in spark.read.option("lineSep", warc.MARK.decode()).text(path).collect())
+    assert f"WARC-Refers-To: <{got['2']['record']}>" in text
+
+
 def test_damaged_archives_are_refused(spark, tmp_path):
     table = warc.chunk_table(spark.createDataFrame([(1, "u", "abcdefgh" * 100)], "page_id long, url string, html string"), chunk=100)
     for name, bad in (("missing", table.where("chunk_no <> 3")), ("last", table.where("not is_last")), ("changed", table.withColumn("chunk", F.when(F.col("chunk_no") == 2, F.lit(b"x" * 100)).otherwise(F.col("chunk"))))):
