@@ -6,11 +6,13 @@ key held by a third of all rows is one row of the lookup.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dirwise.functions.names import in_london, join_address, name_key, org_type, postcode
 from dirwise.functions.values import filled, first_filled, or_null, spread_blank, text, trim_all
+from dirwise.operators.merge import survivors
 from dirwise.operators.similarity import contained_names, similar_across
 from dirwise.session import saved
 
@@ -277,10 +279,7 @@ def triage(batch: DataFrame, entities: DataFrame, row: str = "rowNum") -> DataFr
     """Import rows marked invalid, duplicate or verified, with the reason and any existing id.
 
     A row repeats another one of its batch if an earlier *accepted* row has its
-    name or its register key. Acceptance spreads row by row in the reference
-    order; here whole rounds settle at once: a row that comes first among the
-    open rows of both its name and its key is accepted, and rows that share a
-    name or key with it are duplicates.
+    name or its register key (``first_accepted``).
     """
     valid = filled("name") & filled("la")
     key = F.lower(trim_all("name"))
@@ -307,13 +306,22 @@ def triage(batch: DataFrame, entities: DataFrame, row: str = "rowNum") -> DataFr
 
 
 def first_accepted(rows: DataFrame, row: str, *keys: str) -> DataFrame:
-    """Rows accepted in ``row`` order when no earlier accepted row shares a key; null keys are never shared.
+    """Rows accepted in ``row`` order (unique) when no earlier accepted row shares a key; null keys are never shared.
 
-    Settles all rows that are first in each of their groups per round. Each
-    round accepts at least the first open row; random order needs few rounds.
+    Whole rounds settle at once the rows that come first in each of their groups,
+    as long as that halves what is open, which rows in no particular order do. What
+    is left hangs together in chains: its connected parts are labelled, and each is
+    gone through in order.
     """
-    todo, done = saved(rows), None
+    todo, done, before = saved(rows), [], None
     while True:
+        open_rows = todo.count()
+        if before is not None and 2 * open_rows > before:
+            done.append(_accepted_in_order(todo, row, keys))
+            break
+        if not open_rows:
+            break
+        before = open_rows
         firsts = todo
         for i, k in enumerate(keys):
             m = todo.filter(F.col(k).isNotNull()).groupBy(k).agg(F.min(row).alias(f"_m{i}"))
@@ -322,12 +330,56 @@ def first_accepted(rows: DataFrame, row: str, *keys: str) -> DataFrame:
         for i in range(len(keys)):
             ok = ok & F.coalesce(F.col(f"_m{i}") == F.col(row), F.lit(True))
         now = saved(firsts.filter(ok).select(*rows.columns))
-        done = now if done is None else done.unionByName(now)
+        done.append(now)
         for k in keys:
             todo = todo.join(now.select(k).filter(F.col(k).isNotNull()).distinct(), k, "left_anti")
         todo = saved(todo.join(now.select(row), row, "left_anti").select(*rows.columns))
-        if todo.isEmpty():
-            return done
+    out = todo.limit(0)
+    for part in done:
+        out = out.unionByName(part)
+    return out
+
+
+def _accepted_in_order(rows: DataFrame, row: str, keys: tuple[str, ...]) -> DataFrame:
+    """``first_accepted`` part by part: rows that hang together over shared keys pass one task in order.
+
+    A task remembers the taken keys that a later row of the part still holds, and
+    nothing of the rows; sorting may spill.
+    """
+    groups = [rows.filter(F.col(k).isNotNull()).groupBy(k).agg(F.min(row).alias("primary"), F.max(row).alias(f"_last{i}")) for i, k in enumerate(keys)]
+    ends = rows
+    for k, g in zip(keys, groups, strict=True):
+        ends = ends.join(g.drop("primary"), k, "left")
+    ends = ends.select(F.col(row).alias("row"), *[F.col(k).cast("string").alias(f"k{i}") for i, k in enumerate(keys)], *[(F.col(f"_last{i}") == F.col(row)).alias(f"last{i}") for i in range(len(keys))])
+    links = None
+    for k, g in zip(keys, groups, strict=True):
+        pairs = rows.join(g, k).select("primary", F.col(row).alias("secondary"))
+        links = pairs if links is None else links.unionByName(pairs)
+    parts = survivors(links)
+    dealt = ends.join(parts, F.col("row") == F.col("secondary"), "left").withColumn("part", F.coalesce("primary", "row")).drop("primary", "secondary")
+    n, kind = len(keys), rows.schema[row].dataType.simpleString()
+
+    def run(batches):
+        part, taken = None, [set() for _ in range(n)]
+        for batch in batches:
+            cols = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
+            accepted = []
+            for at, p in enumerate(cols[-1]):
+                if p != part:
+                    part, taken = p, [set() for _ in range(n)]
+                held = [(t, c[at], last[at]) for t, c, last in zip(taken, cols[1 : 1 + n], cols[1 + n : 1 + 2 * n], strict=True) if c[at] is not None]
+                free = not any(k in t for t, k, _ in held)
+                if free:
+                    accepted.append(at)
+                for t, k, last in held:
+                    if last:
+                        t.discard(k)
+                    elif free:
+                        t.add(k)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(accepted, pa.int64()))], ["row"])
+
+    found = dealt.repartition("part").sortWithinPartitions("part", "row").mapInArrow(run, f"row {kind}")
+    return saved(rows.join(found, rows[row] == found["row"], "left_semi"))
 
 
 def cleaned_import(verified: DataFrame) -> DataFrame:

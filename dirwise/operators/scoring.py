@@ -9,6 +9,7 @@ from dirwise.functions import geo
 from dirwise.functions.values import (
     any_of, bind, clamp, contains_any, filled, nonzero, present, round_half_up, text, trim_all)
 from dirwise.operators import filters as flt
+from dirwise.session import saved
 
 # What each part of a record is worth, in points.
 WEIGHTS = {
@@ -202,9 +203,14 @@ def _sexes_fit(wanted: Column) -> Column:
 def _types_fit(wanted: Column) -> Column:
     """``filters.accepts_types`` for an array column of wishes."""
     t = F.lower(text("schoolType"))
-    state = contains_any(t, ("comprehensive", "academy", "community"))
-    fits = F.exists(wanted, lambda w: F.when(F.lower(F.trim(w)) == "comprehensive", state).otherwise(F.contains(t, F.lower(F.trim(w)))))
-    return any_of([F.size(wanted) == 0, F.array_contains(wanted, "NA"), F.array_contains(wanted, "all")]) | fits
+
+    def fits(w: Column, t: Column) -> Column:
+        w = F.lower(F.trim(w))
+        return F.when(w == "comprehensive", contains_any(t, ("comprehensive", "academy", "community"))).otherwise(F.contains(t, w))
+
+    # the type goes in as an array: a predicate whose lambda reads a column is pushed to the wrong side of a join by the optimizer
+    each = F.zip_with(wanted, F.array_repeat(t, F.size(wanted)), fits)
+    return any_of([F.size(wanted) == 0, F.array_contains(wanted, "NA"), F.array_contains(wanted, "all")]) | F.array_contains(each, True)
 
 
 def _by_ability(of, ability: Column) -> Column:
@@ -213,18 +219,9 @@ def _by_ability(of, ability: Column) -> Column:
     return out.when(ability.isin("average", "below_average"), of("average")).otherwise(of("NA"))
 
 
-def recommend_many(df: DataFrame, users: DataFrame, saved_ids: DataFrame, removed: DataFrame | None = None, anchors: DataFrame | None = None, limit: int | None = 10) -> DataFrame:
-    """Best-fitting entities for every user: user_id, id, matchScore, distanceMiles, reasons.
-
-    df: located entities. users: user_id and any of ``USER_COLUMNS`` (a missing
-    one is empty). saved_ids, removed: (user_id, id); saved entities shape a
-    user's profile, neither is offered. anchors: (user_id, easting, northing)
-    of the places a user named; without any, the middle of the saved ones.
-    All is column work: profiles are grouped by user, entities are dealt into
-    blocks that every user meets, and nothing is read to the driver.
-    """
-    ids = saved_ids.select("user_id", "id").distinct()
-    kept = ids.join(df, "id")
+def _profiles(df: DataFrame, users: DataFrame, saved_ids: DataFrame, anchors: DataFrame | None) -> DataFrame:
+    """One row per user: wishes (u_..), what the saved entities have in common (p_..) and the points that distances count from."""
+    kept = saved_ids.select("user_id", "id").distinct().join(df, "id")
     cls = flt.sex_class()
     sex = F.when(cls["girls"], "girls").when(cls["boys"], "boys").when(cls["mixed"], "mixed")
     at = F.col("easting").isNotNull() & (F.col("easting") != 0) & F.col("northing").isNotNull() & (F.col("northing") != 0)
@@ -239,20 +236,51 @@ def recommend_many(df: DataFrame, users: DataFrame, saved_ids: DataFrame, remove
              else (none if t.startswith("array") else F.lit(None).cast(t)).alias(f"u_{c}") for c, t in USER_COLUMNS.items()]
     u = users.select("user_id", *asked).join(own, "user_id", "left").join(spots, "user_id", "left")
     given = F.coalesce(F.filter("points", lambda p: p["e"].isNotNull()), F.filter(F.array("middle"), lambda p: p["e"].isNotNull()))
-    u = u.select("user_id", *[f"u_{c}" for c in USER_COLUMNS], *[F.coalesce(c, none).alias(c) for c in ("p_sexes", "p_types", "p_formats")], given.alias("points"))
+    return u.select("user_id", *[f"u_{c}" for c in USER_COLUMNS], *[F.coalesce(c, none).alias(c) for c in ("p_sexes", "p_types", "p_formats")], given.alias("points"))
 
-    rows = df.withColumn("_block", F.pmod(F.xxhash64("id"), F.lit(USER_BLOCKS).cast("bigint")))
-    pool = rows.join(u.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(USER_BLOCKS - 1).cast("bigint")))), "_block").drop("_block")
-    gone = ids if removed is None else ids.unionByName(removed.select("user_id", "id")).distinct()
-    pool = pool.join(gone, ["user_id", "id"], "left_anti")
-    sexes, types, formats = F.col("u_sexes"), F.col("u_types"), F.col("u_exam_formats")
+
+def _admitted() -> Column:
+    """Whether an entity passes a user's wishes for sexes, types and rating."""
+    sexes, types = F.col("u_sexes"), F.col("u_types")
     floors = F.when(F.lit(False), F.lit(True))
     for level in RATING_LEVELS:
         floors = floors.when(F.lower(F.trim("u_rating")) == level, flt.rating_floor(level))
     sex_ok = (F.size(sexes) + F.size("p_sexes") == 0) | _sexes_fit(F.array_union(sexes, F.col("p_sexes")))
     type_ok = (F.size(types) == 0) | _types_fit(F.array_union(F.transform(types, lambda t: F.lower(F.trim(t))), F.col("p_types")))
-    pool = pool.filter(sex_ok & type_ok & F.coalesce(floors, F.lit(True)))
+    return sex_ok & type_ok & F.coalesce(floors, F.lit(True))
 
+
+def _kind_fit() -> tuple[Column, ...]:
+    """Whether types are asked for, known from saved entities, met as asked, met as saved (also if blank, and not), and what that counts."""
+    types = F.col("u_types")
+    fits_saved = _types_fit(F.col("p_types"))
+    asks_type, has_type = F.size(types) > 0, F.size("p_types") > 0
+    asked_type, fits = _types_fit(types), filled("schoolType") & fits_saved
+    other = F.array_contains("p_types", "independent") & text("schoolType").contains("Grammar")
+    kind = (F.when(asks_type, F.when(asked_type, 1.00).when(fits_saved, 0.70).otherwise(0.40))
+            .when(has_type, F.when(fits, 0.90).when(other, 0.75).otherwise(MIDDLING)).otherwise(MIDDLING))
+    return asks_type, has_type, asked_type, fits_saved, fits, kind
+
+
+def _fit(proximity: Column, exam: Column, academic: Column, growth: Column, kind: Column, adjustment: Column, asked_sex: Column) -> Column:
+    """The weighted score; it never falls when a part rises."""
+    levels = F.create_map(*[F.lit(x) for kv in IMPORTANCE.items() for x in kv])
+    mult = {k: F.coalesce(F.try_element_at(levels, F.coalesce(F.col(f"u_{k}"), F.lit(""))), F.lit(v)) for k, v in UNKNOWN.items()}
+    w = {"near": mult["proximity"] * 20, "exam": F.lit(25.0), "academic": mult["academicExcellence"] * 25, "growth": mult["pupilProgress"] * 15, "kind": F.lit(15.0)}
+    total = w["near"] + w["exam"] + w["academic"] + w["growth"] + w["kind"]
+    fit = (proximity * w["near"] + exam * w["exam"] + academic * w["academic"] + growth * w["growth"] + kind * w["kind"]) / total * 100
+    return clamp(round_half_up(fit + adjustment + F.when(asked_sex, 8).otherwise(0)), 15, 99)
+
+
+def _growth() -> Column:
+    prog = F.col("gcseProgress8")
+    return F.when(prog.isNull(), MIDDLING).otherwise(steps(prog, PROGRESS_LADDER, 0.35, below=False))
+
+
+def _advised(pool: DataFrame) -> DataFrame:
+    """user_id, id, matchScore, distanceMiles, reasons for pairs of a user and an entity that passes the wishes."""
+    sexes, types, formats = F.col("u_sexes"), F.col("u_types"), F.col("u_exam_formats")
+    pool = pool.filter(_admitted())
     metres = F.array_min(F.transform("points", lambda p: geo.grid_metres("easting", "northing", p["e"], p["n"])))
     pool = pool.withColumn("distanceMiles", F.round(metres / geo.METRES_PER_MILE, 2))
     miles = F.col("distanceMiles")
@@ -277,12 +305,7 @@ def recommend_many(df: DataFrame, users: DataFrame, saved_ids: DataFrame, remove
                                .otherwise(F.concat(F.lit("Matches entrance exam format: "), F.when(label != "", label).otherwise(text("entranceExamType"))))))
         .otherwise(none_text))
 
-    fits_saved = _types_fit(F.col("p_types"))
-    asks_type, has_type = F.size(types) > 0, F.size("p_types") > 0
-    asked_type, fits = _types_fit(types), filled("schoolType") & fits_saved
-    other = F.array_contains("p_types", "independent") & text("schoolType").contains("Grammar")
-    kind = (F.when(asks_type, F.when(asked_type, 1.00).when(fits_saved, 0.70).otherwise(0.40))
-            .when(has_type, F.when(fits, 0.90).when(other, 0.75).otherwise(MIDDLING)).otherwise(MIDDLING))
+    asks_type, has_type, asked_type, fits_saved, fits, kind = _kind_fit()
     kind_reason = (
         F.when(asks_type, F.when(asked_type, F.concat(F.lit("Matches requested school type: "), text("schoolType")))
                .when(fits_saved, F.concat(F.lit("Shares school type with shortlisted schools ("), text("schoolType"), F.lit(")"))))
@@ -291,13 +314,8 @@ def recommend_many(df: DataFrame, users: DataFrame, saved_ids: DataFrame, remove
     prog = F.col("gcseProgress8")
     growth = F.when(prog.isNull(), MIDDLING).otherwise(steps(prog, PROGRESS_LADDER, 0.35, below=False))
     asked_sex = (F.size(sexes) > 0) & _sexes_fit(sexes)
-    levels = F.create_map(*[F.lit(x) for kv in IMPORTANCE.items() for x in kv])
-    mult = {k: F.coalesce(F.try_element_at(levels, F.coalesce(F.col(f"u_{k}"), F.lit(""))), F.lit(v)) for k, v in UNKNOWN.items()}
-    w = {"near": mult["proximity"] * 20, "exam": F.lit(25.0), "academic": mult["academicExcellence"] * 25, "growth": mult["pupilProgress"] * 15, "kind": F.lit(15.0)}
+    score = _fit(proximity, exam, _by_ability(academic_score, F.coalesce("u_ability", F.lit("NA"))), growth, kind, rating_adjustment(), asked_sex)
     ability = F.coalesce("u_ability", F.lit("NA"))
-    total = w["near"] + w["exam"] + w["academic"] + w["growth"] + w["kind"]
-    fit = (proximity * w["near"] + exam * w["exam"] + _by_ability(academic_score, ability) * w["academic"] + growth * w["growth"] + kind * w["kind"]) / total * 100
-    score = clamp(round_half_up(fit + rating_adjustment() + F.when(asked_sex, 8).otherwise(0)), 15, 99)
 
     shown_miles = F.format_string("%.1f", miles)
     near_reason = (F.when(miles <= 3.0, F.concat(shown_miles, F.lit(" miles away • Very close commute")))
@@ -307,9 +325,114 @@ def recommend_many(df: DataFrame, users: DataFrame, saved_ids: DataFrame, remove
     said = F.array_distinct(F.array_compact(F.array(exam_reason, near_reason, place_reason, _by_ability(academic_reason, ability), kind_reason, top_rated)))
     fallback = F.when(filled("schoolType"), F.concat(F.col("schoolType"), F.lit(" secondary school"))).otherwise("High school recommendation")
     reasons = F.when(F.size(said) > 0, F.slice(said, 1, 4)).otherwise(F.array(fallback))
-    out = pool.select("user_id", "id", score.cast("int").alias("matchScore"), "distanceMiles", reasons.alias("reasons"))
+    return pool.select("user_id", "id", score.cast("int").alias("matchScore"), "distanceMiles", reasons.alias("reasons"))
+
+
+# ---- the best few, without scoring all pairs -----------------------------------------------------
+
+#: Side of the squares that entities are grouped by, in metres.
+SQUARE = 16_000
+ABILITIES = ("top_class", "above_average", "average", "NA")
+#: Entities looked at for a first k-th score, as a multiple of k.
+FIRST_LOOK = 4
+
+
+def _classed(df: DataFrame) -> DataFrame:
+    """Entities with the class (_c1) and cell (_c2) they belong to.
+
+    A class holds entities that agree in type, sexes, rating and growth; a cell those of
+    a class that also agree in exam format and lie in one square.
+    """
+    rating = F.struct(rating_adjustment().alias("a"), *[flt.rating_floor(level).alias(level) for level in RATING_LEVELS])
+    square = F.struct(F.floor(F.col("easting") / SQUARE).alias("x"), F.floor(F.col("northing") / SQUARE).alias("y"))
+    df = df.withColumn("_c1", F.to_json(F.struct(text("schoolType").alias("t"), flt.sex_class().alias("s"), rating.alias("r"), _growth().alias("g"))))
+    return df.withColumn("_c2", F.concat("_c1", F.to_json(F.struct(format_key().alias("f"), square.alias("q")))))
+
+
+def _groups(rows: DataFrame, *keys: str) -> DataFrame:
+    """Per class or cell: how many entities, one value of each column they agree in, the best academic scores, and the box they lie in."""
+    whole = rows.withColumns({"_growth": _growth(), **{f"_ac_{a}": academic_score(a) for a in ABILITIES}, "_format": format_key()})
+    at = F.col("easting").isNotNull() & F.col("northing").isNotNull()
+    box = [f(F.when(at, F.col(c))).cast("double").alias(f"_{name}_{c}") for c in ("easting", "northing") for name, f in (("min", F.min), ("max", F.max))]
+    return whole.groupBy(*keys).agg(
+        F.count("*").alias("_n"), *[F.min(c).alias(c) for c in ("schoolType", "gender", "ofstedRating")], F.max("_growth").alias("_growth"), F.min("_format").alias("_format"),
+        *[F.max(f"_ac_{a}").alias(f"_ac_{a}") for a in ABILITIES], *box, F.bool_or(~at).alias("_unplaced"))
+
+
+def _bound(formats: bool) -> Column:
+    """The most that an entity of a class (or cell, whose entities share a format) can score for a user."""
+    held = lambda p, c: F.least(F.greatest(p, F.col(f"_min_{c}")), F.col(f"_max_{c}"))
+    metres = F.array_min(F.transform("points", lambda p: geo.grid_metres(held(p["e"], "easting"), held(p["n"], "northing"), p["e"], p["n"])))
+    miles = F.round(metres / geo.METRES_PER_MILE, 2)
+    near = F.when(miles.isNull(), MIDDLING).otherwise(steps(miles, PROXIMITY_STEPS, FAR))
+    near = F.when(F.col("_unplaced"), F.greatest(near, F.lit(MIDDLING))).otherwise(near)
+    near = F.when(F.size("u_places") > 0, F.greatest(near, F.lit(NAMED_PLACE))).otherwise(near)
+    shared = F.array_contains("p_formats", F.col("_format")) if formats else F.lit(True)
+    exam = F.when(F.size("u_exam_formats") > 0, 1.00).when(F.size("p_formats") > 0, F.when(shared, 0.95).otherwise(0.40)).otherwise(MIDDLING)
+    academic = _by_ability(lambda a: F.col(f"_ac_{a}"), F.coalesce("u_ability", F.lit("NA")))
+    asked_sex = (F.size("u_sexes") > 0) & _sexes_fit(F.col("u_sexes"))
+    return _fit(near, exam, academic, F.col("_growth"), _kind_fit()[-1], rating_adjustment(), asked_sex)
+
+
+def _first_few(groups: DataFrame, need: Column) -> DataFrame:
+    """Of each user's groups the most promising ones, until they hold ``need`` entities."""
+    order = Window.partitionBy("user_id").orderBy(F.desc("_most"), "_key").rowsBetween(Window.unboundedPreceding, -1)
+    return groups.withColumn("_before", F.coalesce(F.sum("_n").over(order), F.lit(0))).where(F.col("_before") < need).drop("_before")
+
+
+def promising_pairs(df: DataFrame, u: DataFrame, gone: DataFrame, limit: int) -> DataFrame:
+    """Pairs of a user and an entity (its own columns) among which the user's best ``limit`` are.
+
+    Each user meets the classes of entities, few whatever the number of entities, with
+    the most that each can score; the cells of the best classes and their best entities
+    give a first k-th score, and from then on only classes and cells that may reach it
+    are opened.
+    """
+    rows = saved(_classed(df))
+    classes = _groups(rows, "_c1")
+    cells = saved(_groups(rows, "_c1", "_c2"))
+    blocks = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(USER_BLOCKS - 1).cast("bigint")))
+    held = gone.groupBy("user_id").agg(F.count("*").alias("_gone"))
+    u = saved(u.join(held, "user_id", "left").withColumn("_need", F.coalesce("_gone", F.lit(0)) + FIRST_LOOK * limit).drop("_gone"))
+    met = u.withColumn("_block", F.pmod(F.xxhash64("user_id"), F.lit(USER_BLOCKS).cast("bigint"))).join(classes.withColumn("_block", blocks), "_block")
+    met = saved(met.where(_admitted()).select("user_id", "_need", "_c1", F.col("_c1").alias("_key"), "_n", _bound(False).alias("_most")))
+
+    def opened(chosen: DataFrame) -> DataFrame:
+        """The cells of chosen classes with the most they can score."""
+        inner = chosen.drop("_n", "_key", "_need").withColumnRenamed("_most", "_class_most").join(cells, "_c1").join(u, "user_id").where(_admitted())
+        keep = [c for c in chosen.columns if c not in ("_n", "_key", "_need", "_most", "user_id", "_c1")]
+        return inner.select("user_id", "_need", *keep, "_c2", F.col("_c2").alias("_key"), "_n", _bound(True).alias("_most"))
+
+    def pairs(chosen: DataFrame) -> DataFrame:
+        return chosen.select("user_id", "_c2").join(rows.drop("_c1"), "_c2").drop("_c2").join(gone, ["user_id", "id"], "left_anti")
+
+    first = _advised(pairs(_first_few(opened(_first_few(met, F.col("_need"))), F.col("_need"))).join(u, "user_id"))
+    kth = first.withColumn("_r", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("matchScore"), "id"))).where(F.col("_r") == limit)
+    kth = saved(kth.select("user_id", F.col("matchScore").alias("_kth")))
+    enough = F.col("_most") >= F.coalesce("_kth", F.lit(0))
+    return pairs(opened(met.join(kth, "user_id", "left").where(enough)).where(enough)).join(u.drop("_need"), "user_id")
+
+
+def recommend_many(df: DataFrame, users: DataFrame, saved_ids: DataFrame, removed: DataFrame | None = None, anchors: DataFrame | None = None, limit: int | None = 10) -> DataFrame:
+    """Best-fitting entities for every user: user_id, id, matchScore, distanceMiles, reasons.
+
+    df: located entities. users: user_id and any of ``USER_COLUMNS`` (a missing
+    one is empty). saved_ids, removed: (user_id, id); saved entities shape a
+    user's profile, neither is offered. anchors: (user_id, easting, northing)
+    of the places a user named; without any, the middle of the saved ones.
+    All is column work: profiles are grouped by user, and nothing is read to the
+    driver. With a limit only pairs that may be among the best are scored
+    (``promising_pairs``); without, entities are dealt into blocks that every
+    user meets.
+    """
+    u = _profiles(df, users, saved_ids, anchors)
+    ids = saved_ids.select("user_id", "id").distinct()
+    gone = ids if removed is None else ids.unionByName(removed.select("user_id", "id")).distinct()
     if limit is None:
-        return out
+        rows = df.withColumn("_block", F.pmod(F.xxhash64("id"), F.lit(USER_BLOCKS).cast("bigint")))
+        pool = rows.join(u.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(USER_BLOCKS - 1).cast("bigint")))), "_block").drop("_block")
+        return _advised(pool.join(gone, ["user_id", "id"], "left_anti"))
+    out = _advised(promising_pairs(df, u, gone, limit))
     best = out.withColumn("_n", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("matchScore"), "id")))
     return best.filter(F.col("_n") <= limit).drop("_n")
 

@@ -51,6 +51,33 @@ def test_rating_is_asymmetric(spark):
     assert s["o"] - s["g"] <= 5 and s["g"] - s["r"] >= 20
 
 
+def test_best_advice_scores_few_pairs(spark, monkeypatch):
+    """The best of the scored pairs are the best of all pairs, ties by id, and most pairs are never scored."""
+    r = random.Random(4)
+    pick = lambda *x: r.choice(x)
+    rows = [(f"e{i:05d}", pick("Boys", "Girls", "Mixed", ""), pick("Grammar", "Independent", "Academy", "", None), pick("Outstanding", "Good", "Inadequate", None), pick("Kent", "Essex", ""), "", pick("1 Kent Road", ""),
+             pick(None, *range(1, 600, 7)), None, None, pick(None, *range(30, 90)), pick(None, *[x / 10 for x in range(-9, 10)]), r.randint(500_000, 600_000), r.randint(150_000, 250_000), pick(None, 1, 2, 3), pick(None, 1, 2),
+             pick("", "CEM", "GL", None), pick("", "none", "CSSE", None)) for i in range(3000)]
+    schema = ("id string, gender string, schoolType string, ofstedRating string, la string, postcode string, address string, national_rank_england double, gcse_rank_england double, a_level_rank_england double, "
+              "gcseAttainment8 double, gcseProgress8 double, easting int, northing int, primary_exam_type_id int, exam_consortium_id int, entranceExamType string, exam_consortium string")
+    entities = spark.createDataFrame([tuple(float(x) if 7 <= j <= 11 and x is not None else x for j, x in enumerate(row)) for row in rows], schema)
+    users = [(u, pick("top_class", "above_average", "average", "NA", None), pick(None, "good"), pick(None, "very"), pick(None, ["girls"], []), pick(None, ["Grammar"]), pick(None, ["cem"]), pick(None, ["Kent"])) for u in range(20)]
+    users = spark.createDataFrame(users, "user_id int, ability string, rating string, proximity string, sexes array<string>, types array<string>, exam_formats array<string>, places array<string>")
+    keeps = spark.createDataFrame([(u, f"e{r.randint(0, 2999):05d}") for u in range(18) for _ in range(4)], "user_id int, id string")
+    spots = spark.createDataFrame([(u, 500_000.0 + 5000 * u, 200_000.0) for u in range(0, 20, 3)], "user_id int, easting double, northing double")
+    seen, own = [], scoring.promising_pairs
+    monkeypatch.setattr(scoring, "promising_pairs", lambda *a: (out := own(*a), seen.append(out.count()))[0])
+    best = scoring.recommend_many(entities, users, keeps, None, spots, 7)
+    every = {}
+    for x in scoring.recommend_many(entities, users, keeps, None, spots, None).collect():
+        every.setdefault(x["user_id"], []).append((-x["matchScore"], x["id"], x["distanceMiles"], x["reasons"]))
+    got = {}
+    for x in best.collect():
+        got.setdefault(x["user_id"], []).append((-x["matchScore"], x["id"], x["distanceMiles"], x["reasons"]))
+    assert {u: sorted(v) for u, v in got.items()} == {u: sorted(v)[:7] for u, v in every.items()}
+    assert seen[0] < 0.25 * 20 * 3000
+
+
 @pytest.mark.parametrize("votes,reviewed,score,level", [([], False, None, None), ([1], False, 65, "Medium"), ([-1], False, 50, "Low"), ([], True, 100, "High"), ([1] * 6, False, 90, "High"), ([-1] * 9, False, 15, "Low")])
 def test_field_confidence(spark, votes, reviewed, score, level):
     v = spark.createDataFrame([(i, "s", "f", x) for i, x in enumerate(votes)], "userId int, schoolId string, fieldName string, vote int")
@@ -129,6 +156,27 @@ def test_batch_acceptance(spark, seed):
     assert {x["rowNum"] for x in got.collect()} == brute_accept(rows)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_long_chains_and_mixtures_are_accepted_in_order(spark, seed):
+    """Chains in both directions, in random order, and branching ones beside a hot name."""
+    r = random.Random(seed)
+    rows = [(i, f"n{i // 2}", f"u{(i + 1) // 2}") for i in range(400)] + [(1000 + i, f"m{(300 - i) // 2}", f"v{(301 - i) // 2}") for i in range(300)]
+    rows += [(2000 + i, f"b{(i + r.randint(0, 3)) // 2}", f"w{(i + r.randint(0, 3)) // 2}") for i in range(300)] + [(3000 + i, "hot", f"x{i // 3}") for i in range(300)]
+    got = link.first_accepted(spark.createDataFrame(rows, "rowNum int, _name string, _urn string"), "rowNum", "_name", "_urn")
+    assert {x["rowNum"] for x in got.collect()} == brute_accept(rows)
+
+
+def test_a_very_long_chain_takes_few_rounds(spark, monkeypatch):
+    writes = []
+    for module in (link, merge):
+        own = module.saved
+        monkeypatch.setattr(module, "saved", lambda df, own=own: writes.append(1) or own(df))
+    rows = spark.range(100_000).selectExpr("id AS rowNum", "concat('n', id div 2) AS _name", "concat('u', (id + 1) div 2) AS _urn")
+    got = link.first_accepted(rows, "rowNum", "_name", "_urn")
+    assert got.count() == 50_000 and got.filter("rowNum % 2 = 1").isEmpty()
+    assert len(writes) <= 30  # a round of settling writes twice, one of labelling once
+
+
 def test_chain_of_duplicates(spark):
     rows = [(1, "A", "1", "Kent"), (2, "A", "2", "Kent"), (3, "B", "2", "Kent"), (4, "", "9", "Kent"), (5, "known", "7", "Kent"), (6, "new", "77", "Kent")]
     batch = spark.createDataFrame(rows, "rowNum int, name string, urn string, la string")
