@@ -124,11 +124,17 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     mark = F.xxhash64(text_or_empty(text_col))
     marks = saved(fingerprints(docs.select(F.col(id_col), F.col(text_col), mark.alias("mark__")), id_col, text_col, "mark__"))
-    own = marks.groupBy("fp", "id", "mark__").agg(F.count("*").alias("n")).join(_grouped(marks, budget), "fp")
-    best = own.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("blank"), "id", "mark__")).alias("first"))
+    row = F.struct(F.col("id").isNull().alias("blank"), "id", "mark__")
+    named = marks.groupBy("fp").agg(F.min(row).alias("own")).join(_grouped(marks, budget), "fp")
+    best = saved(named.groupBy("component").agg(F.min("own").alias("first")))
     stays = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("mark__") == F.col("first.mark__"))
-    # rows that go, and those that stay but once
-    odd = saved(own.join(best, "component").select(F.col("id").alias("id__"), "mark__", stays.alias("stays__"), "n").where("not stays__ or n > 1").drop("n"))
+    going = marks.join(named.join(best, "component").select("fp", "first"), "fp").where(~stays)
+    # rows that stay but once
+    many = marks.groupBy("id", "mark__").agg(F.count("*").alias("n")).where("n > 1")
+    kept = best.select(F.col("first.id").alias("k"), F.col("first.mark__").alias("m"))
+    many = many.join(kept, F.col("id").eqNullSafe(F.col("k")) & (F.col("mark__") == F.col("m")), "left_semi")
+    named_as = lambda rows, flag: rows.select(F.col("id").alias("id__"), "mark__", F.lit(flag).alias("stays__"))
+    odd = saved(named_as(going, False).unionByName(named_as(many, True)))
     same = lambda rows: docs[id_col].eqNullSafe(rows["id__"]) & (mark == rows["mark__"])
     again = odd.where("stays__")
     more = docs.join(again, same(again)).dropDuplicates(["id__", "mark__"]).select(*docs.columns)
