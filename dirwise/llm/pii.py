@@ -2,7 +2,8 @@
 
 Entities are e-mail addresses, phone, card, social-security and IBAN numbers, IPv4
 addresses, secrets given after a key word or in a well-known shape, and names after
-a form of address. An entity's canonical form (lower case, digits only ...) is what
+a form of address, hyphens, apostrophes and particles included, wherever they stand again
+in the text. An entity's canonical form (lower case, digits only ...) is what
 coreference goes by: the same entity gets the same surrogate in every document and
 spelling, rendered in the separators and capitals of the place.
 
@@ -28,6 +29,7 @@ are kept, a column ``n_entities`` is replaced; no documents, no rows.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Callable, Iterator
@@ -41,7 +43,8 @@ from pyspark.sql import types as T
 from dirwise.llm.common import slices, text_or_empty
 from dirwise.session import saved
 
-KEY = b"surrogates"
+#: Spark setting that holds the key where none is given (see ``corpus_key``).
+KEY_SETTING = "spark.dirwise.surrogates.key"
 ROUNDS = 8
 #: Draws from a format; what still collides after so many is drawn from a wider one (see ``wider``).
 DRAWS = 6
@@ -64,18 +67,25 @@ SYLLABLES = {
 ENDINGS = {"latin": ("ner", "lin", "mann", "berg"), "cyrillic": ("ков", "лин", "нин", "шев"), "greek": ("δης", "κης", "πος", "ρας")}
 
 WORD = r"[^\W\d_]"
+# Small words inside names, and words that are family names as well as days and months, which stay where they stand alone.
+PARTICLES = "al ap bin da de del della den der di do dos du el ibn la le ten ter van von y zu".split()
+DATES = frozenset("January February March April May June July August September October November December Monday Tuesday Wednesday Thursday Friday Saturday Sunday Januar Februar März Mai Juni Juli Oktober Dezember Montag Dienstag Mittwoch Donnerstag Freitag Samstag Sonntag".split())
+UPPERED = r"(?=[^\W\d_a-zа-яα-ω])"
+NAME_PART = rf"(?:(?:{'|'.join(PARTICLES)})(?:[ \t]|[-'’]))*{UPPERED}{WORD}+(?:[-'’]{WORD}+)*"
 PATTERN = re.compile(
     r"(?P<email>(?<![\w.%+-])[\w.%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"
     r"""|(?P<key>(?i:pass(?:word|wd|phrase)|pwd|secret|(?:api|access|auth|secret|private)[_ -]?(?:key|token)|token)["']?\s*[:=]\s*["']?)(?P<secret>[^\s"',;<>]{6,})"""
     r"|(?P<shape>\b(?:AKIA[0-9A-Z]{16}|AIza[\w-]{35}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9]{20,}|eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,})\b)"
     r"|(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?\b)"
     r"|(?P<ip>(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d))"
-    r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
+    r"|(?P<ssn>(?<![\d-])(?:\d{3}-\d{2}-\d{4}(?![\d-])|(?<!\d )\d{3} \d{2} \d{4}(?![ -]?\d)))"
     r"|(?P<card>(?<![\d-])[3-6]\d{3}(?:[ -]?\d{4}){2}[ -]?\d{1,4}(?!-?\d)|(?<![\d-])3[47]\d{2}[ -]?\d{6}[ -]?\d{5}(?!-?\d))"
     r"|(?P<phone>(?<![\w.])(?:(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}|\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{2,4}\)[ .-]?\d{3}[ .-]?\d{3,4}|\d{3}[.-]\d{3}[.-]\d{4}|0\d{1,4}[ /-]\d{3,4}[ -]?\d{3,4})(?![\w-]))"
-    rf"|(?P<title>\b(?:{'|'.join(map(re.escape, sorted(ADDRESS, key=len, reverse=True)))})\.?[ \t]+)(?P<name>(?=[^\W\d_a-zа-яα-ω]){WORD}+(?:[ \t](?=[^\W\d_a-zа-яα-ω]){WORD}+)?)"
+    rf"|(?P<title>\b(?:{'|'.join(map(re.escape, sorted(ADDRESS, key=len, reverse=True)))})\.?[ \t]+)(?P<name>{NAME_PART}(?:[ \t]{NAME_PART}){{0,2}})"
 )
 HINT = re.compile("[0-9@=:]")
+#: What is called and not written out is no secret.
+CALL = re.compile(r"[A-Za-z_$][\w.$:]*\(")
 #: Well-known openings of a secret stay.
 PREFIX = re.compile("(?:AKIA|AIza|gh[pousr]_|xox[abprs]-|sk-|eyJ)?")
 
@@ -101,7 +111,35 @@ def address_kind(octets: tuple[int, ...]) -> int:
 
 
 def found(text: str) -> Iterator[tuple[str, str, int, int]]:
-    """kind, canonical form, start and end of every entity, in order."""
+    """kind, canonical form, start and end of every entity, in order.
+
+    A person named after a form of address is known in the whole text: by the full
+    name, and by the family name if that is no day or month.
+    """
+    first = list(_patterns(text))
+    called: dict[str, str] = {}
+    for kind, canon, start, end in first:
+        if kind == "name":
+            raw = text[start:end]
+            called.setdefault(raw, canon)
+            last = raw.replace("\t", " ").rpartition(" ")[2]
+            if last != raw and len(last) > 2 and last not in DATES:
+                called.setdefault(last, f"{canon[0]}|{last.casefold()}")
+    if not called:
+        yield from first
+        return
+    again = re.compile(rf"(?<!\w)(?:{'|'.join(map(re.escape, sorted(called, key=len, reverse=True)))})(?![\w])")
+    taken = [(a, b) for _, _, a, b in first]
+    starts = [a for a, _ in taken]
+    for m in again.finditer(text):
+        at = bisect.bisect_right(starts, m.start()) - 1
+        if (at < 0 or taken[at][1] <= m.start()) and (at + 1 == len(taken) or m.end() <= starts[at + 1]):
+            first.append(("name", called[m.group()], *m.span()))
+    yield from sorted(first, key=lambda e: e[2])
+
+
+def _patterns(text: str) -> Iterator[tuple[str, str, int, int]]:
+    """What the patterns tell by themselves."""
     if not HINT.search(text) and not any(x in text for x in ADDRESS):
         return
     for m in PATTERN.finditer(text):
@@ -111,6 +149,8 @@ def found(text: str) -> Iterator[tuple[str, str, int, int]]:
         if kind == "email":
             canon = raw.lower()
         elif kind in ("secret", "shape"):
+            if kind == "secret" and CALL.match(raw):
+                continue
             kind, canon = "secret", raw
         elif kind == "iban":
             canon = raw.replace(" ", "")
@@ -225,7 +265,7 @@ def script_of(name: str) -> str:
     return "cyrillic" if re.search("[а-яё]", name) else "greek" if re.search("[α-ωά-ώ]", name) else "latin"
 
 
-def surrogate(kind: str, canon: str, attempt: int, key: bytes = KEY) -> str:
+def surrogate(kind: str, canon: str, attempt: int, key: bytes) -> str:
     """Canonical form of an entity's surrogate; each attempt is a mapping of its own."""
     tweak, wide = f"{kind}|{attempt}", attempt // DRAWS
     if kind == "email":
@@ -272,7 +312,7 @@ def surrogate(kind: str, canon: str, attempt: int, key: bytes = KEY) -> str:
     return f"{gender}|{given_name(first, name, gender, attempt, key)} {family}" if first else f"{gender}|{family}"
 
 
-def family_name(name: str, attempt: int, key: bytes = KEY) -> str:
+def family_name(name: str, attempt: int, key: bytes) -> str:
     """A family name has one surrogate, whoever bears it."""
     script, wide = script_of(name), attempt // DRAWS
     number, end = divmod(draw(key, f"family|{attempt}|{name}", 1 << 62 + 8 * wide), len(ENDINGS[script]))
@@ -283,7 +323,7 @@ def family_name(name: str, attempt: int, key: bytes = KEY) -> str:
     return family + ENDINGS[script][end]
 
 
-def given_name(first: str, name: str, gender: str, attempt: int, key: bytes = KEY) -> str:
+def given_name(first: str, name: str, gender: str, attempt: int, key: bytes) -> str:
     """A listed given name, drawn for the whole name; with more draws a second one, then syllables as well."""
     script = script_of(first)
     number = draw(key, f"given|{attempt}|{name}", 1 << 62 + 8 * attempt)
@@ -317,7 +357,7 @@ def rendered(kind: str, new: str, raw: str) -> str:
     return new
 
 
-def replaced(text: str, others: dict[tuple[str, str], str], key: bytes = KEY) -> tuple[str, int]:
+def replaced(text: str, others: dict[tuple[str, str], str], key: bytes) -> tuple[str, int]:
     """The text with surrogates, and their number; ``others`` has those that are not an entity's first draw."""
     out, at, n = [], 0, 0
     for kind, canon, start, end in found(text):
@@ -352,7 +392,7 @@ def settled(entities: DataFrame, new: Column, real: DataFrame) -> DataFrame:
         named = saved(named.join(clash, ["scope", "canon"], "left_anti").unionByName(again))
 
 
-def assigned(entities: DataFrame, key: bytes = KEY) -> DataFrame:
+def assigned(entities: DataFrame, key: bytes) -> DataFrame:
     """kind, canon, attempt and surrogate of every distinct entity, without collisions.
 
     Names are settled without their form of address: family names among each other and clear of all
@@ -388,10 +428,24 @@ def assigned(entities: DataFrame, key: bytes = KEY) -> DataFrame:
     return others.select(F.col("scope").alias("kind"), "canon", "attempt", "surrogate").unionByName(named)
 
 
-def pseudonymised(docs: DataFrame, text_col: str = "text", key: bytes = KEY) -> DataFrame:
-    """``docs`` with entities replaced in the text column, and their number ``n_entities``."""
+def corpus_key(docs: DataFrame, entities: DataFrame) -> bytes:
+    """The key of a run without one: the setting's, else a hash of all entities.
+
+    The hash is the same for the same corpus and unknown to all who don't have it;
+    set a key to keep surrogates alike over corpora.
+    """
+    told = docs.sparkSession.conf.get(KEY_SETTING, None)
+    if told:
+        return hashlib.sha256(told.encode()).digest()
+    parts = entities.select("kind", "canon").distinct().agg(*[F.bit_xor(F.xxhash64(F.lit(i), "kind", "canon", F.md5("canon"))) for i in range(4)]).first()
+    return hashlib.sha256(repr(tuple(parts)).encode()).digest()
+
+
+def pseudonymised(docs: DataFrame, text_col: str = "text", key: bytes | None = None) -> DataFrame:
+    """``docs`` with entities replaced in the text column, and their number ``n_entities``; without a key that of ``corpus_key``."""
     rows = docs.drop("n_entities")
     spots = saved(mentions(rows, text_col))
+    key = corpus_key(docs, spots) if key is None else key
 
     @F.pandas_udf(T.StringType())
     def drawn_first(kind: pd.Series, canon: pd.Series) -> pd.Series:

@@ -87,11 +87,11 @@ CLEAN = "Version 1.2.3 of 2024-01-02, 12:30:45, page 17, 3.14159, 1,234,567 rows
 def test_every_entity_is_found_and_clean_text_left():
     kinds = [e[0] for e in pii.found(TEXT)]
     assert {k: kinds.count(k) for k in kinds} == {"email": 2, "phone": 2, "ip": 2, "card": 2, "ssn": 1, "secret": 3, "iban": 1, "name": 4}
-    assert pii.replaced(CLEAN, {}) == (CLEAN, 0)
+    assert pii.replaced(CLEAN, {}, b"k") == (CLEAN, 0)
 
 
 def test_surrogates_keep_kind_shape_and_coreference():
-    new, n = pii.replaced(TEXT, {})
+    new, n = pii.replaced(TEXT, {}, b"k")
     assert n == 17
     old, got = list(pii.found(TEXT)), list(pii.found(new))
     assert [e[0] for e in got] == [e[0] for e in old]
@@ -111,7 +111,7 @@ def test_surrogates_keep_kind_shape_and_coreference():
 
 @pytest.mark.parametrize(("kind", "values"), [("phone", [f"{a}{b:07d}" for a in (200, 911) for b in range(2000000, 2000400)]), ("ip", [f"10.0.{a}.{b}" for a in range(3) for b in range(256)]), ("email", [f"u{i}@a.org" for i in range(500)]), ("card", [f"4{i:015d}" for i in range(800)]), ("secret", [f"{i:06d}" for i in range(900)])])
 def test_different_entities_stay_different(kind, values):
-    assert len({pii.surrogate(kind, v, 0) for v in values}) == len(values)
+    assert len({pii.surrogate(kind, v, 0, b"k") for v in values}) == len(values)
 
 
 def test_permutation_is_one_to_one():
@@ -121,13 +121,13 @@ def test_permutation_is_one_to_one():
 
 def test_collisions_are_drawn_again(spark, monkeypatch):
     names = [(f"n{i}", "name", f"f|first{i} last{i}") for i in range(40)]
-    first = pii.surrogate("name", names[0][2], 0)
+    first = pii.surrogate("name", names[0][2], 0, b"k")
     rows = [(k, c) for _, k, c in names] + [("name", first), ("name", first)]
-    got = pii.assigned(spark.createDataFrame(rows, "kind string, canon string")).collect()
+    got = pii.assigned(spark.createDataFrame(rows, "kind string, canon string"), b"k").collect()
     new, old = [r["surrogate"] for r in got], {r["canon"] for r in got}
     assert len(got) == 41 and len(set(new)) == 41 and not old & set(new) and next(r["attempt"] for r in got if r["canon"] == names[0][2]) == 1
     text = f"Frau First0 Last0 met Frau {first[2:].title()}."
-    out = pii.pseudonymised(spark.createDataFrame([(1, text), (2, text), (None, "Frau First0 Last0")], "doc_id long, text string")).collect()
+    out = pii.pseudonymised(spark.createDataFrame([(1, text), (2, text), (None, "Frau First0 Last0")], "doc_id long, text string"), key=b"k").collect()
     a, b = (r["text"] for r in out if r["doc_id"])
     assert a == b and next(r["text"] for r in out if r["doc_id"] is None) in a and first[2:].title() not in a
 
@@ -138,7 +138,7 @@ def test_full_formats_and_texts_that_no_format_maps(spark):
     twins = [pii.wider("iban", "NO0012345678901", 1, b"k", "x"), "sk-abc"]
     twins[:1] = [f"{twins[0][:2]}{n:02d}{twins[0][4:]}" for n in range(100) if pii.iban_rest(f"{twins[0][:2]}{n:02d}{twins[0][4:]}") == 1]
     rows = [("secret", x) for x in hidden] + [("secret", f"*****{i}") for i in range(10)] + [("ip", x) for x in space] + [("email", "___@--.de"), ("email", "секрет@a.de"), ("phone", "5551234")] + [("iban" if len(x) > 6 else "secret", x) for x in twins]
-    got = pii.assigned(spark.createDataFrame(rows, "kind string, canon string")).collect()
+    got = pii.assigned(spark.createDataFrame(rows, "kind string, canon string"), b"k").collect()
     new = {(r["kind"], r["surrogate"]) for r in got}
     assert len(got) == len(new) == len(rows) and not new & set(rows)
     assert all(len(r["surrogate"]) == len(r["canon"]) for r in got if r["kind"] == "secret") and any(r["surrogate"].startswith("10.") for r in got)
@@ -149,7 +149,7 @@ def test_full_formats_and_texts_that_no_format_maps(spark):
 
 def test_names_under_several_forms_of_address(spark):
     canons = ["n|anna weber", "f|anna weber", "f|weber", "m|weber", "n|adler", "m|brown", *(f"m|first{i} smith" for i in range(60))]
-    got = {r["canon"]: r["surrogate"].partition("|")[2] for r in pii.assigned(spark.createDataFrame([("name", c) for c in canons], "kind string, canon string")).collect()}
+    got = {r["canon"]: r["surrogate"].partition("|")[2] for r in pii.assigned(spark.createDataFrame([("name", c) for c in canons], "kind string, canon string"), b"k").collect()}
     assert got["n|anna weber"] == got["f|anna weber"] and got["f|weber"] == got["m|weber"] == got["f|anna weber"].split()[-1]
     assert got["f|anna weber"].split()[0].title() in pii.GIVEN["latin", "f"] and len(set(got.values())) == len(canons) - 2
     assert len({got[c].split()[-1] for c in canons}) == 4
@@ -158,6 +158,59 @@ def test_names_under_several_forms_of_address(spark):
     assert a[3:].startswith(b[5:]) and a.endswith("Frau " + b.split()[-1])
 
 
+@pytest.mark.parametrize(("text", "left"), [
+    ("Mr John-Paul Smith", "John Paul Smith"), ("Dr. O'Neill came", "O' Neill"), ("Mr al-Fayed", "al- Fayed"), ("Frau Anna von der Heide", "Anna von Heide"), ("Mme D’Arcy-Blanc", "Arcy Blanc"),
+    ("Dr Anna Weber and Anna Weber met. Weber left; Webern stayed.", "Anna Weber"), ("Prof Ada Mary King-Noel", "Ada Mary King Noel"), ("ssn 123 45 6789 x", "123 6789")])
+def test_whole_names_go(text, left):
+    new, n = pii.replaced(text, {}, b"k")
+    assert n and not any(re.search(rf"(?<!\w){re.escape(x)}(?!\w)", new) for x in left.split()), new
+
+
+def test_calls_and_dates_stay():
+    for text in ("token = next_token()", "password = getpass.getpass(prompt)", "secret: os.environ.get(x)"):
+        assert pii.replaced(text, {}, b"k") == (text, 0)
+    new, _ = pii.replaced("Mr Tom May came in May; Mr Tom May left.", {}, b"k")
+    assert "came in May;" in new and "Tom" not in new
+
+
+def test_whole_operator_against_plain_python(spark):
+    """Some hundred documents: no original is left, equal entities stay equal and different ones different in the whole corpus, all else stays."""
+    rng = random.Random(7)
+    names = [f"{t} {f} {x}" for t in ("Mr", "Frau", "Dr") for f in ("Anna", "John-Paul", "Ada") for x in ("Weber", "O'Neill", "von Ark", "Smith")]
+    others = [f"user{i}@host{i % 7}.org" for i in range(60)] + [f"555-{i:03d}-{7000 + i}" for i in range(200, 260)] + [f"10.0.{i}.{i + 1}" for i in range(60)] + [f"api_key={i:08x}deadbeef{i:04x}" for i in range(60)]
+    texts = [[rng.choice(names + others) if rng.random() < 0.5 else rng.choice(["plain words here", "page 17 of 30", "x = y"]) for _ in range(rng.randint(1, 12))] for _ in range(300)]
+    docs = spark.createDataFrame([(i, "; ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"].split("; ") for r in pii.pseudonymised(docs, key=b"secret").collect()}
+    seen = {}
+    for i, parts in enumerate(texts):
+        for old, new in zip(parts, got[i], strict=True):
+            if old in names or old in others:
+                assert seen.setdefault(old, new) == new and old != new and not any(w in new for w in ("Weber", "Neill", "Ark", "Smith"))
+            else:
+                assert old == new
+    people = {}
+    for old, new in seen.items():
+        if old in names:
+            people.setdefault(old.split(" ", 1)[1], set()).add(new.split(" ", 1)[1])
+    assert all(len(x) == 1 for x in people.values()) and len({min(x) for x in people.values()}) == len(people)
+    rest = [v for k, v in seen.items() if k in others]
+    assert len(set(rest)) == len(rest) and not set(rest) & set(others)
+    again = {r["doc_id"]: r["text"].split("; ") for r in pii.pseudonymised(docs, key=b"other").collect()}
+    assert got != again
+
+
+def test_key_of_a_run(spark):
+    docs = spark.createDataFrame([(1, "call 386-555-3733")], "doc_id long, text string")
+    more = spark.createDataFrame([(1, "call 386-555-3733"), (2, "call 386-555-3734")], "doc_id long, text string")
+    text = lambda d: d.where("doc_id = 1").first()["text"]
+    assert text(pii.pseudonymised(docs)) == text(pii.pseudonymised(docs)) != text(pii.pseudonymised(more))
+    spark.conf.set(pii.KEY_SETTING, "mine")
+    try:
+        assert text(pii.pseudonymised(docs)) == text(pii.pseudonymised(more))
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
+
+
 def test_surrogates_of_odd_texts(odd, none):
     got = pii.pseudonymised(odd)
     assert sorted(map(tuple, got.select(*odd.columns).collect()), key=repr) == sorted(map(tuple, odd.collect()), key=repr)
