@@ -14,7 +14,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from dirwise.operators.aggregates import field_confidence
 from dirwise.operators.ranking import latest
@@ -107,28 +107,52 @@ def _let_through(times, last: int | None, gap: int) -> tuple[list[int], int | No
     return out, last
 
 
-def _emit_due(days: int):
-    gap = days * 86_400_000_000
+class _Due(StatefulProcessor):
+    """Lets an entity's events through in order of time, once the watermark has passed them.
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, waiting = (state.get[0], set(state.get[1])) if state.exists else (None, set())
-        for b in batches:
-            waiting.update(b["seen_at"].astype("datetime64[us]").astype("int64").tolist())
-        mark = state.getCurrentWatermarkMs()
-        ready = sorted(t for t in waiting if t // 1000 <= mark)
-        waiting.difference_update(ready)
-        out, last = _let_through(ready, last, gap)
-        if waiting:
-            state.update((last, sorted(waiting)))
-            state.setTimeoutTimestamp(max(min(waiting) // 1000 - 1, mark + 1))
-        elif last is not None and (last + gap) // 1000 > mark:
-            state.update((last, []))
-            state.setTimeoutTimestamp(max((last + gap) // 1000, mark + 1))
-        elif state.exists:
-            state.remove()  # the window is over: the next event is let through whatever came before
-        yield pd.DataFrame({"id": [key[0]] * len(out), "seen_at": pd.Series(out, dtype="int64").astype("datetime64[us]")})
-
-    return step
+    Waiting events lie in a map by millisecond, each millisecond with a timer of its
+    own, so a batch touches only the entries it brings or takes. The time last let
+    through goes with a timer at the end of its window.
+    """
+
+    def __init__(self, days: int):
+        self.gap = days * 86_400_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "ms bigint", "us array<bigint>")
+        self.last = handle.getValueState("last", "us bigint")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        new: dict[int, set[int]] = {}
+        for b in rows:
+            for t in b["seen_at"].astype("datetime64[us]").astype("int64").tolist():
+                new.setdefault(t // 1000, set()).add(t)
+        for ms, times in new.items():
+            if self.waiting.containsKey((ms,)):
+                times |= set(self.waiting.getValue((ms,))[0])
+            else:
+                self.handle.registerTimer(ms)
+            self.waiting.updateValue((ms,), (sorted(times),))
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        ms = expiredTimerInfo.getExpiryTimeInMs()
+        last = self.last.get()[0] if self.last.exists() else None
+        if self.waiting.containsKey((ms,)):
+            out, now = _let_through(self.waiting.getValue((ms,))[0], last, self.gap)
+            self.waiting.removeKey((ms,))
+            if now != last:
+                self.last.update((now,))
+                self.handle.registerTimer((now + self.gap) // 1000 + 1)
+                last = now
+            if out:
+                yield pd.DataFrame({"id": [key[0]] * len(out), "seen_at": pd.Series(out, dtype="int64").astype("datetime64[us]")})
+        if last is not None and (last + self.gap) // 1000 < ms:
+            self.last.clear()  # the window is over: the next event is let through whatever came before
+
+    def close(self) -> None:
+        pass
 
 
 def due_feed(events: DataFrame, days: int = 10, late: str = "1 day") -> DataFrame:
@@ -136,11 +160,12 @@ def due_feed(events: DataFrame, days: int = 10, late: str = "1 day") -> DataFram
 
     Events wait in the state until the watermark has passed them and are then
     taken in order of time, so any order of arrival within ``late`` gives what
-    ``due_batch`` gives; events that come later are dropped. An entity's state
-    holds its waiting events and one time, and goes when its window is over.
+    ``due_batch`` gives; events that come later are dropped. State lies in RocksDB,
+    which this session's streams use from here on.
     """
-    return events.select("id", "seen_at").withWatermark("seen_at", late).groupBy("id").applyInPandasWithState(
-        _emit_due(days), "id string, seen_at timestamp", "last_us bigint, waiting array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    grouped = events.select("id", "seen_at").withWatermark("seen_at", late).groupBy("id")
+    return grouped.transformWithStateInPandas(_Due(days), "id string, seen_at timestamp", "Append", "eventtime")
 
 
 def due_batch(events: DataFrame, days: int = 10) -> DataFrame:
