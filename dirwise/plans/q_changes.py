@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from dirwise.operators import changes, merge
@@ -9,6 +11,8 @@ from dirwise.operators import ranking
 from dirwise.plans.fixtures import CTES, entities, table, view
 from dirwise.plans.q_directory import D_CURRENT_VOTES, SCHOOL, schools
 from dirwise.plans.registry import query
+from dirwise.session import shared_dir
+from dirwise.sources.buckets import BucketedSnapshot
 
 
 
@@ -33,6 +37,17 @@ def upserted(spark, sf):
     return changes.upsert(*_base_delta(spark, sf), order=["turn"]).drop("turn")
 
 
+@query("ups01_bucketed_upsert", f"WITH d AS ({_DELTA}) SELECT id, name, phone, la FROM entity WHERE id NOT IN (SELECT id FROM d) UNION ALL SELECT id, name, phone, NULL FROM d", uses=("entity",))
+def bucketed_upsert(spark, sf):
+    """The same upsert into a bucketed table, by appending the changed rows to their buckets."""
+    base, delta = _base_delta(spark, sf)
+    name = f"upserts_{uuid.uuid4().hex}"
+    snap = BucketedSnapshot(spark, name, f"{shared_dir(spark).rstrip('/')}/{name}", ["id"], ["turn"])
+    snap.take(base.withColumn("turn", F.lit(0)))
+    snap.take(delta)
+    return snap.snapshot().drop("turn")
+
+
 @query("ups02_patched", f"WITH d AS ({_DELTA}) SELECT e.id, coalesce(d.name, e.name) AS name, CASE WHEN d.id IS NULL THEN e.phone ELSE d.phone END AS phone, la FROM entity e LEFT JOIN d USING (id)", uses=("entity",))
 def patched(spark, sf):
     return changes.patch(*_base_delta(spark, sf), order=["turn"])

@@ -12,6 +12,7 @@ from dirwise.plans.registry import query
 from dirwise.session import shared_dir
 from dirwise import schemas
 from dirwise.sources import readers, writers
+from dirwise.sources.buckets import BucketedSnapshot
 from dirwise.streaming import feeds
 
 
@@ -35,6 +36,17 @@ def vote_feed(spark, sf):
     return snap.select("userId", "schoolId", "fieldName", F.when(F.col("vote") > 0, 1).otherwise(-1).alias("vote"))
 
 
+@query("str01_bucketed_votes", f"""SELECT userId AS "userId", schoolId AS "schoolId", fieldName AS "fieldName", CASE WHEN vote > 0 THEN 1 ELSE -1 END AS vote FROM {D_CURRENT_VOTES}""", uses=("votes",))
+def bucketed_votes(spark, sf):
+    """The vote stream into a bucketed table: each batch adds to the buckets it meets."""
+    name = f"votes_{uuid.uuid4().hex}"
+    snap = BucketedSnapshot(spark, name, _folder(spark, "votes-table"), feeds.VOTE_KEYS, ["votedAt", "event_id"], buckets=8)
+    stream = _as_stream(view(spark, sf, "votes"), spark, "votes-in")
+    q = stream.writeStream.foreachBatch(lambda rows, batch: snap.take(rows)).option("checkpointLocation", _folder(spark, "cp")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return snap.snapshot().filter("vote <> 0").select("userId", "schoolId", "fieldName", F.when(F.col("vote") > 0, 1).otherwise(-1).alias("vote"))
+
+
 @query("str03_change_feed", """SELECT schoolId AS "schoolId", max(id) AS id, arg_max(newState, id) AS "newState" FROM audit GROUP BY 1""", uses=("audit",))
 def change_feed(spark, sf):
     feed = feeds.change_feed(_folder(spark, "changes"))
