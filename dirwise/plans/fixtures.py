@@ -146,7 +146,7 @@ FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN part ON p_partkey =
 
 # Votes, reports and reviews drawn from the event table.
 VOTES = """
-SELECT event_id, user_id AS userId, concat('e', lpad(cast((event_id * 7) % 1000 AS STRING), 9, '0')) AS schoolId,
+SELECT event_id, user_id AS userId, concat('e', lpad(cast((event_id * 7) % (SELECT count(*) FROM customer) AS STRING), 9, '0')) AS schoolId,
   CASE event_type WHEN 'click' THEN 'website' WHEN 'view' THEN 'phone' WHEN 'purchase' THEN 'examDate'
        WHEN 'error' THEN 'feesTermly' ELSE 'gender' END AS fieldName,
   CASE WHEN event_id % 13 = 0 THEN 0 WHEN value > 20 THEN 3 WHEN value > 5 THEN 1 ELSE -1 END AS vote,
@@ -155,7 +155,7 @@ FROM events
 """
 
 REPORTS = """
-SELECT event_id, user_id AS userId, concat('e', lpad(cast((event_id * 3) % 900 AS STRING), 9, '0')) AS schoolId,
+SELECT event_id, user_id AS userId, concat('e', lpad(cast((event_id * 3) % (SELECT count(*) FROM customer) AS STRING), 9, '0')) AS schoolId,
   CASE event_type WHEN 'click' THEN 'website' WHEN 'view' THEN 'phone' WHEN 'purchase' THEN 'address'
        WHEN 'error' THEN 'feesTermly' ELSE 'gender' END AS fieldName,
   CASE WHEN value > 12 THEN 'down' ELSE 'up' END AS status,
@@ -176,7 +176,7 @@ AUDIT = """
 SELECT event_id AS id, CASE event_type WHEN 'click' THEN 'EDIT' WHEN 'view' THEN 'VERIFY' WHEN 'purchase' THEN 'MERGE'
          WHEN 'error' THEN 'CRAWL' ELSE 'BULK' END AS actionType,
   concat('b', cast(event_id % 40 AS STRING)) AS batchId,
-  concat('e', lpad(cast((event_id * 11) % 1200 AS STRING), 9, '0')) AS schoolId,
+  concat('e', lpad(cast((event_id * 11) % (SELECT count(*) FROM customer) AS STRING), 9, '0')) AS schoolId,
   concat('{"phone":"p', cast(event_id % 7 AS STRING), '","website":"w', cast(event_id % 3 AS STRING), '","gender":"Mixed"}') AS previousState,
   CASE WHEN event_id % 4 = 0 THEN concat('{"phone":"p', cast(event_id % 7 AS STRING), '","website":"w', cast(event_id % 3 AS STRING), '","gender":"Mixed"}')
        ELSE concat('{"phone":"p', cast((event_id + 1) % 7 AS STRING), '","website":"w', cast(event_id % 3 AS STRING), '","gender":"Mixed","note":"n', cast(event_id % 5 AS STRING), '"}') END AS newState,
@@ -205,7 +205,7 @@ CTES = {"entity": ENTITY, "register": REGISTER, "votes": VOTES, "reports": REPOR
 _NEEDS = {
     "entity": ("customer", "part", "nation", "region"),
     "register": ("supplier", "nation", "part"),
-    "votes": ("events",), "reports": ("events",), "reviews": ("labels",), "audit": ("events",),
+    "votes": ("events", "customer"), "reports": ("events", "customer"), "reviews": ("labels",), "audit": ("events", "customer"),
     "coords": ("customer",),
 }
 
