@@ -156,23 +156,26 @@ def register_file(spark, sf):
     return readers.register_records(readers.register_by_position(spark, path)).select("urn", "name", "la", "postcode", "gender", "ageRange", "admissionsPolicy", "active")
 
 
-@query("src05_rule_file", """SELECT n_nationkey AS ordinal, n_name AS id, r_name AS word FROM nation JOIN region ON r_regionkey = n_regionkey""")
+@query("src05_rule_file", """SELECT c_name AS id, c_mktsegment AS word, true AS placed FROM customer""")
 def rule_file(spark, sf):
+    """Rule files of one rule per customer, written and read in many tasks; every rule has a place of its own in its file."""
     from dirwise.plans.fixtures import table
 
     path = _folder(spark, "rules")
-    n = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("r_regionkey") == F.col("n_regionkey"))
-    one = F.struct(F.col("n_nationkey").alias("k"), F.struct(F.col("n_name").alias("id"), F.array("r_name").alias("schoolKeywords")).alias("r"))
-    n.agg(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["r"]).alias("state_consortia")).coalesce(1).write.json(path)
-    return readers.rule_table(spark, path).select(F.col("ordinal").cast("int").alias("ordinal"), "id", F.col("schoolKeywords")[0].alias("word"))
+    rules = table(spark, sf, "customer").select(F.col("c_name").alias("id"), F.concat(F.lit('say "}{" \\\\ '), "c_name").alias("name"), F.array("c_mktsegment").alias("schoolKeywords"))
+    writers.write_json_document(rules.repartition(5), path, part="state_consortia")
+    back = readers.rule_table(spark, path)
+    held = back.groupBy("file").agg(F.count("*").alias("n"), F.count_distinct("ordinal").alias("d"), F.max("ordinal").alias("m"))
+    placed = (F.col("n") == F.col("d")) & (F.col("m") == F.col("n") - 1) & (F.col("name") == F.concat(F.lit('say "}{" \\\\ '), "id"))
+    return back.join(held, "file").select("id", F.col("schoolKeywords")[0].alias("word"), placed.alias("placed"))
 
 
-@query("src06_district_map", """SELECT outcode, min(easting) AS easting, min(northing) AS northing, count(*) AS n FROM coords GROUP BY 1""", uses=("coords",))
+@query("src06_district_map", """SELECT postcode AS outcode, min(easting) AS easting, min(northing) AS northing, count(*) AS n FROM coords GROUP BY 1""", uses=("coords",))
 def district_map(spark, sf):
+    """One entry per postcode, written and read in many tasks."""
     path = _folder(spark, "districts")
-    d = view(spark, sf, "coords").groupBy("outcode").agg(F.min("easting").alias("easting"), F.min("northing").alias("northing"), F.count("*").cast("string").alias("district"))
-    entry = F.struct("outcode", F.struct("outcode", "easting", "northing", "district"))
-    d.agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("value")).coalesce(1).write.text(path)  # one entry per district
+    d = view(spark, sf, "coords").groupBy("postcode").agg(F.min("easting").alias("easting"), F.min("northing").alias("northing"), F.count("*").cast("string").alias("district"))
+    writers.write_json_document(d, path, key="postcode")
     back = readers.outcode_map(spark, path)
     return back.select("outcode", F.col("easting").cast("bigint").alias("easting"), F.col("northing").cast("bigint").alias("northing"), F.col("district").cast("bigint").alias("n"))
 

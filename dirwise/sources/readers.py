@@ -10,7 +10,8 @@ from dirwise import schemas
 from dirwise.functions.names import join_address, region_of, register_type
 from dirwise.functions.values import filled, lenient_float, or_null, round_half_up, text, trim_all
 from dirwise.operators.records import hydrate
-
+from dirwise.session import saved
+from dirwise.sources.json_entries import json_entries
 
 
 def directory(spark: SparkSession, path: str, fmt: str = "parquet", schema=None) -> DataFrame:
@@ -55,31 +56,32 @@ def register_records(rows: DataFrame) -> DataFrame:
         F.coalesce(or_null("ADMPOL"), F.lit("Non-selective")).alias("admissionsPolicy"), (~closed).alias("active"))
 
 
-def rules(spark: SparkSession, path: str) -> tuple[list[dict], list[dict]]:
-    """(state rules, independent rules) of an edited rule file; a missing file has no rules."""
-    from pyspark.errors import AnalysisException
-
-    try:
-        m = spark.read.schema(schemas.RULE_MATRIX).json(path, multiLine=True)
-    except AnalysisException:
-        return [], []
+def _present(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
-    def one(c: str) -> list[dict]:
-        rows = m.select(F.posexplode(c).alias("pos", "r")).orderBy("pos").select("r.*").collect()  # a file edited by hand
-        return [r.asDict(recursive=True) for r in rows]
 
+def rules(spark: SparkSession, path: str) -> tuple[list[dict], list[dict]]:
+    """(state rules, independent rules) of a rule file edited by hand, as lists; a missing file has no rules. Large files: ``rule_table``."""
+    if not _present(spark, path):
+        return [], []
+    one = lambda part: [r.asDict(recursive=True) for r in rule_table(spark, path, part).orderBy("ordinal").drop("file", "ordinal").collect()]
     return one("state_consortia"), one("independent_consortia")
 
 
 def rule_table(spark: SparkSession, path: str, part: str = "state_consortia") -> DataFrame:
-    """(ordinal, rule columns) of a rule file of any size."""
-    m = spark.read.schema(schemas.RULE_MATRIX).json(path, multiLine=True)
-    return m.select(F.posexplode(part).alias("ordinal", "r")).select("ordinal", "r.*")
+    """(file, ordinal, rule columns) of the entries of one part of rule files, of any size and number."""
+    every = json_entries(spark, path)
+    begins = saved(every.select("file", "ordinal", F.regexp_extract("before", r'"([^"]*)"\s*:\s*\[\s*$', 1).alias("part")).where("part <> ''"))
+    ours = begins.where(F.col("part") == part).select("file", F.col("ordinal").alias("first"))
+    after = begins.select("file", F.col("ordinal").alias("next")).join(ours, "file").where("next > first").groupBy("file").agg(F.min("next").alias("stop"))
+    spans = ours.join(after, "file", "left")
+    inside = every.join(spans, "file").where((F.col("ordinal") >= F.col("first")) & (F.col("stop").isNull() | (F.col("ordinal") < F.col("stop"))))
+    return inside.select("file", (F.col("ordinal") - F.col("first")).alias("ordinal"), F.from_json("value", schemas.RULE).alias("r")).select("file", "ordinal", "r.*")
 
 
 def outcode_map(spark: SparkSession, path: str) -> DataFrame:
-    """District coordinates from a JSON object keyed by district."""
-    fields = "outcode string, lat double, lon double, easting double, northing double, district string"
-    text_rows = spark.read.text(path, wholetext=True)
-    m = text_rows.select(F.from_json("value", f"map<string, struct<{fields.replace(' string', ':string').replace(' double', ':double')}>>").alias("m"))
-    return m.select(F.explode("m").alias("key", "v")).select(F.coalesce("v.outcode", "key").alias("outcode"), "v.lat", "v.lon", "v.easting", "v.northing", "v.district")
+    """District coordinates from JSON objects keyed by district, of any size."""
+    key = F.regexp_extract("before", r'"((?:[^"\\]++|\\.)*+)"\s*:\s*$', 1)
+    rows = json_entries(spark, path).select(key.alias("key"), F.from_json("value", schemas.COORDS).alias("v"))
+    return rows.select(F.coalesce("v.outcode", "key").alias("outcode"), "v.lat", "v.lon", "v.easting", "v.northing", "v.district")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -109,3 +110,25 @@ def read_scan(spark: SparkSession, root: str, scan_type: str) -> DataFrame | Non
 
 def write_lookup(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
+
+
+def write_json_document(rows: DataFrame, path: str, key: str | None = None, part: str | None = None) -> None:
+    """One JSON document per task: an object of the rows by ``key``, or an object with their array under ``part``."""
+    value = F.to_json(F.struct(*[c for c in rows.columns if c != key]))
+    if key:
+        framed_key = F.to_json(F.struct(F.col(key).cast("string").alias("k")))  # {"k":"..."}
+        value = F.concat(F.substring(framed_key, F.lit(6), F.length(framed_key) - 6), F.lit(": "), value)
+    lines = rows.select(value.alias("value"))
+    first, last = ("{", "}") if part is None else (f'{{"{part}": [', "]}")
+
+    def framed(batches):
+        begun = False
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            out = [f",{t}" if begun or i else f"{first}{t}" for i, t in enumerate(texts)]
+            begun = begun or bool(texts)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
+        if begun:
+            yield pa.RecordBatch.from_arrays([pa.array([last])], ["value"])
+
+    lines.mapInArrow(framed, "value string").write.text(path)
