@@ -286,6 +286,12 @@ def system_votes(spark, sf):
     return changes.votes_for(ch, "system_quality_auto", 1, now()).select("userId", "schoolId", "fieldName", "vote")
 
 
+@query("ups19_system_reviews", """SELECT id AS "schoolId", unnest(CASE WHEN k % 3 = 0 THEN ['website', 'phone'] ELSE ['la'] END) AS "fieldName", 'system' AS "reviewedBy" FROM entity WHERE k % 8 = 1""", uses=("entity",))
+def system_reviews(spark, sf):
+    fields = F.when(F.col("k") % 3 == 0, F.array(F.lit("website"), F.lit("phone"))).otherwise(F.array(F.lit("la")))
+    return changes.reviews_for(view(spark, sf, "entity").filter("k % 8 = 1").withColumn("fields", fields), "system", now()).drop("reviewedAt")
+
+
 @query("ups21_promoted_reports", """WITH r AS (SELECT schoolId, fieldName, arg_max(customValue, (reportedAt, event_id)) AS v FROM reports WHERE status = 'down' AND customValue <> '' AND fieldName IN ('phone', 'website') GROUP BY 1, 2)
 SELECT e.id, coalesce(p.v, e.phone) AS phone, coalesce(w.v, e.website) AS website FROM entity e LEFT JOIN r p ON p.schoolId = e.id AND p.fieldName = 'phone' LEFT JOIN r w ON w.schoolId = e.id AND w.fieldName = 'website'""", uses=("entity", "reports"))
 def promoted_reports(spark, sf):

@@ -99,6 +99,17 @@ def rendered_texts(spark, sf):
     return s.select("id", records.render(s, "{{SCHOOL_NAME}} / {{urn}} / {{postcode}} / {{School_Type}} / {{region}}").alias("line"))
 
 
+@query("prj06_search_phrases", """
+WITH d AS (SELECT *, '"' || name || '"' AS q, CASE WHEN website IN ('', 'N/A', 'null', 'Unknown') THEN '' ELSE lower(regexp_extract(website, '^(?:https?://)?(?:www\\.)?([^/?#:]*)', 1, 'i')) END AS host FROM school)
+SELECT id, 1 AS pos, trim(q || ' admissions "11+" OR "Year 7" key dates 2026 2027 ' || postcode) AS phrase FROM d
+UNION ALL SELECT id, 3, q || ' termly fees tuition 2025 2026 2027' FROM d
+UNION ALL SELECT id, 4, CASE WHEN host <> '' THEN 'site:' || host || ' admissions OR "key dates" OR "entry 2026"' ELSE q || ' official prospectus admissions' END FROM d
+UNION ALL SELECT id, 5, CASE WHEN urn NOT IN ('', 'N/A') THEN q || ' DfE GIAS URN ' || urn || ' gender age range' ELSE q || ' DfE GIAS school gender age range' END FROM d""", uses=SCHOOL)
+def search_phrases(spark, sf):
+    s = schools(spark, sf)
+    return s.select("id", F.posexplode(records.search_phrases(s)).alias("pos", "phrase")).select("id", (F.col("pos") + 1).alias("pos"), "phrase").where("pos <> 2")
+
+
 @query("prj07_compact_reports", """SELECT id, previousState ->> 'phone' AS phone, previousState ->> 'gender' AS gender FROM audit""", uses=("audit",))
 def compact_reports(spark, sf):
     log = view(spark, sf, "audit")
@@ -294,6 +305,12 @@ def tag_counts(spark, sf):
     return agg.tag_counts(schools(spark, sf))
 
 
+@query("agg16_scan_outcomes", f"""SELECT count(*) FILTER ({d_tags('auto_verified', 'llm_enriched')}) AS verified, count(*) FILTER (len(tags) > 1) AS anomalies,
+ count(*) FILTER ({d_tags('missing_website', 'dead_website')}) AS missing_websites, count(*) FILTER ({d_tags('auto_verification_data_missing')}) AS data_missing, count(*) FILTER ({d_tags('crawl_stuck')}) AS stuck FROM school""", uses=SCHOOL)
+def scan_outcomes(spark, sf):
+    return agg.scan_outcomes(schools(spark, sf), F.size("verification_tags") > 1)
+
+
 @query("agg17_dictionary", "SELECT schoolId AS code, row_number() OVER (ORDER BY schoolId) AS code_id FROM (SELECT DISTINCT schoolId FROM audit)", uses=("audit",))
 def code_dictionary(spark, sf):
     return ranking.dictionary(view(spark, sf, "audit"), "schoolId")

@@ -250,9 +250,13 @@ def imported_directory(spark, sf):
     return changes.insert_new(e.select("id", F.trim("name").alias("name"), "la", "gender"), fresh.select("id", "name", "la", "gender"))
 
 
-@query("agg18_copied_tables", """SELECT 'customer' AS "table", count(*) AS before, count(*) AS after, true AS same FROM customer UNION ALL SELECT 'events', count(*), count(*), true FROM events""")
+@query("agg18_copied_tables", """SELECT 'customer' AS "table", count(*) AS before, count(*) AS after, true AS same FROM customer
+ UNION ALL SELECT 'events', count(*), count(*) FILTER (event_id % 5 <> 0), count(*) = count(*) FILTER (event_id % 5 <> 0) FROM events
+ UNION ALL SELECT 'orders', count(*), 2 * count(*), false FROM orders""")
 def copied_tables(spark, sf):
     from dirwise.session import saved
 
-    t = {n: table(spark, sf, n) for n in ("customer", "events")}
-    return agg.same_row_counts(t, {n: saved(df) for n, df in t.items()})
+    t = {n: table(spark, sf, n) for n in ("customer", "events", "orders")}
+    # a whole copy, one that lost rows, and one that was taken twice
+    copies = {"customer": t["customer"], "events": t["events"].filter("event_id % 5 <> 0"), "orders": t["orders"].unionAll(t["orders"])}
+    return agg.same_row_counts(t, {n: saved(df) for n, df in copies.items()})

@@ -52,6 +52,14 @@ def moved_dates(spark, sf):
     return quality.roll_dates(entities(spark, sf))[1]
 
 
+@query("dq25_dropped_reviews", """SELECT r.schoolId AS "schoolId", r.fieldName AS "fieldName", r.reviewedBy AS "reviewedBy" FROM reviews r
+ WHERE NOT EXISTS (SELECT 1 FROM entity e WHERE e.id = r.schoolId AND ((e.k % 2 = 0 AND r.fieldName = 'website') OR (e.k % 3 = 0 AND r.fieldName = 'phone')))""", uses=("entity", "reviews"))
+def dropped_reviews(spark, sf):
+    k = F.col("k")
+    fields = F.array_compact(F.array(F.when(k % 2 == 0, F.lit("website")), F.when(k % 3 == 0, F.lit("phone"))))
+    return quality.drop_reviews(view(spark, sf, "reviews"), view(spark, sf, "entity").withColumn("fields", fields)).select("schoolId", "fieldName", "reviewedBy")
+
+
 @query("dq21_cleared_test_rows", """
 WITH e AS (SELECT id, k, CASE WHEN k % 40 = 3 THEN name || ' Test' WHEN k % 40 = 4 THEN 'Ingatestone Test Hall' ELSE name END AS name, CASE WHEN k % 50 = 6 THEN 'http://testschool.org' ELSE coalesce(website, '') END AS website,
    CASE WHEN k % 60 = 1 THEN '999999' ELSE coalesce(urn, '') END AS urn, verification_status FROM entity WHERE k % 70 <> 5)
