@@ -23,6 +23,13 @@ class MergeTable:
         order = np.argsort(keys, kind="stable")
         self.base = base
         self.keys, self.rank, self.product = keys[order], rank[order].astype(np.int64), product[order].astype(np.int64)
+        # where each rank has one product, that is looked up by rank; where all pairs of a symbol come after those that make it, no merge upsets a round
+        by_rank = np.full(int(rank.max()) + 1, -1)
+        by_rank[rank] = product
+        self.by_rank = by_rank if (by_rank[rank] == product).all() else None
+        made = np.full(base, -1)
+        np.maximum.at(made, product, rank)
+        self.ordered = bool((rank > np.maximum(made[left], made[right])).all())
 
     def find(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Row of the table and rank of each pair; pairs that aren't in it have ``NO_RANK``."""
@@ -36,39 +43,48 @@ class MergeTable:
         Every round merges, in all words at once, the places of each word's lowest rank.
         """
         word = np.repeat(np.arange(sizes.size), sizes)
-        item, rank = np.zeros(sym.size, np.int64), np.full(sym.size, NO_RANK)
+        by_rank = self.by_rank
+        rank = np.full(sym.size, NO_RANK)
+        item = np.zeros(sym.size if by_rank is None else 0, np.int64)
         stale = np.flatnonzero(word[1:] == word[:-1])
         done_word, done_sym = [], []
         whole = (sym, sizes.cumsum() - sizes)
         odd: set[int] = set()
         lead = np.full(sizes.size, -1, np.int64)  # the rank a word merged last, where more than one place had it
         while sym.size:
-            item[stale], rank[stale] = self.find(sym[stale], sym[stale + 1])
-            clash = stale[rank[stale] <= lead[word[stale]]]
-            odd.update(word[clash].tolist())
+            at, rank[stale] = self.find(sym[stale], sym[stale + 1])
+            if by_rank is None:
+                item[stale] = at
+            if not self.ordered:
+                odd.update(word[stale[rank[stale] <= lead[word[stale]]]].tolist())
             first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
             best = np.repeat(np.minimum.reduceat(rank, first), np.diff(np.r_[first, word.size]))
             live = best != NO_RANK
             done_word.append(word[~live])
             done_sym.append(sym[~live])
-            sym, word, item, rank, best = sym[live], word[live], item[live], rank[live], best[live]
+            sym, word, rank, best = sym[live], word[live], rank[live], best[live]
+            item = item[live] if by_rank is None else item
             place = np.flatnonzero(rank == best)
             if not place.size:
                 break
             run = np.r_[True, np.diff(place) != 1]  # places that follow each other overlap: every second one merges
             place = place[(place - place[run][np.cumsum(run) - 1]) % 2 == 0]
-            close = place[:-1][np.diff(place) == 2]  # merged beside the next merged place: the pair in between must not come first
-            close = close[word[close] == word[close + 2]]
-            between = self.find(self.product[item[close]], sym[close + 2])[1]
-            odd.update(word[close[between <= rank[close]]].tolist())
-            lead[:] = -1
-            again = np.flatnonzero(word[place][1:] == word[place][:-1])
-            lead[word[place][again]] = rank[place][again]
-            sym[place] = self.product[item[place]]
+            product = self.product[item[place]] if by_rank is None else by_rank[rank[place]]
+            if not self.ordered:
+                # merged beside the next merged place: the pair in between must not come first
+                near = np.flatnonzero(np.diff(place) == 2)
+                near = near[word[place[near]] == word[place[near] + 2]]
+                between = self.find(product[near], sym[place[near] + 2])[1]
+                odd.update(word[place[near[between <= rank[place[near]]]]].tolist())
+                lead[:] = -1
+                again = np.flatnonzero(word[place][1:] == word[place][:-1])
+                lead[word[place][again]] = rank[place][again]
+            sym[place] = product
             keep, new = np.ones(sym.size, bool), np.zeros(sym.size, bool)
             keep[place + 1] = False
             new[place] = True
-            sym, word, item, rank, new = sym[keep], word[keep], item[keep], rank[keep], new[keep]
+            sym, word, rank, new = sym[keep], word[keep], rank[keep], new[keep]
+            item = item[keep] if by_rank is None else item
             new[:-1] |= new[1:]  # the pairs that a merged symbol ends or begins
             rank[new] = NO_RANK
             stale = np.flatnonzero(new[:-1] & (word[1:] == word[:-1]))
