@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -110,9 +111,10 @@ def _let_through(times, last: int | None, gap: int) -> tuple[list[int], int | No
 class _Due(StatefulProcessor):
     """Lets an entity's events through in order of time, once the watermark has passed them.
 
-    Waiting events lie in a map by millisecond, each millisecond with a timer of its
-    own, so a batch touches only the entries it brings or takes. The time last let
-    through goes with a timer at the end of its window.
+    Waiting events lie in a map by window of ``days``, the times of a window together,
+    with one timer at the first of them: a batch touches only the windows that it brings
+    events of or the watermark has reached, whatever the number of their events. The
+    time last let through goes with a timer at the end of its window.
     """
 
     def __init__(self, days: int):
@@ -120,28 +122,37 @@ class _Due(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "ms bigint", "us array<bigint>")
+        self.waiting = handle.getMapState("waiting", "slot bigint", "us binary")
         self.last = handle.getValueState("last", "us bigint")
 
+    def _times(self, slot: int) -> np.ndarray:
+        """The waiting times of a window, in order."""
+        return np.frombuffer(bytes(self.waiting.getValue((slot,))[0]), "<i8") if self.waiting.containsKey((slot,)) else np.empty(0, "<i8")
+
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        new: dict[int, set[int]] = {}
-        for b in rows:
-            for t in b["seen_at"].astype("datetime64[us]").astype("int64").tolist():
-                new.setdefault(t // 1000, set()).add(t)
-        for ms, times in new.items():
-            if self.waiting.containsKey((ms,)):
-                times |= set(self.waiting.getValue((ms,))[0])
-            else:
-                self.handle.registerTimer(ms)
-            self.waiting.updateValue((ms,), (sorted(times),))
+        new = np.unique(np.concatenate([b["seen_at"].astype("datetime64[us]").astype("int64").to_numpy() for b in rows]))
+        slots = new // self.gap
+        for slot in np.unique(slots).tolist():
+            had = self._times(slot)
+            times = np.union1d(had, new[slots == slot])
+            if not had.size or times[0] // 1000 < had[0] // 1000:
+                self.handle.registerTimer(int(times[0]) // 1000)
+            self.waiting.updateValue((slot,), (times.tobytes(),))
         return iter(())
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
         ms = expiredTimerInfo.getExpiryTimeInMs()
         last = self.last.get()[0] if self.last.exists() else None
-        if self.waiting.containsKey((ms,)):
-            out, now = _let_through(self.waiting.getValue((ms,))[0], last, self.gap)
-            self.waiting.removeKey((ms,))
+        slot = ms * 1000 // self.gap
+        times = self._times(slot)
+        if times.size and times[0] // 1000 <= ms:
+            ready = times // 1000 <= max(ms, timerValues.getCurrentWatermarkInMs())
+            out, now = _let_through(times[ready].tolist(), last, self.gap)
+            if ready.all():
+                self.waiting.removeKey((slot,))
+            else:
+                self.waiting.updateValue((slot,), (times[~ready].tobytes(),))
+                self.handle.registerTimer(int(times[~ready][0]) // 1000)
             if now != last:
                 self.last.update((now,))
                 self.handle.registerTimer((now + self.gap) // 1000 + 1)

@@ -66,3 +66,45 @@ def test_due_batch(spark):
     df = spark.createDataFrame([("a", d(1)), ("a", d(5)), ("a", d(11)), ("a", d(20)), ("a", d(21))], "id string, seen_at timestamp")
     assert [x["seen_at"].day for x in feeds.due_batch(df).orderBy("seen_at").collect()] == [1, 11, 21]
     assert feeds.due_batch(df.filter(F.lit(False))).count() == 0
+
+
+class Counted:
+    """State in memory that counts what is asked of it."""
+
+    def __init__(self):
+        self.map, self.value, self.calls, self.timers = {}, None, 0, []
+
+    def getMapState(self, *names):
+        return self
+
+    def getValueState(self, *names):
+        own = Counted()
+        own.exists, own.get = (lambda: own.value is not None), (lambda: own.value)
+        own.update, own.clear = (lambda v: setattr(own, "value", v)), (lambda: setattr(own, "value", None))
+        return own
+
+    def containsKey(self, k):
+        self.calls += 1
+        return k in self.map
+
+    def getValue(self, k):
+        self.calls += 1
+        return self.map[k]
+
+    def updateValue(self, k, v):
+        self.calls += 1
+        self.map[k] = v
+
+    def registerTimer(self, ms):
+        self.calls += 1
+        self.timers.append(ms)
+
+
+def test_state_calls_of_the_due_feed_go_by_windows_not_events():
+    import pandas as pd
+
+    state, due = Counted(), feeds._Due(10)
+    due.init(state)
+    times = pd.Series(pd.date_range("2026-01-01", "2026-01-30", periods=3000))
+    list(due.handleInputRows(("a",), iter([pd.DataFrame({"seen_at": times})]), None))
+    assert state.calls < 40
