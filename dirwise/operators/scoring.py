@@ -188,8 +188,10 @@ USER_COLUMNS = {
     "sexes": "array<string>", "types": "array<string>", "exam_formats": "array<string>", "places": "array<string>",
 }
 RATING_LEVELS = ("outstanding", "good")
-#: Blocks that the entities are dealt into; every user meets each block.
+#: Blocks that the classes of entities are dealt into; every user meets each block.
 USER_BLOCKS = 64
+#: Entities that a block holds, about, where every user meets all entities.
+BLOCK_ENTITIES = 1000
 
 
 def _sexes_fit(wanted: Column) -> Column:
@@ -423,15 +425,20 @@ def recommend_many(df: DataFrame, users: DataFrame, saved_ids: DataFrame, remove
     All is column work: profiles are grouped by user, and nothing is read to the
     driver. With a limit only pairs that may be among the best are scored
     (``promising_pairs``); without, entities are dealt into blocks that every
-    user meets.
+    user meets, with what the user is not offered of each: the pairs themselves,
+    many times the input, are not exchanged.
     """
     u = _profiles(df, users, saved_ids, anchors)
     ids = saved_ids.select("user_id", "id").distinct()
     gone = ids if removed is None else ids.unionByName(removed.select("user_id", "id")).distinct()
     if limit is None:
-        rows = df.withColumn("_block", F.pmod(F.xxhash64("id"), F.lit(USER_BLOCKS).cast("bigint")))
-        pool = rows.join(u.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(USER_BLOCKS - 1).cast("bigint")))), "_block").drop("_block")
-        return _advised(pool.join(gone, ["user_id", "id"], "left_anti"))
+        blocks = 1 + df.count() // BLOCK_ENTITIES
+        block = F.pmod(F.xxhash64("id"), F.lit(blocks).cast("bigint")).alias("_block")
+        held = gone.groupBy("user_id", block).agg(F.collect_set("id").alias("_gone"))
+        met = u.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
+        met = met.join(held.hint("merge"), ["user_id", "_block"], "left")
+        pool = df.withColumn("_block", block).join(met.hint("merge"), "_block").where(~F.coalesce(F.array_contains("_gone", F.col("id")), F.lit(False)))
+        return _advised(pool.drop("_block", "_gone"))
     out = _advised(promising_pairs(df, u, gone, limit))
     best = out.withColumn("_n", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("matchScore"), "id")))
     return best.filter(F.col("_n") <= limit).drop("_n")
